@@ -64,16 +64,32 @@ def spell_digits(digits: Column) -> Column:
     return F.array_join(F.transform(F.split(spaced, " "), lambda d: _pick(DIGITS, d.cast("int"))), " ")
 
 
-def read_number_token(token: Column) -> Column:
-    """Words of one token ``digits`` or ``digits[.,]digits``."""
-    digits = F.translate(token, ".,", "")
-    parts = F.split(token, "[.,]")
-    head = F.element_at(parts, 1).try_cast("bigint")
-    whole = F.size(parts) == 1
-    return (
-        F.when((F.length(digits) > MAX_DIGITS) | (head >= MAX_VALUE), spell_digits(digits))
-        .when(whole, read_integer(head))
-        .otherwise(
-            F.concat(read_integer(head), F.lit(f" {POINT} "), spell_digits(F.element_at(parts, -1)))
-        )
+def read_number_tokens(pieces: Column) -> Column:
+    """Rewrite the odd elements of an array, tokens ``digits`` or ``digits[.,]digits``, as words.
+
+    Each token is parsed once into a struct, so the grammar below works on plain fields.
+    """
+    parsed = F.transform(
+        pieces,
+        lambda p, i: F.when(
+            i % 2 == 1,
+            F.struct(
+                p.alias("text"),
+                F.substring_index(F.translate(p, ",", "."), ".", 1).try_cast("bigint").alias("head"),
+                F.when(p.rlike("[.,]"), F.regexp_extract(p, "[0-9]+$", 0)).alias("tail"),
+                F.translate(p, ".,", "").alias("digits"),
+            ),
+        ).otherwise(
+            F.struct(
+                p.alias("text"), F.lit(None).cast("bigint").alias("head"),
+                F.lit(None).cast("string").alias("tail"), F.lit(None).cast("string").alias("digits"),
+            )
+        ),
+    )
+    return F.transform(
+        parsed,
+        lambda t: F.when(t["digits"].isNull(), t["text"])
+        .when((F.length(t["digits"]) > MAX_DIGITS) | (t["head"] >= MAX_VALUE), spell_digits(t["digits"]))
+        .when(t["tail"].isNull(), read_integer(t["head"]))
+        .otherwise(F.concat(read_integer(t["head"]), F.lit(f" {POINT} "), spell_digits(t["tail"]))),
     )

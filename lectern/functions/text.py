@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import read_number_token
+from .numbers import read_number_tokens
 
 # The Unicode spaces a trim removes, and the narrower set regex `\s` means.
 SPACE = "\\t-\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 TRIM = SPACE + "\\x85"
+TRIM_CHARS = "".join(
+    chr(n) for n in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+)
 # The same set without the line feed.
 INLINE = "\\t\\x0B-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 
@@ -47,11 +50,11 @@ def _col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^[{TRIM}]+|[{TRIM}]+\\z", "")
+    return F.btrim(_col(c), F.lit(TRIM_CHARS))
 
 
 def trim_right(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"[{TRIM}]+\\z", "")
+    return F.rtrim(_col(c), F.lit(TRIM_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -71,13 +74,17 @@ def fold_newlines(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), "\\r\\n?", "\n")
 
 
+def fenced(text: Column, pattern: str) -> Column:
+    """The text as an array whose odd elements are the matches of ``pattern``."""
+    return F.split(F.regexp_replace(text, f"({pattern})", f"{FENCE}$1{FENCE}"), FENCE)
+
+
 def rewrite_matches(text: Column, pattern: str, rewrite) -> Column:
     """Replace every match of ``pattern`` by ``rewrite(match)``, a Column expression.
 
-    Matches are fenced, the string is cut at the fences, and the odd pieces are the
-    matches.  ``text`` is referenced once, so nested rewrites stay linear in plan size.
+    ``text`` is referenced once, so nested rewrites stay linear in plan size.
     """
-    pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{FENCE}$1{FENCE}"), FENCE)
+    pieces = fenced(text, pattern)
     return F.array_join(
         F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, rewrite(piece)).otherwise(piece)), ""
     )
@@ -90,7 +97,7 @@ def normalize_whitespace(c: Column | str) -> Column:
     """Fold line endings, trim every line, keep paragraph breaks, squeeze runs of spaces."""
     text = F.translate(fold_newlines(c), "\t", " ")
     text = F.regexp_replace(text, PARAGRAPH_BREAK, "\n\n")
-    text = F.regexp_replace(text, f"(?<=\\n|\\A)[{INLINE}]+|[{INLINE}]+(?=\\n|\\z)", "")
+    text = F.regexp_replace(text, f"(?<=\\n)[{INLINE}]++|[{INLINE}]++(?=\\n)", "")
     return trim(F.regexp_replace(text, " {2,}", " "))
 
 
@@ -106,7 +113,7 @@ def ungroup_thousands(c: Column | str) -> Column:
 
 
 def read_numbers(c: Column | str) -> Column:
-    return rewrite_matches(_col(c), NUMBER, read_number_token)
+    return F.array_join(read_number_tokens(fenced(_col(c), NUMBER)), "")
 
 
 def normalize_speech(c: Column | str) -> Column:
@@ -125,9 +132,11 @@ def paragraph_array(c: Column | str) -> Column:
 
 def mask_dots(c: Column | str) -> Column:
     """Hide every dot that does not end a sentence.  The order of the four steps matters."""
-    text = rewrite_matches(
-        _col(c), URL_OR_EMAIL, lambda token: F.regexp_replace(token, f"\\.(?=[^{SPACE}])", DOT_MASK)
+    text = _col(c)
+    addresses = rewrite_matches(
+        text, URL_OR_EMAIL, lambda token: F.regexp_replace(token, f"\\.(?=[^{SPACE}])", DOT_MASK)
     )
+    text = F.when(text.rlike("(?i)://|www\\.|@"), addresses).otherwise(text)
     text = F.regexp_replace(text, "(?<=[0-9])\\.(?=[0-9])", DOT_MASK)
     text = F.regexp_replace(
         text, f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(ABBREVIATIONS)})\\.", f"$1{DOT_MASK}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator is written for.  AQE splits hot join partitions, even
 # where the split costs one more exchange, and coalesces small ones.
@@ -44,3 +44,13 @@ def local_session(name: str = "lectern", cpus: int | None = None) -> SparkSessio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores one partition per core.
+
+    A large input already has more partitions than cores and is returned as it is, so no
+    shuffle is added there; a small file no longer leaves all cores but one idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -33,7 +33,7 @@ def decode_text(content: Column | str) -> Column:
 
 
 def _trim_line_ends(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{INLINE}]+{LINE_END}", "")
+    return F.regexp_replace(text, f"[{INLINE}]++{LINE_END}", "")
 
 
 def _block(kind: str | Column, content: Column, level: int | Column = 0, metadata: str | Column = "{}") -> Column:
