@@ -36,15 +36,20 @@ def running(
     slices: list[Column],
     specs: dict[str, tuple[str, Column]],
     inclusive: bool = False,
+    coarse=None,
+    level: int = 0,
 ) -> DataFrame:
     """Add running values per group.
 
     ``specs`` maps a new column to ``(kind, value)`` with kind ``sum``, ``max``, ``min`` or
-    ``last`` (the latest non-null value).  ``slices`` must be monotone in ``order``.
-    Exclusive running sums start at 0; the other kinds start at null.
+    ``last`` (the latest non-null value).  ``slices`` compared left to right must be monotone
+    in ``order``.  Exclusive running sums start at 0; the other kinds start at null.
+
+    Where even the slices of one group are too many for one task, ``coarse`` maps the slice
+    columns to coarser slices and the carries are computed the same way.
     """
-    cuts = [f"_slice{i}" for i in range(len(slices))]
-    values = {name: f"_value_{name}" for name in specs}
+    cuts = [f"_slice{level}_{i}" for i in range(len(slices))]
+    values = {name: f"_value{level}_{name}" for name in specs}
     rows = df.select(
         "*",
         *[s.alias(c) for s, c in zip(slices, cuts)],
@@ -61,14 +66,19 @@ def running(
     totals = rows.groupBy(*by, *cuts).agg(
         *[total[kind](values[name]).alias(f"_total_{name}") for name, (kind, _) in specs.items()]
     )
-    before = Window.partitionBy(*by).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
     over = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True)}
-    carries = totals.select(
-        *by,
-        *cuts,
-        *[over[kind](f"_total_{name}").over(before).alias(f"_carry_{name}")
-          for name, (kind, _) in specs.items()],
-    )
+    if coarse is None:
+        before = Window.partitionBy(*by).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+        carries = totals.select(
+            *by, *cuts,
+            *[over[kind](f"_total_{name}").over(before).alias(f"_carry_{name}") for name, (kind, _) in specs.items()],
+        )
+    else:
+        carries = running(
+            totals, by, cuts, coarse([F.col(c) for c in cuts]),
+            {f"_carry_{name}": (kind, F.col(f"_total_{name}")) for name, (kind, _) in specs.items()},
+            level=level + 1,
+        ).drop(*[f"_total_{name}" for name in specs])
 
     frame = (
         Window.partitionBy(*by, *cuts)
@@ -85,10 +95,10 @@ def running(
 
 
 def number_rows(
-    df: DataFrame, by: list[str], order: list[str], slices: list[Column], name: str = "idx"
+    df: DataFrame, by: list[str], order: list[str], slices: list[Column], name: str = "idx", coarse=None
 ) -> DataFrame:
     """Gapless 0-based position inside each group."""
-    return running(df, by, order, slices, {name: ("sum", F.lit(1).cast("bigint"))})
+    return running(df, by, order, slices, {name: ("sum", F.lit(1).cast("bigint"))}, coarse=coarse)
 
 
 def previous(

@@ -77,7 +77,7 @@ def number_sentences(paragraph_sentences: DataFrame, id: str = "document_id") ->
     """Gapless sentence index for a stored table of (paragraph, position) rows."""
     return number_rows(
         paragraph_sentences, [id], ["paragraph", "position"],
-        [slice_of("paragraph"), slice_of("position")],
+        [F.col("paragraph"), slice_of("position")], coarse=lambda cuts: [slice_of(cuts[0], 4096)],
     )
 
 

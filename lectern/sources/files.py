@@ -29,6 +29,11 @@ def scan_files(spark: SparkSession, directory: str, pattern: str | None = None)
     )
 
 
+def _bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _le(head: Column, offset: int, size: int) -> Column:
     """A little-endian unsigned integer at a 0-based offset."""
     digits = [F.hex(F.substring(head, offset + i + 1, 1)) for i in reversed(range(size))]
@@ -68,16 +73,21 @@ def validate_files(files: DataFrame, name: str = "name") -> DataFrame:
 
     Only the first bytes are looked at, so the content column is read but never copied.
     """
-    head = F.substring("content", 1, HEAD_BYTES)
     textual = F.col("extension").isin("txt", "md")
     claimed = lookup({k: v[0] for k, v in KINDS.items()}, F.col("extension"))
-    probed = files.withColumn("extension", extension_of(name)).withColumn("_sniffed", _sniffed(head))
-    sniffed = F.col("_sniffed")
+    probe = _bind(
+        F.substring("content", 1, HEAD_BYTES),
+        lambda head: F.struct(
+            _sniffed(head).alias("kind"), _readable(head).alias("readable"), (F.length(head) == 0).alias("empty")
+        ),
+    )
+    probed = files.withColumn("extension", extension_of(name)).withColumn("_probe", probe)
+    sniffed = F.col("_probe.kind")
     reason = (
         F.when(F.col("length") > MAX_BYTES, "too_large")
-        .when(F.length(head) == 0, "unreadable")
+        .when(F.col("_probe.empty"), "unreadable")
         .when(sniffed.isNull() & ~textual, "mismatch")
-        .when(sniffed.isNull() & ~_readable(head), "not_text")
+        .when(sniffed.isNull() & ~F.col("_probe.readable"), "not_text")
         .when(sniffed.isNotNull() & ~sniffed.eqNullSafe(claimed), "renamed")
     )
     kind = F.when(F.col("reason").isNull(), F.coalesce(sniffed, claimed))
@@ -86,7 +96,7 @@ def validate_files(files: DataFrame, name: str = "name") -> DataFrame:
         .withColumn("kind", kind)
         .withColumn("mime_type", lookup({v[0]: v[2] for v in KINDS.values()}, F.col("kind")))
         .withColumn("accepted", F.col("reason").isNull())
-        .drop("_sniffed")
+        .drop("_probe")
     )
 
 
