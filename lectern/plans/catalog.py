@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, library_queries, speech_queries, text_queries  # noqa: F401
+from . import ingest_queries, layout_queries, library_queries, speech_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

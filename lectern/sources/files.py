@@ -65,7 +65,7 @@ def _readable(head: Column) -> Column:
     raw = F.decode(head, "ISO-8859-1")
     control = F.regexp_count(raw, F.lit("[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]"))
     size = F.length(F.make_valid_utf8(head.cast("string")))
-    return (F.instr(raw, "\0") == 0) & (control / size < MAX_CONTROL_SHARE)
+    return (F.instr(raw, "\0") == 0) & (control < size * MAX_CONTROL_SHARE)
 
 
 def validate_files(files: DataFrame, name: str = "name") -> DataFrame:
