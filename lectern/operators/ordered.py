@@ -9,6 +9,8 @@ rows that meet in a task are those of one slice.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,18 @@ def running(
     ``last`` (the latest non-null value).  ``slices`` compared left to right must be monotone
     in ``order``.  Exclusive running sums start at 0; the other kinds start at null.
 
+    With no slices each group is one window: for groups whose size is known to be bounded.
     Where even the slices of one group are too many for one task, ``coarse`` maps the slice
     columns to coarser slices and the carries are computed the same way.
     """
+    over = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True)}
+    if not slices:
+        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, 0 if inclusive else -1
+        )
+        plain = lambda kind, v: F.coalesce(F.sum(v).over(frame), F.lit(0)) if kind == "sum" else over[kind](v).over(frame)
+        return df.select("*", *[plain(kind, v).alias(name) for name, (kind, v) in specs.items()])
+
     cuts = [f"_slice{level}_{i}" for i in range(len(slices))]
     values = {name: f"_value{level}_{name}" for name in specs}
     rows = df.select(
@@ -66,7 +77,6 @@ def running(
     totals = rows.groupBy(*by, *cuts).agg(
         *[total[kind](values[name]).alias(f"_total_{name}") for name, (kind, _) in specs.items()]
     )
-    over = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True)}
     if coarse is None:
         before = Window.partitionBy(*by).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
         carries = totals.select(
@@ -119,3 +129,24 @@ def parts(
     """
     weighed = running(df, by, order, slices, {"_before": ("sum", weight.cast("bigint"))})
     return weighed.withColumn("part", F.floor(F.col("_before") / budget)).drop("_before")
+
+
+def with_totals(df: DataFrame, by: list[str], totals: dict[str, Column], bounded: bool) -> DataFrame:
+    """Add aggregates of the whole group to its rows.
+
+    Bounded groups use a window, which shares the exchange of other windows over the same
+    keys; others use an aggregate with map-side combine and a join.
+    """
+    if bounded:
+        group = Window.partitionBy(*by)
+        return df.select("*", *[c.over(group).alias(name) for name, c in totals.items()])
+    return df.join(df.groupBy(*by).agg(*[c.alias(name) for name, c in totals.items()]), by)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the cluster's checkpoint folder, so a lost executor costs one read."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
