@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, layout_queries, library_queries, speech_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    ingest_queries,
+    layout_queries,
+    library_queries,
+    maintenance_queries,
+    speech_queries,
+    stats_queries,
+    text_queries,
+)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
