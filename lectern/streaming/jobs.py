@@ -89,7 +89,7 @@ class JobFold(StatefulProcessor):
 
     SCHEMA = "status string, progress double, stage string, failure string, last_seq bigint"
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -137,7 +137,7 @@ class JobFold(StatefulProcessor):
         pass
 
 
-def fold_jobs_stream(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def fold_jobs_stream(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """The streaming twin: the new row of every job a trigger touched.
 
     State holds one row per live job; a dismissed job frees it at once, an abandoned one
@@ -145,5 +145,5 @@ def fold_jobs_stream(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     """
     key = events.schema["job_id"].dataType.simpleString()
     return events.groupBy("job_id").transformWithStateInPandas(
-        JobFold(ttl_ms), OUTPUT.format(key=key), "Update", "ProcessingTime"
+        JobFold(ttl_ms), OUTPUT.format(key=key), "Update", "ProcessingTime" if ttl_ms else "None"
     )

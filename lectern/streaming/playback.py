@@ -48,7 +48,7 @@ def fold_playback(events: DataFrame) -> DataFrame:
 class PlaybackFold(StatefulProcessor):
     """Sentence statuses of one document in a map keyed by sentence index."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -84,9 +84,9 @@ class PlaybackFold(StatefulProcessor):
         pass
 
 
-def fold_playback_stream(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def fold_playback_stream(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """The streaming twin: every status a trigger changed."""
     key = events.schema["document_id"].dataType.simpleString()
     return events.groupBy("document_id").transformWithStateInPandas(
-        PlaybackFold(ttl_ms), f"document_id {key}, idx bigint, status string", "Update", "ProcessingTime"
+        PlaybackFold(ttl_ms), f"document_id {key}, idx bigint, status string", "Update", "ProcessingTime" if ttl_ms else "None"
     )
