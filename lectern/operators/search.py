@@ -57,7 +57,8 @@ def title_hits(docs: DataFrame, body_hits: DataFrame, term: str) -> DataFrame:
     name, size = F.col("name"), F.lit(len(needle))
     at = _position(name, needle)
     named = _matches(docs.select(F.col("uuid").alias("document_id"), "name"), "name", needle)
-    return named.join(body_hits.select("document_id"), "document_id", "left_anti").select(
+    covered = body_hits.select("document_id").distinct()
+    return named.join(covered, "document_id", "left_anti").select(
         "document_id",
         F.col("name").alias("document_name"),
         F.lit(None).cast("int").alias("page_number"),

@@ -162,19 +162,19 @@ def a6_front(lib):
 
 @query(
     "a7_read_voices",
-    """select label, cast(row_number() over (partition by label order by vec_id) - 1 as int) as pos, 'v' || vec_id as id, case when vec_id % 3 = 0 then 'nữ' end as gender,
+    """select label, cast(row_number() over (partition by label, vec_id // 50 order by vec_id) - 1 as int) as pos, 'v' || vec_id as id, case when vec_id % 3 = 0 then 'nữ' end as gender,
        cast(vec_id % 5 as int) as frames, 2 as codebooks, len(embedding) as dimensions, cast(vec_id % 5 * (vec_id % 7) as bigint) as code_sum
        from {embeddings} qualify vec_id % 5 > 0""",
 )
 def a7(lib):
-    # The catalogue is one JSON object per label, so each label's presets are its own document.
+    # A catalogue is one JSON object, here of at most fifty presets of one label.
     codes = F.transform(F.sequence(F.lit(1), (F.col("vec_id") % 5).cast("int")), lambda _: F.array(F.col("vec_id") % 7, F.lit(0).cast("bigint")))
     codes = F.when(F.col("vec_id") % 5 == 0, F.array().cast("array<array<bigint>>")).otherwise(codes)
     entry = F.concat(
         F.lit('"v'), F.col("vec_id").cast("string"), F.lit('":'),
         F.to_json(F.struct(F.when(F.col("vec_id") % 3 == 0, "nữ").alias("gender"), codes.alias("codes"), F.col("embedding").alias("speaker_emb"))),
     )
-    catalogues = lib["embeddings"].select("label", "vec_id", entry.alias("entry")).groupBy("label").agg(
+    catalogues = lib["embeddings"].select("label", "vec_id", entry.alias("entry")).groupBy("label", F.floor(F.col("vec_id") / 50).alias("shelf")).agg(
         F.concat(F.lit('{"default_voice":"v0","presets":{'), F.expr("listagg(entry, ',') within group (order by vec_id)"), F.lit("}}")).alias("json")
     )
     voices = read_voices(catalogues)
