@@ -218,6 +218,13 @@ def a12(lib):
     return files.scan_files(lib.spark, lib.directory, "*.parquet")
 
 
+@query("j8_arrivals")
+def j8(lib):
+    """The batch twin of watching a folder: every file of the given folder, validated."""
+    found = files.read_files(lib.spark, lib.directory).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+    return files.validate_files(found).select("name", "length", "accepted", "reason")
+
+
 # -- exports -------------------------------------------------------------------------
 
 

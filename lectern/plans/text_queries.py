@@ -38,10 +38,11 @@ _SENTENCES = O.sentence_rows()
 )
 def sentence_counts(lib):
     """The flagship: documents to sentences to counts, with one shuffle of partial sums."""
-    cut = N.sentences(lib.wide("documents").withColumn("k", F.struct("doc_id", "lang", "source")), "k")
-    per_doc = cut.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    return per_doc.groupBy("k.lang", "k.source").agg(
-        F.sum("n").alias("sentences"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("documents")
+    cut = N.sentences(lib.wide("documents").withColumn("k", F.struct("lang", "source")), "k")
+    return cut.groupBy("k.lang", "k.source").agg(
+        F.count(F.lit(1)).alias("sentences"),
+        F.sum(F.length("text")).alias("chars"),
+        F.count_if(F.col("idx") == 0).alias("documents"),
     )
 
 

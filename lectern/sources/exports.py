@@ -82,8 +82,17 @@ def render_exports(docs: DataFrame, sentences: DataFrame, fmt: str) -> DataFrame
 
 
 def write_exports(rendered: dict[str, DataFrame], directory: str) -> None:
+    """One text file per document under ``format=.../document_id=...``.
+
+    The writer ends every row with a line feed, so the one a part already has is dropped;
+    between the parts of a JSON file the extra line feed is white space.
+    """
     for fmt, frame in rendered.items():
-        frame.write.mode("overwrite").parquet(f"{directory}/format={fmt}")
+        rows = frame.select(
+            "document_id", "part", F.lit(fmt).alias("format"), F.regexp_replace("content", "\\n\\z", "").alias("value")
+        )
+        placed = rows.repartition("document_id").sortWithinPartitions("document_id", "part").drop("part")
+        placed.write.mode("append").partitionBy("format", "document_id").text(directory)
 
 
 def export_outcome(artifacts: DataFrame) -> DataFrame:

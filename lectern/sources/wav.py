@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import _le
+from .files import _bind, _le
 
 FIELDS = "audio_format int, channels int, sample_rate bigint, bits int, data_bytes bigint, reason string"
 NAMES = ["audio_format", "channels", "sample_rate", "bits", "data_bytes", "reason"]
@@ -46,24 +46,28 @@ def wav_inventory(files: DataFrame, id: str = "path") -> DataFrame:
     Files laid out as header, format, samples are read by expressions over their first 44
     bytes; only files with other chunks are handed to the walker.
     """
-    content = F.col("content")
-    text = lambda at: F.hex(F.substring(content, at + 1, 4))
-    size = F.length(content)
-    data = _le(content, 40, 4)
-    simple = (
-        (size >= 44) & (text(0) == "52494646") & (text(8) == "57415645")
-        & (text(12) == "666D7420") & (_le(content, 16, 4) == 16) & (text(36) == "64617461")
-        & (F.lit(44) + data <= size) & (size - 44 - data - data % 2 < 8)
-    )
-    marked = files.select(id, "content", F.coalesce(simple, F.lit(False)).alias("_simple"))
-    direct = marked.filter("_simple").select(
-        id,
-        _le(content, 20, 2).cast("int").alias("audio_format"),
-        _le(content, 22, 2).cast("int").alias("channels"),
-        _le(content, 24, 4).alias("sample_rate"),
-        _le(content, 34, 2).cast("int").alias("bits"),
-        data.alias("data_bytes"),
-        F.lit(None).cast("string").alias("reason"),
+    text = lambda head, at: F.hex(F.substring(head, at + 1, 4))
+
+    def header(start):
+        head, size, data = start["head"], start["size"], _le(start["head"], 40, 4)
+        simple = (
+            (size >= 44) & (text(head, 0) == "52494646") & (text(head, 8) == "57415645")
+            & (text(head, 12) == "666D7420") & (_le(head, 16, 4) == 16) & (text(head, 36) == "64617461")
+            & (F.lit(44) + data <= size) & (size - 44 - data - data % 2 < 8)
+        )
+        return F.struct(
+            F.coalesce(simple, F.lit(False)).alias("simple"),
+            _le(head, 20, 2).cast("int").alias("audio_format"),
+            _le(head, 22, 2).cast("int").alias("channels"),
+            _le(head, 24, 4).alias("sample_rate"),
+            _le(head, 34, 2).cast("int").alias("bits"),
+            data.alias("data_bytes"),
+        )
+
+    start = F.struct(F.substring("content", 1, 44).alias("head"), F.length("content").alias("size"))
+    marked = files.select(id, "content", _bind(start, header).alias("_h"))
+    direct = marked.filter("_h.simple").select(
+        id, *[F.col(f"_h.{n}").alias(n) for n in NAMES[:5]], F.lit(None).cast("string").alias("reason")
     )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +76,7 @@ def wav_inventory(files: DataFrame, id: str = "path") -> DataFrame:
             yield pd.DataFrame(rows, columns=[id, *NAMES]).astype({n: "Int64" for n in NAMES[:5]})
 
     key = files.schema[id].dataType.simpleString()
-    other = marked.filter("not _simple").select(id, "content").mapInPandas(walk, f"{id} {key}, {FIELDS}")
+    other = marked.filter("not _h.simple").select(id, "content").mapInPandas(walk, f"{id} {key}, {FIELDS}")
     rate = F.col("sample_rate") * F.col("channels") * F.floor(F.col("bits") / 8)
     reason = F.coalesce(
         "reason",

@@ -16,7 +16,9 @@ from lectern.operators import speech as P
 from lectern.operators import stats as T
 from lectern.operators import tokens as K
 from lectern.sources import epub, html, wav
-from lectern.sources.exports import render_json
+from lectern.operators import sentences as N
+from lectern.sources.exports import render_exports, render_json, write_exports
+from lectern.sources.library import persist_documents, read_library, write_library
 
 
 @pytest.mark.parametrize("rows_per_slice", [1, 3, 1000])
@@ -164,6 +166,43 @@ def test_json_parts(spark):
     assert json.loads([r for r in got if r.document_id == "e"][0].content)["sentences"] == []
 
 
+def test_exports_are_readable_files(spark, tmp_path):
+    import glob
+    import json
+
+    docs = spark.createDataFrame([("d", "T", "a\n\nb  \n"), ("e", "E", "x")], "document_id string, title string, text string")
+    rows = spark.createDataFrame([("d", i, f"câu {i}", None) for i in range(9)], "document_id string, idx int, text string, duration_ms int")
+    write_exports({"txt": render_exports(docs, rows, "txt"), "json": render_json(docs, rows, budget=100)}, str(tmp_path))
+    text = lambda fmt, d: open(glob.glob(f"{tmp_path}/format={fmt}/document_id={d}/*.txt")[0], encoding="utf8").read()
+    assert text("txt", "d") == "a\n\nb\n"
+    assert [s["text"] for s in json.loads(text("json", "d"))["sentences"]] == [f"câu {i}" for i in range(9)]
+
+
+def test_library_round_trip(spark, tmp_path):
+    block = [(0, "title", 1, "Tên", None, 1), (1, "paragraph", 0, "Nội dung", None, 2), (2, "paragraph", 0, "Hết", None, None)]
+    nested = spark.createDataFrame(
+        [("d", "N", "camera", block, [(1, "a.png")])],
+        "uuid string, name string, source string, blocks array<struct<ord:int,type:string,level:int,content:string,page_id:string,page_number:int>>,"
+        " images array<struct<page_number:int,file_path:string>>",
+    )
+    write_library(persist_documents(nested), str(tmp_path))
+    pages = read_library(spark, str(tmp_path), "document_pages").orderBy("page_number").collect()
+    assert [(p.uuid, p.source_type) for p in pages] == [("d-p1", "camera"), ("d-p2", "camera")]
+    blocks = read_library(spark, str(tmp_path), "document_blocks").orderBy("ord").collect()
+    assert [b.page_id for b in blocks] == ["d-p1", "d-p2", None]
+
+
+def test_sentences_cover_their_paragraph(spark):
+    texts = [("d%d" % i, t) for i, t in enumerate(["TS. A nói: “Vâng.” Rồi đi!\nXong", "a.b@c.vn. B… C?!", "x\n\n  y. z"])]
+    df = spark.createDataFrame(texts, "document_id string, text string")
+    squash = lambda t: "".join(t.split())
+    got = N.sentences(df).orderBy("document_id", "idx").collect()
+    for d, t in texts:
+        own = [r for r in got if r.document_id == d]
+        assert squash("".join(r.text for r in own)) == squash(t)
+        assert [r.idx for r in own] == list(range(len(own)))
+
+
 def test_blank(spark):
     df = spark.createDataFrame([(" ﻿\n",), ("a",)], "t string")
     assert [r.b for r in df.select(is_blank("t").alias("b")).collect()] == [True, False]
