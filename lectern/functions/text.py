@@ -6,6 +6,10 @@ the two agree for the Basic Multilingual Plane.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +78,17 @@ def fold_newlines(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), "\\r\\n?", "\n")
 
 
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def contains_any_case(text: Column, word: str) -> Column:
+    """A byte search for every upper and lower case spelling: a cheap test before a costly regex."""
+    spellings = {"".join(c) for c in product(*[(c.lower(), c.upper()) for c in word])}
+    return reduce(or_, [F.contains(text, F.lit(s)) for s in sorted(spellings)])
+
+
 def fenced(text: Column, pattern: str) -> Column:
     """The text as an array whose odd elements are the matches of ``pattern``."""
     return F.split(F.regexp_replace(text, f"({pattern})", f"{FENCE}$1{FENCE}"), FENCE)
@@ -97,15 +112,17 @@ def normalize_whitespace(c: Column | str) -> Column:
     """Fold line endings, trim every line, keep paragraph breaks, squeeze runs of spaces."""
     text = F.translate(fold_newlines(c), "\t", " ")
     text = F.regexp_replace(text, PARAGRAPH_BREAK, "\n\n")
-    text = F.regexp_replace(text, f"(?<=\\n)[{INLINE}]++|[{INLINE}]++(?=\\n)", "")
+    text = F.array_join(F.transform(F.split(text, "\n"), trim), "\n")
     return trim(F.regexp_replace(text, " {2,}", " "))
 
 
 def expand_units(c: Column | str) -> Column:
     """Percent signs after a digit and the currency marks become words."""
-    text = F.regexp_replace(_col(c), f"(?<=[0-9])[{SPACE}]*%", " phần trăm")
-    text = F.regexp_replace(text, "₫", " đồng")
-    return F.regexp_replace(text, f"(?i)(?<=[0-9])[{SPACE}]*VND", " đồng")
+    raw = _col(c)
+    percent = F.regexp_replace(raw, f"(?<=[0-9])[{SPACE}]*%", " phần trăm")
+    text = F.replace(F.when(F.contains(raw, F.lit("%")), percent).otherwise(raw), F.lit("₫"), F.lit(" đồng"))
+    money = F.regexp_replace(text, f"(?i)(?<=[0-9])[{SPACE}]*VND", " đồng")
+    return F.when(contains_any_case(raw, "vnd"), money).otherwise(text)
 
 
 def ungroup_thousands(c: Column | str) -> Column:
@@ -118,7 +135,7 @@ def read_numbers(c: Column | str) -> Column:
 
 def normalize_speech(c: Column | str) -> Column:
     """Whitespace, then units, then grouped thousands, then numbers: the order matters."""
-    text = read_numbers(ungroup_thousands(expand_units(normalize_whitespace(c))))
+    text = bind(normalize_whitespace(c), lambda t: read_numbers(ungroup_thousands(expand_units(t))))
     return F.coalesce(trim(text), F.lit(""))
 
 
@@ -136,7 +153,8 @@ def mask_dots(c: Column | str) -> Column:
     addresses = rewrite_matches(
         text, URL_OR_EMAIL, lambda token: F.regexp_replace(token, f"\\.(?=[^{SPACE}])", DOT_MASK)
     )
-    text = F.when(text.rlike("(?i)://|www\\.|@"), addresses).otherwise(text)
+    maybe = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | contains_any_case(text, "www.")
+    text = F.when(maybe, addresses).otherwise(text)
     text = F.regexp_replace(text, "(?<=[0-9])\\.(?=[0-9])", DOT_MASK)
     text = F.regexp_replace(
         text, f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(ABBREVIATIONS)})\\.", f"$1{DOT_MASK}"

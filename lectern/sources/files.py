@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import KINDS, extension_of, lookup, retryable
-from ..functions.text import has_text, trim
+from ..functions.text import bind, has_text, trim
 from .epub import epub_to_blocks
 from .plain import decode_text, markdown_to_blocks, text_to_blocks
 
@@ -29,11 +29,6 @@ def scan_files(spark: SparkSession, directory: str, pattern: str | None = None)
     )
 
 
-def _bind(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once, however often ``f`` names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _le(head: Column, offset: int, size: int) -> Column:
     """A little-endian unsigned integer at a 0-based offset."""
     digits = [F.hex(F.substring(head, offset + i + 1, 1)) for i in reversed(range(size))]
@@ -75,7 +70,7 @@ def validate_files(files: DataFrame, name: str = "name") -> DataFrame:
     """
     textual = F.col("extension").isin("txt", "md")
     claimed = lookup({k: v[0] for k, v in KINDS.items()}, F.col("extension"))
-    probe = _bind(
+    probe = bind(
         F.substring("content", 1, HEAD_BYTES),
         lambda head: F.struct(
             _sniffed(head).alias("kind"), _readable(head).alias("readable"), (F.length(head) == 0).alias("empty")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import _bind, _le
+from ..functions.text import bind
+from .files import _le
 
 FIELDS = "audio_format int, channels int, sample_rate bigint, bits int, data_bytes bigint, reason string"
 NAMES = ["audio_format", "channels", "sample_rate", "bits", "data_bytes", "reason"]
@@ -65,7 +66,7 @@ def wav_inventory(files: DataFrame, id: str = "path") -> DataFrame:
         )
 
     start = F.struct(F.substring("content", 1, 44).alias("head"), F.length("content").alias("size"))
-    marked = files.select(id, "content", _bind(start, header).alias("_h"))
+    marked = files.select(id, "content", bind(start, header).alias("_h"))
     direct = marked.filter("_h.simple").select(
         id, *[F.col(f"_h.{n}").alias(n) for n in NAMES[:5]], F.lit(None).cast("string").alias("reason")
     )
