@@ -33,7 +33,9 @@ TWO_DIGITS = _two_digit_words()
 
 
 def _pick(words, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), index.cast("int") + 1)
+    # One literal that the optimizer folds into an array, instead of a literal per word.
+    table = F.split(F.lit("|".join(words)), "\\|")
+    return F.element_at(table, index.cast("int") + 1)
 
 
 def _below_thousand(n: Column, padded: Column) -> Column:
