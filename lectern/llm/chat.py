@@ -66,8 +66,8 @@ def windows(
         F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("null")).alias("_key"), F.col(conv).alias("_conv"),
         F.coalesce(F.col(turn).cast("long"), first).alias("_turn"),
         F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        (F.coalesce(tokens, F.lit(0)).cast("long") if tokens is not None else F.lit(None).cast("long")).alias("_given"),
-    ).withColumn("_tokens", F.coalesce(F.greatest("_given", F.lit(1)), turn_tokens(F.col("_text")))).drop("_given")
+        (F.lit(None) if tokens is None else tokens).cast("long").alias("_given"),
+    ).withColumn("_tokens", F.when(F.col("_given").isNotNull(), F.greatest("_given", F.lit(1))).otherwise(turn_tokens(F.col("_text")))).drop("_given")
     order, cut = ["_turn", "_role", "_text"], [F.floor(F.col("_turn") / SLICE_TURNS)]
     placed = running(rows, ["_key"], order, cut, {"_pos": ("sum", F.lit(1).cast("long")), "_sum": ("sum", F.col("_tokens"))})
     head = (F.col("_pos") == 0) & (F.col("_role") == "system")

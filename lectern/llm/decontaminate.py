@@ -178,11 +178,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """The rows of ``docs`` that overlap with no item, all columns as they are.  Rows are judged in place, without a shuffle."""
     out = docs
     for block in blocks(benchmark, item, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.where(_free(docs.sparkSession.sparkContext.broadcast(block))(F.col(text)))
+    return out
 
-        @F.arrow_udf("boolean")
-        def free(column: pa.Array, sent=sent) -> pa.Array:
-            return pa.array([not sent.value.overlaps(t) for t in texts(column)], pa.bool_())
 
-        out = out.where(free(F.col(text)))
-    return out
+def _free(sent):
+    @F.arrow_udf("boolean")
+    def free(column: pa.Array) -> pa.Array:
+        return pa.array([not sent.value.overlaps(t) for t in texts(column)], pa.bool_())
+
+    return free

@@ -121,12 +121,12 @@ def search(rows: DataFrame, is_query: Column, id: str = "vec_id", codes: str = "
 
 ORACLE = """
 with v as (
-  select distinct vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as codes from embeddings
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as codes from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-    list_sum(list_transform(range(1, len(q.codes) + 1), i -> q.codes[i] * c.codes[i]))::bigint as score
+    list_sum(list_transform(range(1, len(q.codes) + 1), lambda i: q.codes[i] * c.codes[i]))::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
 from s qualify rank <= 5
