@@ -28,6 +28,7 @@ ANCHOR = 128
 ARRAY_BYTES = 2 << 20  # bytes that one suffix array takes
 KEY_BYTES = 1 << 20  # bytes of distinct segments of one key above which its strings are counted by hash
 PIECE = 1 << 20  # bytes of a text that are cut into segments at once
+LEAP = 64
 _END = 255  # never part of UTF-8
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -101,7 +102,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         next_change = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)]
         inside = np.arange(n) <= change[-1]
         up[inside] = data[next_change[inside] + 1] > data[next_change[inside]]
-    small = _sorted_directly(data, np.flatnonzero(up), depth)
+    words = np.concatenate([_words(data), np.zeros(depth + 8, np.uint64)])
+    leap = _prefix_hashes(data, LEAP, 4)
+    small = _sorted_directly(words, leap, _prefix_hashes(data, depth, 2), np.flatnonzero(up), depth)
     small_by = np.searchsorted(data[small], np.arange(257))
     # Bucket scans: the larger suffixes of a bucket are the predecessors of what stands in this
     # and the earlier buckets, in the order in which these stand.
@@ -142,39 +145,59 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_directly(data: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` bytes, eight at a time; only ties are looked at again."""
-    words = np.concatenate([_words(data), np.zeros(depth + 8, np.uint64)])
-    out = suffixes[np.argsort(words[suffixes], kind="stable")]
-    value = words[out]
-    same = np.concatenate([[False], value[1:] == value[:-1]])
-    group = np.cumsum(~same)
-    tied = np.flatnonzero(same | np.concatenate([same[1:], [False]])) if len(out) else np.zeros(0, np.int64)
-    for at in range(8, depth, 8):
-        if not len(tied):
-            break
-        value = words[out[tied] + at]
-        order = np.lexsort((value, group[tied]))
-        out[tied] = out[tied][order]
-        value, of = value[order], group[tied]  # groups keep their places
-        new = np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])])
-        group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))] + len(out) + 1
-        alone = new & np.concatenate([new[1:], [True]])
-        tied = tied[~alone]
-    return out
+def _sorted_directly(words: np.ndarray, leap: np.ndarray, same: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` bytes, eight at a time; only ties are looked at again.
+
+    ``same`` is a hash of the first ``depth`` bytes: of suffixes that agree in all of them one is
+    sorted and the others stand beside it.  ``leap`` is a hash of ``LEAP`` bytes, which ties that agree in them skip.
+    """
+    _, first, of = np.unique(same[suffixes], return_index=True, return_inverse=True)
+    one = suffixes[first]
+    place = np.argsort(words[one], kind="stable")  # of the ones, in order
+    value = words[one[place]]
+    again = np.concatenate([[False], value[1:] == value[:-1]])[: len(one)]
+    group = np.maximum.accumulate(np.where(again, 0, np.arange(len(one))))  # a tie is named by its first place
+    tied = np.flatnonzero(again | np.concatenate([again[1:], [False]])[: len(one)])
+    at = np.full(len(tied), 8)  # bytes in which a tie agrees; the same for all of it
+    while len(tied):
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(group[tied]) != 0]))
+        size = np.diff(np.concatenate([starts, [len(tied)]]))
+        far = leap[np.minimum(one[place[tied]] + at, len(leap) - 1)]
+        agree = np.repeat(~np.logical_or.reduceat(far != np.repeat(far[starts], size), starts), size)
+        at[agree] += LEAP
+        pick = np.flatnonzero(~agree)
+        if len(pick):
+            here = tied[pick]
+            value = words[one[place[here]] + at[pick]]
+            order = np.lexsort((value, group[here]))
+            place[here] = place[here][order]
+            value, own = value[order], group[here]  # groups keep their places
+            new = np.concatenate([[True], (value[1:] != value[:-1]) | (own[1:] != own[:-1])])
+            group[here] = here[np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))]
+            at[pick] += 8
+            done = np.zeros(len(tied), bool)
+            done[pick] = new & np.concatenate([new[1:], [True]])
+        else:
+            done = np.zeros(len(tied), bool)
+        stay = ~done & (at < depth)
+        tied, at = tied[stay], at[stay]
+    rank = np.empty(len(one), np.int64)
+    rank[place] = np.arange(len(one))
+    return suffixes[np.argsort(rank[of], kind="stable")]
+
+
+def _prefix_hashes(data: np.ndarray, depth: int, seed: int) -> np.ndarray:
+    """A hash of the ``depth`` bytes at every place; past the end stand zeros."""
+    return gram_hashes(np.concatenate([data, np.zeros(depth - 1, np.uint8)]), depth, seed)
 
 
 def adjacent_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Whether each suffix shares at least ``most`` bytes with the one before it in ``order``."""
-    words = np.concatenate([_words(data), np.zeros(most + 8, np.uint64)])
-    left = np.arange(1, len(order))
-    for at in range(0, most, 8):
-        gone = words[order[left] + at] ^ words[order[left - 1] + at]
-        if most - at < 8:
-            gone >>= np.uint64(8 * (8 - most + at))
-        left = left[gone == 0]
+    """Whether each suffix shares ``most`` bytes with the one before it in ``order``, by 128 bits of hash."""
     out = np.zeros(len(order), bool)
-    out[left] = True
+    out[1:] = True
+    for seed in (2, 3):
+        own = _prefix_hashes(data, most, seed)[order]
+        out[1:] &= own[1:] == own[:-1]
     return out
 
 
