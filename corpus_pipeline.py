@@ -7,11 +7,11 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, quality, simhash, suffix
-from lectern.llm.common import row_key, saved, table
+from lectern.llm.common import saved, table
 from lectern.llm.queries import THRESHOLD, WORDS, quality_model
 
 ORACLE_SQL = None  # no stage but the first steps of the others can be written in SQL
@@ -24,14 +24,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id, and of its rows the first by key.
+    """One document of each group of near duplicates, that of the smallest id.
 
-    Groups are those of five-word shingles; texts without words are not duplicates of each other but all kept.
+    Links are texts whose five-word shingles have a similarity of 0.8 or more.  Empty texts are
+    copies of each other, and of rows that repeat id and text one stays.
     """
-    groups = simhash.near_duplicates(docs.where("text is not null"), "doc_id", "text", shingle=5)
-    kept = groups.where("doc_id = component_id or component_id is null or fingerprint = 0").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows
+    groups = saved(simhash.similar_texts(docs), "groups").where("kept")
+    kept = groups.groupBy("doc_id", "text_key").count()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (key == kept["text_key"]), "left_semi")
+    return rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

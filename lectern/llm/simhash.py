@@ -29,11 +29,12 @@ BITS = 64
 SEED = 42
 # Fingerprints that one bucket of the first deal holds on average, rows from which a bucket is dealt on by
 # further bits, the bits of such a deal, and variants that a task expands at once.
-BUCKET = 1024
+BUCKET = 8192
 HOT_BUCKET = 200_000
 MORE_BITS = 6
 AT_ONCE = 1 << 21
 _HASHES_AT_ONCE = 1 << 15
+SKETCH = 128  # shingle hashes by which the similarity of a link is measured
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -47,13 +48,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
         return 0
     n = max(1, len(words) - shingle + 1)
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, _HASHES_AT_ONCE):
-        part = words[at : min(n, at + _HASHES_AT_ONCE) + shingle - 1]
-        if len(part) <= shingle:
-            joined = [b" ".join(part)]
-        else:
-            joined = map(b" ".join, zip(*(part[i:] for i in range(shingle))))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), "<u8")
+    for hashes in _hashed(words, shingle):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<i8")[0])
@@ -149,40 +144,40 @@ def _deal(rows: DataFrame, bits: int) -> DataFrame:
             rows.where(F.col("left") >= k)
             .select("*", F.explode(flipped[k]).alias("_mask"))
             .select(
-                "origin",
+                "table", "origin",
                 F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", "_mask", F.lit(BITS) - depth)).alias("fingerprint"),
                 (F.col("left") - k).alias("left"),
                 depth.alias("depth"),
             )
             if k
-            else rows.select("origin", "fingerprint", "left", depth.alias("depth"))
+            else rows.select("table", "origin", "fingerprint", "left", depth.alias("depth"))
         )
     out = parts[0].union(parts[1]).union(parts[2])
     return out.withColumn("bucket", F.call_function("shiftrightunsigned", "fingerprint", F.lit(BITS) - F.col("depth")))
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """``(a, b)`` links that join all distinct fingerprints within ``radius`` (4, 2 or 0) bits of one another.
+    """``(table, a, b)`` links that join all distinct fingerprints of a table within ``radius`` (4, 2 or 0) bits of one another.
 
-    ``prints`` has one column ``fingerprint`` of distinct values.  Fingerprints that share a
+    ``prints`` has distinct rows ``table, fingerprint``.  Fingerprints that share a
     variant are linked through the smallest of them in their bucket; the links of a bucket
     are a forest, so their number follows the fingerprints and not the pairs.
     """
     half = radius // 2
-    n = prints.count()
+    n = prints.groupBy("table").count().agg(F.max("count")).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, n) / BUCKET)))
     rows = prints.select(
-        F.col("fingerprint").alias("origin"), "fingerprint", F.lit(half).alias("left"), F.lit(0).alias("depth")
+        "table", F.col("fingerprint").alias("origin"), "fingerprint", F.lit(half).alias("left"), F.lit(0).alias("depth")
     )
     while bits > 0:  # one deal lists the flips of a few bits at a time
         rows = _deal(rows, min(bits, 10))
         bits -= 10
     ready = []
     while True:
-        hot = saved(rows.groupBy("depth", "bucket").count().where(F.col("count") > HOT_BUCKET).drop("count"), "hot")
+        hot = saved(rows.groupBy("table", "depth", "bucket").count().where(F.col("count") > HOT_BUCKET).drop("count"), "hot")
         if hot.isEmpty() or rows.where(F.col("depth") <= BITS - MORE_BITS).isEmpty():
             break
-        on = ["depth", "bucket"]
+        on = ["table", "depth", "bucket"]
         ready.append(rows.join(hot, on, "left_anti"))
         rows = saved(_deal(rows.join(hot, on, "left_semi"), MORE_BITS), "dealt")
     for more in ready:
@@ -200,9 +195,10 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
             moved = np.flatnonzero(label != np.arange(len(label)))
             a, b = origin[label[moved]], origin[moved]
             keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            table = pa.array(np.full(int(keep.sum()), got["table"][0].as_py()), pa.int32())
+            yield pa.RecordBatch.from_arrays([table, pa.array(a[keep]), pa.array(b[keep])], names=["table", "a", "b"])
 
-    return rows.groupBy("depth", "bucket").applyInArrow(meet, "a long, b long")
+    return rows.groupBy("table", "depth", "bucket").applyInArrow(meet, "table int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -219,10 +215,110 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         "fingerprints",
     )
     nodes = saved(prints.groupBy("fingerprint").agg(F.min("_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fingerprint"), radius))
+    roots = components(links(nodes.select(F.lit(0).alias("table"), "fingerprint"), radius))
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = saved(rooted.join(least, "root").select("fingerprint", "component_id"), "members")
     return prints.join(member, "fingerprint").select(F.col("_id").alias(id), "fingerprint", "component_id")
+
+
+def _sums(words: list[bytes], size: int, tables: int) -> list[int]:
+    """Fingerprints of one text in several tables, each from its own mixing of the shingles' hashes."""
+    if not words:
+        return [0] * tables
+    n = max(1, len(words) - size + 1)
+    ones = np.zeros((tables, BITS), np.int64)
+    for hashes in _hashed(words, size):
+        for t in range(tables):
+            own = hashes ^ np.uint64(t * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            own = (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            own ^= own >> np.uint64(32)
+            ones[t] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def _hashed(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, some at a time; fewer words are one shingle."""
+    n = max(1, len(words) - size + 1)
+    for at in range(0, n, _HASHES_AT_ONCE):
+        part = words[at : min(n, at + _HASHES_AT_ONCE) + size - 1]
+        joined = [b" ".join(part)] if len(part) <= size else map(b" ".join, zip(*(part[i:] for i in range(size))))
+        yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), "<u8")
+
+
+def _sketch(words: list[bytes], size: int) -> bytes:
+    """The ``SKETCH`` smallest distinct shingle hashes, packed: the whole set of a text with fewer shingles."""
+    least = np.zeros(0, "<u8")
+    for hashes in _hashed(words, size) if words else ():
+        least = np.unique(np.concatenate([least, hashes]))[:SKETCH]
+    return least.tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketched sets: exact where both are whole, else estimated from the union's smallest."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)
+    if len(x) >= SKETCH or len(y) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
+
+
+def similar_texts(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
+    radius: int = 4, tables: int = 8, feature: int = 2,
+) -> DataFrame:
+    """``id, text_key, component_id, kept``: groups of texts that links of similarity ``least`` or more join.
+
+    Candidates are fingerprints within ``radius`` bits in any of ``tables`` independent tables, made of
+    ``feature``-word shingles, which change less than longer ones under an edit.  A link stays if
+    the sets of ``shingle``-word shingles have a Jaccard similarity of at least ``least``, measured on the
+    ``SKETCH`` smallest hashes of the shingles.  Equal texts (``text_key`` is their hash) are one node; null is empty,
+    and empty texts are equal.  ``kept`` marks the row of the smallest id of a component, or rows that
+    repeat it; ``component_id`` is that id.
+    """
+    own = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = own.select("_id", "_text", F.xxhash64("_text").alias("text_key"))
+    spec = "prints array<long>, sketch binary"
+
+    @F.arrow_udf(spec)
+    def mark(column: pa.Array) -> pa.Array:
+        words = [t.lower().split() for t in byte_texts(column)]
+        return pa.StructArray.from_arrays(
+            [pa.array([_sums(w, feature, tables) for w in words], pa.list_(pa.int64())), pa.array([_sketch(w, shingle) for w in words], pa.binary())],
+            names=["prints", "sketch"])
+
+    marked = saved(own.withColumn("_m", mark(F.col("_text"))).select("_id", "text_key", "_m.prints", "_m.sketch"), "marked")
+    nodes = marked.groupBy("text_key").agg(F.first("prints").alias("prints"))
+    prints = nodes.select("text_key", F.posexplode("prints").alias("table", "fingerprint"))
+    # One node speaks for a fingerprint; another one in each table, so links run by more than one text.
+    spoken = saved(
+        prints.groupBy("table", "fingerprint").agg(F.min_by("text_key", F.xxhash64("table", "text_key")).alias("key")), "spoken")
+    near = links(spoken.select("table", "fingerprint"), radius)
+    a = spoken.select("table", F.col("fingerprint").alias("a"), F.col("key").alias("x"))
+    b = spoken.select("table", F.col("fingerprint").alias("b"), F.col("key").alias("y"))
+    across = near.join(a, ["table", "a"]).join(b, ["table", "b"]).select("x", "y")
+    within = prints.join(spoken, ["table", "fingerprint"]).select(F.col("text_key").alias("x"), F.col("key").alias("y"))
+    pairs = saved(
+        across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    sketches = marked.join(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "text_key", "left_semi")
+    sketches = saved(sketches.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+
+    @F.arrow_udf("double")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([similarity(u, v) for u, v in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+
+    checked = (
+        pairs.join(sketches.toDF("x", "u"), "x").join(sketches.toDF("y", "v"), "y")
+        .where(alike("u", "v") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    roots = components(checked)
+    rooted = marked.select("_id", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select(
+        "_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("text_key").alias("key"))).alias("first"))
+    return rooted.join(first, "root").select(
+        F.col("_id").alias(id), "text_key", F.col("first.id").alias("component_id"),
+        (F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.key"))).alias("kept"))

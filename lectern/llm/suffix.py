@@ -225,25 +225,28 @@ def _spans(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 
 
 def _occurrences(docs: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
-    """A row for each segment: key, hash of its bytes, the row it stands in, its first and last start."""
+    """A row for each distinct segment of a text: key, hash of its bytes, the row it stands in, where it begins, and its last start from there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
+            out: list[list] = [[] for _ in range(6)]
             for row, data in enumerate(byte_texts(batch.column(2))):
                 keys, first, last = segments(np.frombuffer(data, np.uint8), length, anchor)
-                same = [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
-                found.append((keys, np.array(same, np.uint64), np.full(len(keys), row), first, last))
-            keys, same, row, first, last = (np.concatenate(c) for c in zip(*found))
-            if len(keys):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(same.view(np.int64)), pa.array(np.array(k1, np.int64)[row]),
-                     pa.array(np.array(k2, np.int64)[row]), pa.array(first), pa.array(last)],
-                    names=["anchor", "segment", "_k1", "_k2", "first", "last"])
+                same: dict[tuple[int, int], list[int]] = {}
+                reach = {}
+                for key, a, b in zip(keys.view(np.int64).tolist(), first.tolist(), last.tolist()):
+                    name = (key, xxhash.xxh3_64_intdigest(data[a : b + length]) - (1 << 63))
+                    same.setdefault(name, []).append(a)
+                    reach[name] = b - a
+                for column, values in zip(out, ([k for k, _ in same], [h for _, h in same], [k1[row]] * len(same), [k2[row]] * len(same), same.values(), reach.values())):
+                    column.extend(values)
+            if out[0]:
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "_k1", "_k2", "firsts", "reach"])
 
     return docs.select(*row_key(*docs.columns), text).mapInArrow(
-        cut, "anchor long, segment long, _k1 long, _k2 long, first long, last long")
+        cut, "anchor long, segment long, _k1 long, _k2 long, firsts array<long>, reach long")
 
 
 def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
@@ -301,10 +304,10 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
     found = saved(_occurrences(docs, text, length, anchor), "segments")
     kinds = (
         found.groupBy("anchor", "segment")
-        .agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "last")).alias("one"))
+        .agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("_k1", "_k2", F.col("firsts")[0].alias("first"), "reach")).alias("one"))
     )
     by_key = kinds.groupBy("anchor").agg(
-        F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + length).alias("bytes")
+        F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("one.reach") + length).alias("bytes")
     ).where("all > 1").withColumnRenamed("anchor", "_anchor")
     shared = saved(
         kinds.join(by_key, F.col("anchor") == F.col("_anchor"))
@@ -312,17 +315,17 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
         "shared",
     )
     whole = shared.where("n > 1").select(
-        "anchor", "segment", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.col("last") - F.col("first")).alias("stops")
+        "anchor", "segment", F.array(F.lit(0).cast("long")).alias("starts"), F.array("reach").alias("stops")
     )
     # Keys with several distinct segments: one of each is read again.
     wanted = shared.where("kinds > 1").groupBy("_k1", "_k2").agg(
-        F.collect_list(F.struct("anchor", "segment", "first", "last", "hot")).alias("wanted")
+        F.collect_list(F.struct("anchor", "segment", "first", "reach", "hot")).alias("wanted")
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             rows = [
-                (w["anchor"], w["segment"], data[w["first"] : w["last"] + length], w["hot"])
+                (w["anchor"], w["segment"], data[w["first"] : w["first"] + w["reach"] + length], w["hot"])
                 for data, asked in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()) for w in asked
             ]
             yield pa.RecordBatch.from_arrays(
@@ -336,12 +339,11 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
         "pieces",
     )
     runs = saved(whole.unionByName(_distinct_repeats(pieces, length).where(F.size("starts") > 0)), "runs")
+    marks = F.flatten(F.transform("firsts", lambda f: F.transform(
+        F.arrays_zip("starts", "stops"), lambda r: F.struct((f + r["starts"]).alias("start"), (f + r["stops"] + length).alias("stop")))))
     spans = (
-        found.join(runs, ["anchor", "segment"])
-        .select("_k1", "_k2", "first", F.explode(F.arrays_zip("starts", "stops")).alias("r"))
-        .select("_k1", "_k2", (F.col("first") + F.col("r.starts")).alias("start"), (F.col("first") + F.col("r.stops") + length).alias("stop"))
-        .groupBy("_k1", "_k2")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+        found.join(runs, ["anchor", "segment"]).select("_k1", "_k2", marks.alias("marks"))
+        .groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     rows = docs.select(*row_key(*names), F.struct(*names).alias("_row"))
