@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import chunks, texts
 
 SPACE = "▁"
-NODES = 400_000  # nodes above which a task starts a new trie
+NODES = 600_000  # nodes above which a task starts a new trie
 LONG = 512  # letters above which a pre-token is scored by itself
 _WORD = re.compile(r"\S+")
 _AT_ONCE = 1 << 18
@@ -38,6 +37,13 @@ class Pieces:
         ]
         self.score = {p: -math.log(rank + 2) for rank, p in enumerate(names)}
         self.longest = max(map(len, self.score))
+        # Lengths of the pieces of three letters and more, by their last three letters.
+        self.lengths: dict[str, list[int]] = {}
+        for piece in self.score:
+            if len(piece) > 2 and len(piece) not in (known := self.lengths.setdefault(piece[-3:], [])):
+                known.append(len(piece))
+        for known in self.lengths.values():
+            known.sort()
         self.byte = 2 * min(self.score.values())
 
     def forward(self, before: list[tuple[float, int]], letters: str) -> tuple[float, int]:
@@ -47,44 +53,59 @@ class Pieces:
         last piece stays.
         """
         n = len(letters)
+        get = self.score.get
         last = letters[-1]
-        known = last in self.score
         at = before[n - 1]
-        width = 1 if known else len(last.encode("utf-8", "surrogatepass"))
-        best, tokens = at[0] + (self.score[last] if known else width * self.byte), at[1] + width
-        get = self.score.get
-        for size in range(2, min(self.longest, n) + 1):
-            score = get(letters[n - size :])
-            if score is not None and before[n - size][0] + score > best:
-                best, tokens = before[n - size][0] + score, before[n - size][1] + 1
+        score = get(last)
+        if score is None:
+            width = len(last.encode("utf-8", "surrogatepass"))
+            best, tokens = at[0] + width * self.byte, at[1] + width
+        else:
+            best, tokens = at[0] + score, at[1] + 1
+        if n > 1:
+            score = get(letters[-2:])
+            if score is not None and before[n - 2][0] + score > best:
+                best, tokens = before[n - 2][0] + score, before[n - 2][1] + 1
+            for size in self.lengths.get(letters[-3:], ()):
+                if size > n:
+                    break
+                score = get(letters[n - size :])
+                if score is not None and before[n - size][0] + score > best:
+                    best, tokens = before[n - size][0] + score, before[n - size][1] + 1
         return best, tokens
 
 
-class Trie:
-    """Nodes are dictionaries by letter; the empty key holds a node's score and number of tokens."""
+class Trie(dict):
+    """Tokens of pre-tokens, with the trie that their scores are computed on.
+
+    ``below`` maps a node and a letter to the next node; ``scores`` has each node's forward score
+    and number of tokens.
+    """
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.root, self.nodes, self.terminal = pieces, {}, 0, {}
+        super().__init__()
+        self.pieces, self.below, self.scores = pieces, {}, [(0.0, 0)]
 
-    def count(self, word: str) -> int:
-        """Tokens of a pre-token, computed along the part of its path that is new."""
-        found = self.terminal.get(word)
-        if found is not None:
-            return found
+    def __missing__(self, word: str) -> int:
+        """Tokens of a new pre-token, computed along the part of its path that is new."""
         letters = SPACE + word
         if len(letters) > LONG:
             return self._alone(letters)
-        if self.nodes > NODES:
-            self.root, self.nodes, self.terminal = {}, 0, {}
-        node, path = self.root, [(0.0, 0)]
-        for i, c in enumerate(letters):
-            below = node.get(c)
-            if below is None:
-                below = node[c] = {"": self.pieces.forward(path, letters[: i + 1])}
-                self.nodes += 1
-            node = below
-            path.append(node[""])
-        self.terminal[word] = path[-1][1]
+        below, scores = self.below, self.scores
+        if len(scores) > NODES or len(self) > NODES:
+            self.clear()
+            below.clear()
+            del scores[1:]
+        node, path, size = 0, [scores[0]], 0
+        for letter in letters:
+            size += 1
+            key = node * 0x110000 + ord(letter)
+            node = below.get(key)
+            if node is None:
+                node = below[key] = len(scores)
+                scores.append(self.pieces.forward(path, letters[:size]))
+            path.append(scores[node])
+        self[word] = path[-1][1]
         return path[-1][1]
 
     def _alone(self, letters: str) -> int:
@@ -109,6 +130,16 @@ def trie(path: str) -> Trie:
     return _loaded[path]
 
 
+def count_text(known: Trie, text: str) -> tuple[int, int]:
+    """Words and tokens of one whole text."""
+    n = total = 0
+    parts = [_WORD.findall(text)] if len(text) <= _AT_ONCE else chunks((m.group() for m in _WORD.finditer(text)), _AT_ONCE)
+    for part in parts:
+        n += len(part)
+        total += sum(map(known.__getitem__, part))
+    return n, total
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_words long, n_tokens long``: pre-tokens of every whole text, and tokens of their best segmentations.
 
@@ -118,19 +149,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("n_words long, n_tokens long")
     def of(column: pa.Array) -> pa.Array:
-        known, words, tokens = trie(path), [], []
-        for whole in texts(column):
-            n, total = 0, 0
-            parts = [_WORD.findall(whole)] if len(whole) <= _AT_ONCE else chunks((m.group() for m in _WORD.finditer(whole)), _AT_ONCE)
-            for part in parts:
-                n += len(part)
-                done = known.terminal
-                for word, times in Counter(part).items():
-                    found = done.get(word)
-                    total += times * (known.count(word) if found is None else found)
-                    done = known.terminal
-            words.append(n)
-            tokens.append(total)
+        known = trie(path)
+        words, tokens = zip(*(count_text(known, t) for t in texts(column))) if len(column) else ((), ())
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["n_words", "n_tokens"])
 
     return docs.withColumn("_counts", of(F.col(text))).select(*docs.columns, "_counts.n_words", "_counts.n_tokens")
