@@ -148,7 +148,7 @@ def predict(
     if len(learned) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     names = [name for name, _ in learned]
-    matrix = np.array([v for _, v in learned], np.float32).reshape(len(names), -1)
+    matrix = np.array([v for _, v in learned], np.float32).reshape(len(names), dimensions)
     sizes = np.sqrt((matrix * matrix).sum(1, keepdims=True))
     matrix = matrix / np.where(sizes == 0, 1, sizes)
 

@@ -193,7 +193,7 @@ def fit(
     width = 2 * dimensions
     model = Model(known, vectors, np.zeros(width, np.float32), np.ones(width, np.float32),
                   (np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6))])), 1.0, prior)
-    if 0 < prior < 1:
+    if len(y) and 0 < prior < 1:
         x = np.stack([model.pooled(t) for t in sample])
         model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
         held = np.arange(len(y)) % 5 == 0
