@@ -21,9 +21,9 @@ def decode_json(c: Column | str) -> Column:
     """A JSON object as a string map; anything else is the empty map."""
     empty = F.create_map().cast("map<string,string>")
     value = _col(c)
-    return F.coalesce(
-        F.when(value.rlike("^\\s*\\{"), F.from_json(value, "map<string,string>")), empty
-    )
+    # As the only element of an array the text has to be one value and nothing else.
+    only = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    return F.coalesce(F.when(value.rlike("^\\s*\\{") & (F.size(only) == 1), only[0]), empty)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -32,7 +32,9 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def parse_options(c: Column | str) -> Column:
     """``struct<voice_id, speed, volume>`` from an options object, null when it is not one."""
-    doc = F.try_parse_json(_col(c))
+    # As the only element of an array the text has to be one value and nothing else.
+    only = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]")))
+    doc = F.when(F.try_variant_get(only, "$[1]", "variant").isNull(), F.try_variant_get(only, "$[0]", "variant"))
 
     def typed(field: str, kind: str, type_pattern: str) -> Column:
         found = F.schema_of_variant(F.try_variant_get(doc, f"$.{field}", "variant"))

@@ -91,7 +91,11 @@ def read_number_tokens(pieces: Column) -> Column:
     return F.transform(
         parsed,
         lambda t: F.when(t["digits"].isNull(), t["text"])
-        .when((F.length(t["digits"]) > MAX_DIGITS) | (t["head"] >= MAX_VALUE), spell_digits(t["digits"]))
+        .when(F.length(t["digits"]) > MAX_DIGITS, spell_digits(t["digits"]))
+        .when(
+            t["head"] >= MAX_VALUE,  # the mark stays heard where the head is too large to be read as one number
+            F.concat_ws(f" {POINT} ", spell_digits(t["head"].cast("string")), spell_digits(t["tail"])),
+        )
         .when(t["tail"].isNull(), read_integer(t["head"]))
         .otherwise(F.concat(read_integer(t["head"]), F.lit(f" {POINT} "), spell_digits(t["tail"]))),
     )

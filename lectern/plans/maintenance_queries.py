@@ -130,14 +130,15 @@ def j4(lib):
 
 _both("lib_job_events", """
 select cast(floor(event_id / 12) as bigint) as job_id, event_id as seq,
-  case when event_id % 12 = 0 then 'enqueue' when event_id % 97 = 5 then 'dismiss' when event_id % 23 = 7 then 'cancel'
+  case when event_id % 12 = 0 then 'enqueue' when event_id % 97 = 5 then 'dismiss' when event_id % 97 = 6 then 'enqueue' when event_id % 23 = 7 then 'cancel'
     else case event_type when 'view' then 'report' when 'click' then 'start' when 'signup' then 'retry' when 'purchase' then 'succeed' else 'fail' end end as action,
   value / 50 - 0.5 as progress, case when event_id % 3 = 0 then 'step ' || cast(event_id % 4 as string) end as stage,
   case when event_id % 2 = 0 then 'storage' else 'processing' end as failure
 from {events}""")
 
-_FOLD = """with b as (select job_id, min(seq) filter (where action = 'enqueue') as born, max(seq) filter (where action = 'dismiss') as gone from {lib_job_events} group by 1),
-  e as (select e.* from {lib_job_events} e join b using (job_id) where born is not null and (gone is null or gone < born) and seq >= born),
+_FOLD = """with g as (select *, max(case when action = 'dismiss' then seq end) over (partition by job_id) as gone from {lib_job_events}),
+  h as (select *, min(case when action = 'enqueue' then seq end) over (partition by job_id) as born from g where gone is null or seq > gone),
+  e as (select * from h where seq >= born),
   c as (select *, last_value(case when action <> 'report' then action end ignore nulls) over (partition by job_id order by seq rows between unbounded preceding and 1 preceding) as before from e where action <> 'dismiss'),
   r as (select *, action = 'report' and before in ('enqueue', 'start', 'retry') as reported from c),
   k as (select *, case when reported then least(greatest(progress, 0), 1) when action = 'succeed' then 1 when action in ('enqueue', 'retry') then 0 end as p,

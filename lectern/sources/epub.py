@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -73,23 +75,25 @@ def _chapters(archive: zipfile.ZipFile) -> tuple[str | None, Iterator[str]]:
     return next((t for t in titles if t), None), sources()
 
 
-def _rows(content: bytes) -> Iterator[tuple]:
-    ord_ = 0
+def _rows(content: bytes) -> list[tuple]:
+    """All blocks of a book, or one failure row; no input ends the job."""
+    rows: list[tuple] = []
     try:
         title, sources = _chapters(zipfile.ZipFile(io.BytesIO(content)))
         for source in sources:
             # The book title stands in only until the first block has been produced.
-            for row in blocks_of(source, title if ord_ == 0 else None):
-                yield (ord_, *row, None)
-                ord_ += 1
+            for row in blocks_of(source, title if not rows else None):
+                rows.append((len(rows), *row, None))
     except BadContainer as reason:
-        yield (None, None, None, None, None, str(reason))
-        return
-    except (zipfile.BadZipFile, ElementTree.ParseError, EOFError, KeyError):
-        yield (None, None, None, None, None, "damaged")
-        return
-    if ord_ == 0:
-        yield (None, None, None, None, None, "no_text")
+        failure = str(reason)
+    except (zipfile.BadZipFile, zlib.error, struct.error, ElementTree.ParseError, EOFError, LookupError, ValueError, OSError,
+            NotImplementedError):
+        failure = "damaged"
+    except RuntimeError:  # zipfile's error for an entry that needs a password
+        failure = "encrypted_document"
+    else:
+        failure = None if rows else "no_text"
+    return rows if failure is None else [(None, None, None, None, None, failure)]
 
 
 def epub_to_blocks(files: DataFrame, id: str = "document_id", content: str = "content") -> DataFrame:
@@ -98,7 +102,7 @@ def epub_to_blocks(files: DataFrame, id: str = "document_id", content: str = "co
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, data in zip(batch[id], batch[content]):
-                rows = [(key, *row) for row in _rows(bytes(data))]
+                rows = [(key, *row) for row in _rows(bytes(data or b""))]
                 out = pd.DataFrame(rows, columns=[id, *COLUMNS])
                 yield out.astype({"ord": "Int32", "level": "Int32"})
 

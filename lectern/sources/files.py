@@ -15,16 +15,22 @@ HEAD_BYTES = 512
 MAX_CONTROL_SHARE = 0.02
 
 
-def read_files(spark: SparkSession, directory: str, pattern: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, directory: str, pattern: str | None = None, most: int = MAX_BYTES) -> DataFrame:
+    """Files with their bytes; of files over ``most`` bytes all but the bytes, which are null.
+
+    The bound on ``length`` reaches the reader, so no byte of a larger file is read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(directory)
+    files = reader.load(directory)
+    large = files.where(F.col("length") > most).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= most).unionByName(large)
 
 
 def scan_files(spark: SparkSession, directory: str, pattern: str | None = None) -> DataFrame:
-    """Path, size and SHA-256 of every file."""
-    return read_files(spark, directory, pattern).select(
+    """Path, size and SHA-256 of every file; the digest of files that no row can hold (2 GiB) is null."""
+    return read_files(spark, directory, pattern, (1 << 31) - 1024).select(
         "path", "length", F.sha2("content", 256).alias("sha256")
     )
 

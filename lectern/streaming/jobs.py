@@ -16,7 +16,6 @@ STATUS = {"enqueue": "queued", "start": "running", "retry": "queued",
           "succeed": "succeeded", "fail": "failed", "cancel": "cancelled"}
 STAGE = {"enqueue": "Đang chờ", "retry": "Đang chờ", "succeed": "Xong", "fail": "Thất bại", "cancel": "Đã hủy"}
 OPENING = ("enqueue", "start", "retry")
-TTL_MS = 30 * 24 * 3600 * 1000
 
 EVENTS = "job_id, seq, action, progress, stage, failure"
 OUTPUT = "job_id {key}, status string, progress double, stage string, failure string, last_seq bigint"
@@ -30,11 +29,11 @@ def fold_jobs(events: DataFrame) -> DataFrame:
     so the fold is one carried value and one aggregate.
     """
     action, at = F.col("action"), F.col("seq")
-    born = events.groupBy("job_id").agg(
-        F.min(F.when(action == "enqueue", at)).alias("_born"),
-        F.max(F.when(action == "dismiss", at)).alias("_gone"),
-    ).filter("_born is not null and (_gone is null or _gone < _born)")
-    alive = events.join(born, "job_id").filter(at >= F.col("_born")).drop("_born", "_gone")
+    # A job lives from its first enqueue after its last dismissal.
+    last = events.groupBy("job_id").agg(F.max(F.when(action == "dismiss", at)).alias("_gone"))
+    after = events.join(last, "job_id").filter(F.col("_gone").isNull() | (at > F.col("_gone"))).drop("_gone")
+    born = after.groupBy("job_id").agg(F.min(F.when(action == "enqueue", at)).alias("_born")).filter("_born is not null")
+    alive = after.join(born, "job_id").filter(at >= F.col("_born")).drop("_born")
     carried = running(
         alive, ["job_id"], ["seq"], [slice_of("seq")], {"_before": ("last", F.when(action.isin(*STATUS), action))}
     )
@@ -137,11 +136,11 @@ class JobFold(StatefulProcessor):
         pass
 
 
-def fold_jobs_stream(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def fold_jobs_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The streaming twin: the new row of every job a trigger touched.
 
     State holds one row per live job; a dismissed job frees it at once, an abandoned one
-    after ``ttl_ms``.
+    stays unless ``ttl_ms`` is given, after which its later events count as those of an unknown job.
     """
     key = events.schema["job_id"].dataType.simpleString()
     return events.groupBy("job_id").transformWithStateInPandas(

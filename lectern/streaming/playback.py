@@ -13,7 +13,6 @@ from ..operators.ordered import running, slice_of
 
 # Actions on one sentence and the status they set.
 STATUS = {"play": "playing", "played": "played", "save": "ready", "fail": "failed", "retry": "idle"}
-TTL_MS = 30 * 24 * 3600 * 1000
 
 
 def fold_playback(events: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ class PlaybackFold(StatefulProcessor):
         pass
 
 
-def fold_playback_stream(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def fold_playback_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The streaming twin: every status a trigger changed."""
     key = events.schema["document_id"].dataType.simpleString()
     return events.groupBy("document_id").transformWithStateInPandas(
