@@ -77,7 +77,7 @@ def _both(name: str, text: str) -> None:
 
 _both("lib_docs", """
 select 'd' || cast(doc_id as string) as uuid, doc_id,
-  substr(text, 1, 40) as name, text as extracted_text,
+  split_part(text, chr(10), 1) as name, text as extracted_text,
   case cast(doc_id % 7 as int) when 0 then 'typedText' when 1 then 'camera' when 2 then 'image' when 3 then 'pdf'
     when 4 then 'textFile' when 5 then 'markdown' else 'epub' end as source,
   case cast(doc_id % 6 as int) when 0 then 'queued' when 1 then 'extracting' when 2 then 'ocr' when 3 then 'failed'

@@ -8,7 +8,7 @@ from ..functions.text import cache_hash
 from ..operators import sentences as N
 from ..operators import speech as P
 from . import oracle_text as O
-from .base import _both, duck, query
+from .base import SHARED, _both, duck, query
 
 # Measurements derived from position and text, in SQL both engines accept.
 _MEASURES = [
@@ -229,28 +229,34 @@ def c9(lib):
 
 # -- cost ----------------------------------------------------------------------------
 
+SHARED["lib_phrases"] = (
+    "select doc_id, posexplode(split(text, '[.!?\\n]+')) as (pos, phrase) from {documents}",
+    """select doc_id, unnest(range(len(l))) as pos, unnest(l) as phrase from
+         (select doc_id, string_split_regex(text, '[.!?\\n]+') as l from {documents})""",
+)
+# Every phrase of every document; those without words are bare cues.
 _both("lib_phonemes", """
-select doc_id, case when doc_id % 11 = 0 then '<|emotion_2|>' when doc_id % 11 = 1 then '<|emotion_1|> ' || substr(text, 1, 30)
-  when doc_id % 2 = 0 then '<en>' || substr(replace(lower(text), 'a', 'ˈaː'), 1, cast(doc_id % 70 as int)) || '</en>' else lower(text) end as phonemes
-from {documents}""")
+select doc_id, pos, case when trim(phrase) = '' then '<|emotion_2|>' when (doc_id + pos) % 11 = 1 then '<|emotion_1|> ' || phrase
+  when doc_id % 2 = 0 then '<en>' || replace(lower(phrase), 'a', 'ˈaː') || '</en>' else lower(phrase) end as phonemes
+from {lib_phrases}""")
 
 
 @query(
     "h24_speech_cost",
-    f"""with a as (select doc_id, phonemes, regexp_replace(phonemes, '<\\|emotion_[0-9]+\\|>|</?en>', '', 'g') as plain from {{lib_phonemes}}),
+    f"""with a as (select doc_id, pos, phonemes, regexp_replace(phonemes, '<\\|emotion_[0-9]+\\|>|</?en>', '', 'g') as plain from {{lib_phonemes}}),
         b as (select *, len(regexp_extract_all(regexp_replace(plain, '[ːˈˌ0-9]', '', 'g'), '[{P.IPA_VOWELS}]+')) as syllables,
           contains(phonemes, '<|emotion_') and not regexp_matches(plain, '\\p{{L}}') as cue_only, length(plain) as n from a),
         c as (select *, case when cue_only then least(24 + 2 * n, 13)
           when not contains(phonemes, '<|emotion_') and greatest(syllables, 1) <= 4 and n <= 24 * greatest(syllables, 1) then least(24 + 2 * n, 13 + 5 * (greatest(syllables, 1) - 1))
           else 24 + 2 * n end as frame_cap from b),
         d as (select *, case when cue_only then frame_cap / 12.5::double * 4.5::double else syllables::double end as expected from c)
-        select doc_id, syllables, cue_only, frame_cap,
+        select doc_id, cast(pos as bigint) as pos, syllables, cue_only, frame_cap,
           least(greatest(cast(round(case when expected < 1 then 1 else expected / 4.5::double end * 25 * 1000) as bigint) + 30000, 60000), 480000) as budget_ms from d""",
 )
 def h24(lib):
     cost = P.speech_cost(lib.wide("lib_phonemes"))
     return cost.select(
-        "doc_id", F.col("syllables").cast("bigint").alias("syllables"), "cue_only",
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("syllables").cast("bigint").alias("syllables"), "cue_only",
         F.col("frame_cap").cast("bigint").alias("frame_cap"), "budget_ms",
     )
 

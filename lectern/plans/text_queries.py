@@ -242,16 +242,16 @@ def h11(lib):
 
 @query(
     "h12_display_name",
-    f"""select uuid, case when {O.has_text('title')} and length({O.trim('title')}) <= 30 then {O.trim('title')}
-        else substr(regexp_replace(file, '\\.[^.]*$', ''), 1, 30) end as display
-        from (select uuid, substr(extracted_text, 1, cast(doc_id % 60 as int)) as title, 'scan.' || uuid || '.' || source as file from {{lib_docs}})""",
+    f"""select uuid, case when {O.has_text('title')} and length({O.trim('title')}) <= 100 then {O.trim('title')}
+        else substr(regexp_replace(file, '\\.[^.]*$', ''), 1, 100) end as display
+        from (select uuid, case when doc_id % 9 = 0 then ' ' else name end as title, case when doc_id % 3 = 0 then 'scan.' || uuid else name end || '.' || source as file from {{lib_docs}})""",
 )
 def h12(lib):
     named = lib["lib_docs"].select(
-        "uuid", F.substring("extracted_text", F.lit(1), (F.col("doc_id") % 60).cast("int")).alias("title"),
-        F.concat(F.lit("scan."), "uuid", F.lit("."), "source").alias("file"),
+        "uuid", F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("name")).alias("title"),
+        F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("scan."), "uuid")).otherwise(F.col("name")), F.lit("."), "source").alias("file"),
     )
-    return named.select("uuid", X.display_name("file", "title", cap=30).alias("display"))
+    return named.select("uuid", X.display_name("file", "title").alias("display"))
 
 
 @query(
