@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 65_536
@@ -143,13 +143,20 @@ def with_totals(df: DataFrame, by: list[str], totals: dict[str, Column], bounded
     return df.join(df.groupBy(*by).agg(*[c.alias(name) for name, c in totals.items()]), by)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor shares; only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's checkpoint folder, so a lost executor costs one read."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,22 +14,63 @@ from pyspark.sql import functions as F
 from ..functions.files import FAILURES, retryable
 from ..operators import layout, maintenance
 from ..operators import sentences as N
+from ..operators.ordered import shared_folder
 from ..operators.speech import little_endian, wav_header
 from ..sources import exports, files
 from ..sources.epub import epub_to_blocks
 from ..sources.html import html_plain_text, html_to_blocks
-from ..sources.library import persist_documents
+from ..sources.library import persist_documents, read_library, write_library
 from ..sources.voices import read_voices
 from ..sources.wav import wav_inventory
 from . import oracle_text as O
+from ..streaming import streams
 from .base import _both, query
+from .text_queries import MARKDOWN_BLOCKS, markdown_files
 
 
 # -- derived files -------------------------------------------------------------------
 
 
+_CONTAINER = '<container><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
+_PACKAGE = (
+    '<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {0}</dc:title></metadata><manifest>'
+    '<item id="c1" href="one.xhtml" media-type="application/xhtml+xml"/><item id="c2" href="two.xhtml#x" media-type="application/xhtml+xml"/>'
+    '<item id="css" href="a.css" media-type="text/css"/></manifest><spine><itemref idref="c2"/><itemref idref="c1" linear="no"/>'
+    '<itemref idref="css"/><itemref idref="c1"/></spine></package>'
+)
+
+
+def _container(key, chapters: dict[str, str]) -> bytes:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        archive.writestr("mimetype", "application/epub+zip")
+        archive.writestr("META-INF/container.xml", _CONTAINER)
+        archive.writestr("OEBPS/book.opf", _PACKAGE.format(key))
+        for name, page in chapters.items():
+            archive.writestr(f"OEBPS/{name}", page)
+    return data.getvalue()
+
+
+_MARKDOWN, _BOOK = "doc_id % 12 = 10", "doc_id % 24 = 16"
+
+
+def text_books(docs):
+    """A book per document, a paragraph per line."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pages = ["".join(f"<p>{escape(line)}</p>" for line in text.split("\n")) for text in batch["text"].fillna("")]
+            out = [
+                (key, _container(key, {"one.xhtml": f"<html><body>{page}</body></html>", "two.xhtml": "<html><body></body></html>"}))
+                for key, page in zip(batch["doc_id"], pages)
+            ]
+            yield pd.DataFrame(out, columns=["document_id", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(pack, "document_id bigint, content binary")
+
+
 def file_set(lib):
-    """One file per document: every accepted kind, disguised files and binary noise."""
+    """One file per document: every accepted kind, disguised files, damaged books and binary noise."""
     text = F.encode("text", "UTF-8")
     prefixed = lambda digits: F.concat(F.unhex(F.lit(digits)), text)
     kind = (F.col("doc_id") % 12).cast("int")
@@ -45,9 +88,16 @@ def file_set(lib):
     )
     names = ["a.pdf", "b.png", "c.JPG", "d.webp", "e.epub", "f.txt", "g.txt", "h.md", "i.txt", "j.txt", "k.md", "l.png"]
     name = F.element_at(F.array(*[F.lit(n) for n in names]), kind + 1)
-    return lib.wide("documents").select(
+    made = ["document_id", "name", "content"]
+    plain = lib.wide("documents").where(f"not ({_MARKDOWN} or {_BOOK})").select(
         F.col("doc_id").alias("document_id"), name.alias("name"), content.alias("content"),
-    ).withColumn("length", F.length("content").cast("bigint"))
+    )
+    marked = markdown_files(lib).where(_MARKDOWN).select(
+        F.col("doc_id").alias("document_id"), F.lit("k.md").alias("name"), F.encode("text", "UTF-8").alias("content"),
+    )
+    bound = text_books(lib.wide("documents").where(_BOOK)).withColumn("name", F.lit("e.epub"))
+    files = plain.unionByName(marked).unionByName(bound.select(made))
+    return files.withColumn("length", F.length("content").cast("bigint"))
 
 
 @query(
@@ -61,22 +111,29 @@ def a2(lib):
     return files.validate_files(file_set(lib)).select("document_id", "kind", "mime_type", "accepted", "reason")
 
 
+_LINE = O.trim(O.rx("line", "[ \\t\\r\\f\\v]+", " "))
+
+
 @query(
     "k1_ingest_blocks",
-    f"""select doc_id as document_id, unnest(range(len(ps))) as ord, unnest(ps) as content from (select doc_id,
+    f"""select doc_id as document_id, unnest(range(len(ps))) as ord, 'paragraph' as type, cast(0 as int) as level, unnest(ps) as content, '{{{{}}}}' as metadata from (select doc_id,
         list_filter(list_transform(string_split_regex(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '[{O.H}]+(\\n|$)', '\\1', 'g'), '\\n{{{{2,}}}}'),
-        lambda p: {O.trim('p')}), lambda p: p <> '') as ps from {{documents}} where doc_id % 12 = 9)""",
+        lambda p: {O.trim('p')}), lambda p: p <> '') as ps from {{documents}} where doc_id % 12 = 9)
+        union all select doc_id, ord, type, level, content, metadata from ({MARKDOWN_BLOCKS}) where {_MARKDOWN}
+        union all select doc_id, 0, 'title', 1, 'Book ' || doc_id, '{{{{}}}}' from {{documents}} where {_BOOK}
+        union all select doc_id, row_number() over (partition by doc_id order by pos), 'paragraph', 0, content, '{{{{}}}}'
+          from (select doc_id, pos, {_LINE} as content from (select doc_id, pos, content as line from {{lib_lines}} where {_BOOK})) where content <> ''""",
 )
 def k1(lib):
-    blocks, _ = files.ingest(file_set(lib).filter("document_id % 12 != 10"))
-    return blocks.select("document_id", F.col("ord").cast("bigint").alias("ord"), "content")
+    blocks, _ = files.ingest(file_set(lib))
+    return blocks.select("document_id", F.col("ord").cast("bigint").alias("ord"), "type", "level", "content", "metadata")
 
 
 @query(
     "k1_ingest_rejects",
     """select document_id, case when k = 0 then 'unsupported_format' when k in (1, 2, 3) then 'model_unavailable' else 'validation' end as failure,
        case k when 0 then 'pdf' when 4 then 'damaged' when 5 then 'renamed' when 6 then 'not_text' when 7 then 'unreadable' when 8 then 'not_text' when 11 then 'mismatch' else 'ocr' end as detail, false as retryable
-       from (select doc_id as document_id, cast(doc_id % 12 as int) as k from {documents}) where k not in (9, 10)""",
+       from (select doc_id as document_id, cast(doc_id % 12 as int) as k from {documents} where doc_id % 24 <> 16) where k not in (9, 10)""",
 )
 def k1_rejects(lib):
     return files.ingest(file_set(lib))[1]
@@ -113,30 +170,18 @@ def a5_text(lib):
     return html_plain_text(lib.wide("pages"))
 
 
-_CONTAINER = '<container><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
-_PACKAGE = (
-    '<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {0}</dc:title></metadata><manifest>'
-    '<item id="c1" href="one.xhtml" media-type="application/xhtml+xml"/><item id="c2" href="two.xhtml#x" media-type="application/xhtml+xml"/>'
-    '<item id="css" href="a.css" media-type="text/css"/></manifest><spine><itemref idref="c2"/><itemref idref="c1" linear="no"/>'
-    '<itemref idref="css"/><itemref idref="c1"/></spine></package>'
-)
-
-
 def books(lib):
     """A container per web page: a chapter with the page and a chapter of plain paragraphs."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, html in zip(batch["page_id"], batch["html"]):
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w") as archive:
-                    archive.writestr("mimetype", "application/epub+zip")
-                    archive.writestr("META-INF/container.xml", _CONTAINER)
-                    archive.writestr("OEBPS/book.opf", _PACKAGE.format(key))
-                    archive.writestr("OEBPS/one.xhtml", html)
-                    archive.writestr("OEBPS/two.xhtml", f"<html><body><p>First of {key}</p><p> second\n\n\npart </p></body></html>")
-                out.append((key, data.getvalue()))
+            out = [
+                (key, _container(key, {
+                    "one.xhtml": html,
+                    "two.xhtml": f"<html><body><p>First of {key}</p><p> second\n\n\npart </p></body></html>",
+                }))
+                for key, html in zip(batch["page_id"], batch["html"])
+            ]
             yield pd.DataFrame(out, columns=["document_id", "content"])
 
     return lib.wide("pages").select("page_id", "html").mapInPandas(pack, "document_id bigint, content binary")
@@ -184,45 +229,96 @@ def a7(lib):
     )
 
 
+_both("full_docs", """
+select uuid, name, source, 'text/plain' as mime_type, uuid || '.txt' as original_file_name, cast(file_size as bigint) as file_size, 'files/' || uuid as file_path,
+  status, extracted_text, is_favorite, category, created_at, updated_at, last_opened_at, failure_message, metadata from {lib_docs}""")
+_both("full_blocks", """
+select document_id, case when ord % 3 = 0 then null else 'own-' || uuid end as uuid, case when page_number is null then 'loose' else page_id end as page_id,
+  page_number, type, level, content, ord, case when ord % 4 = 2 then null else (ord % 10) / cast(20 as double) end as left,
+  (ord % 40) / cast(40 as double) as top, cast(0.5 as double) as width, cast(0.02 as double) as height, confidence, metadata from {lib_blocks}""")
+_both("full_images", """
+select document_id, uuid, case when page_number is null then null else document_id || '-p' || cast(page_number as string) end as page_id, page_number,
+  'imported' as source_type, file_path, 'png' as format, cast(file_size % 997 as int) as width, cast(file_size % 499 as int) as height, cast(file_size as bigint) as file_size from {lib_images}""")
+
+
+def stored_library(lib, *tables):
+    """Tables of the library, split from nested documents, written to the shared folder and scanned again.
+
+    The nesting is bounded by a document here, which is what the operator takes as one row.
+    """
+    times = ["created_at", "updated_at", "last_opened_at"]
+    docs = lib["full_docs"].withColumns({c: F.timestamp_seconds(c) for c in times})
+    nested = lambda frame, name: frame.groupBy(F.col("document_id").alias("uuid")).agg(
+        F.collect_list(F.struct(*[c for c in frame.columns if c != "document_id"])).alias(name)
+    )
+    rows = docs.join(nested(lib.wide("full_blocks"), "blocks"), "uuid", "left").join(nested(lib["full_images"], "images"), "uuid", "left")
+    directory = f"{shared_folder(lib.spark)}/library-{uuid.uuid4().hex}"
+    write_library({t: f for t, f in persist_documents(rows).items() if t in tables}, directory)
+    return [read_library(lib.spark, directory, t) for t in tables]
+
+
+@query("a1_library_scan", "select * from {full_docs}")
+def a1(lib):
+    docs = stored_library(lib, "documents")[0]
+    return docs.withColumns({c: F.unix_seconds(c) for c in ("created_at", "updated_at", "last_opened_at")})
+
+
+@query(
+    "a8_persist_blocks",
+    """select coalesce(uuid, document_id || '-b' || ord) as uuid, document_id, case when page_number is null then page_id else document_id || '-p' || page_number end as page_id,
+       type, level, content, ord, b."left" as "left", top, width, height, confidence, metadata from {full_blocks} b""",
+)
+def a8_blocks(lib):
+    return stored_library(lib, "document_blocks")[0]
+
+
+@query(
+    "a8_persist_pages",
+    """select distinct b.document_id || '-p' || b.page_number as uuid, b.document_id, b.page_number,
+       case d.source when 'image' then 'imported' when 'camera' then 'camera' when 'pdf' then 'pdf' when 'epub' then 'epub' else 'text' end as source_type,
+       cast(null as varchar) as image_path, cast(null as int) as width, cast(null as int) as height
+       from {full_blocks} b join {lib_docs} d on d.uuid = b.document_id where b.page_number is not null""",
+)
+def a8_pages(lib):
+    return stored_library(lib, "document_pages")[0]
+
+
+@query("a8_persist_images", "select uuid, document_id, page_id, page_number, source_type, file_path, format, width, height, file_size from {full_images} where not starts_with(document_id, 'gone')")
+def a8_images(lib):
+    return stored_library(lib, "document_images")[0]
+
+
 @query(
     "a8_persist_documents",
-    """select 'documents' as table_name, count(*) as n, cast(sum(doc_id) as bigint) as check_sum from {lib_docs}
-       union all select 'document_blocks', count(*), cast(sum(length(content) + ord) as bigint) from {lib_blocks}
-       union all select 'document_pages', count(*), cast(sum(length(uuid) * page_number) as bigint) from {lib_pages}
-       union all select 'document_images', count(*), cast(sum(coalesce(page_number, 0)) as bigint) from {lib_images} where not starts_with(document_id, 'gone')""",
+    """select 'documents' as table_name, count(*) as n from {lib_docs} union all select 'document_blocks', count(*) from {lib_blocks}
+       union all select 'document_pages', count(*) from {lib_pages} union all select 'document_images', count(*) from {lib_images} where not starts_with(document_id, 'gone')""",
 )
 def a8(lib):
-    blocks = lib.wide("lib_blocks").groupBy("document_id").agg(
-        F.collect_list(F.struct("ord", "type", "level", "content", "page_id", "page_number")).alias("blocks")
-    )
-    images = lib["lib_images"].groupBy("document_id").agg(F.collect_list(F.struct("page_number", "file_path")).alias("images"))
-    nested = (
-        lib["lib_docs"].select("uuid", "doc_id", "name", "source", "status")
-        .join(blocks.withColumnRenamed("document_id", "uuid"), "uuid", "left")
-        .join(images.withColumnRenamed("document_id", "uuid"), "uuid", "left")
-    )
-    tables = persist_documents(nested)
-    measure = {
-        "documents": F.col("doc_id"), "document_blocks": F.length("content") + F.col("ord"),
-        "document_pages": F.length("uuid") * F.col("page_number"), "document_images": F.coalesce("page_number", F.lit(0)),
-    }
-    frames = [
-        t.agg(F.count(F.lit(1)).alias("n"), F.sum(measure[name]).cast("bigint").alias("check_sum")).select(F.lit(name).alias("table_name"), "n", "check_sum")
-        for name, t in tables.items()
-    ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
-
-
-@query("a12_scan_files")
+    names = ("documents", "document_blocks", "document_pages", "document_images")
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table_name"), "n") for n, t in zip(names, stored_library(lib, *names))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query(
+    "a12_scan_files",
+    """select doc_id as document_id, cast(strlen(text) as bigint) as length, sha256(text) as sha256 from {documents}""",
+)
 def a12(lib):
-    return files.scan_files(lib.spark, lib.directory, "*.parquet")
+    """Size and digest of one file per document."""
+    found = lib.wide("documents").select(F.col("doc_id").alias("document_id"), F.encode("text", "UTF-8").alias("content"))
+    return files.digests(found.withColumn("length", F.length("content").cast("bigint"))).select("document_id", "length", "sha256")
 
 
-@query("j8_arrivals")
+@query(
+    "j8_arrivals",
+    """select document_id, "name", accepted, reason from (select doc_id as document_id, cast(doc_id % 12 as int) as k,
+         ['a.pdf', 'b.png', 'c.JPG', 'd.webp', 'e.epub', 'f.txt', 'g.txt', 'h.md', 'i.txt', 'j.txt', 'k.md', 'l.png'][cast(doc_id % 12 as int) + 1] as name,
+         k in (0, 1, 2, 3, 4, 9, 10) as accepted, case k when 5 then 'renamed' when 6 then 'not_text' when 7 then 'unreadable' when 8 then 'not_text' when 11 then 'mismatch' end as reason from {documents})""",
+)
 def j8(lib):
-    """The batch twin of watching a folder: every file of the given folder, validated."""
-    found = files.read_files(lib.spark, lib.directory).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
-    return files.validate_files(found).select("name", "length", "accepted", "reason")
+    """The batch twin of watching a folder: every file that arrived, named from its path and validated."""
+    arrived = file_set(lib).withColumn("path", F.concat(F.lit("file:/in/"), "document_id", F.lit("/"), "name")).drop("name")
+    return streams.arrivals(arrived).select("document_id", "name", "accepted", "reason")
 
 
 # -- exports -------------------------------------------------------------------------

@@ -16,11 +16,6 @@ TERM = "ÉLÉ"
 NAME_TERM = "The"
 
 
-@query("a1_library_scan", "select uuid, source, status, file_size, is_favorite, created_at from {lib_docs}")
-def a1(lib: Library):
-    return lib["lib_docs"].select("uuid", "source", "status", "file_size", "is_favorite", "created_at")
-
-
 @query(
     "b1_filter_library",
     """select uuid, status, file_size from {lib_docs}

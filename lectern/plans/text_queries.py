@@ -190,9 +190,7 @@ select doc_id, pos, {_MD} as line from (select doc_id, pos, replace(replace(cont
 _PROSE = "not fenced and not fence"
 
 
-@query(
-    "a4_markdown_blocks",
-    f"""with l as (select doc_id, pos, line, starts_with(line, '```') as fence from {{markdown_lines}}),
+MARKDOWN_BLOCKS = f"""with l as (select doc_id, pos, line, starts_with(line, '```') as fence from {{markdown_lines}}),
     k as (select *, (sum(cast(fence as int)) over w) % 2 = 1 as fenced, sum(cast(fence as int)) over w as section,
             max(sum_fence) over (partition by doc_id) as fences from (select *, sum(cast(fence as int)) over (partition by doc_id) as sum_fence from l)
           window w as (partition by doc_id order by pos)),
@@ -211,11 +209,16 @@ _PROSE = "not fenced and not fence"
               when 'quote' then {O.trim('substr(body, 3)')} when 'image' then regexp_extract(body, '!\\[([^\\]]*)\\]', 1) when 'code' then {O.trim('body')} else replace(body, chr(10), ' ') end as content,
             case when kind = 'quote' then '{{"quote":true}}' when kind = 'code' and section < fences then '{{"preformatted":true}}'
               when kind = 'image' then '{{"src":"' || regexp_extract(body, '\\(([^)]+)\\)[{O.H}]*$', 1) || '"}}' else '{{}}' end as metadata from b)
-    select doc_id, row_number() over (partition by doc_id order by pos) - 1 as ord, type, level, content, metadata from o where content <> '' or type = 'image'""",
-)
+    select doc_id, row_number() over (partition by doc_id order by pos) - 1 as ord, type, level, content, metadata from o where content <> '' or type = 'image'"""
+
+
+def markdown_files(lib):
+    return lib.wide("markdown_lines").groupBy("doc_id").agg(F.expr("listagg(line, '\n') within group (order by pos)").alias("text"))
+
+
+@query("a4_markdown_blocks", MARKDOWN_BLOCKS)
 def a4(lib):
-    text = lib.wide("markdown_lines").groupBy("doc_id").agg(F.expr("listagg(line, '\n') within group (order by pos)").alias("text"))
-    return markdown_to_blocks(text, "doc_id").withColumn("ord", F.col("ord").cast("bigint"))
+    return markdown_to_blocks(markdown_files(lib), "doc_id").withColumn("ord", F.col("ord").cast("bigint"))
 
 
 # -- names, keys and labels ----------------------------------------------------------

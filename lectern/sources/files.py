@@ -30,9 +30,12 @@ def read_files(spark: SparkSession, directory: str, pattern: str | None = None,
 
 def scan_files(spark: SparkSession, directory: str, pattern: str | None = None) -> DataFrame:
     """Path, size and SHA-256 of every file; the digest of files that no row can hold (2 GiB) is null."""
-    return read_files(spark, directory, pattern, (1 << 31) - 1024).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
+    return digests(read_files(spark, directory, pattern, (1 << 31) - 1024)).select("path", "length", "sha256")
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """Files with the SHA-256 of their bytes in place of them."""
+    return files.withColumn("sha256", F.sha2("content", 256)).drop("content")
 
 
 def _le(head: Column, offset: int, size: int) -> Column:

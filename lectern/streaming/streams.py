@@ -149,10 +149,14 @@ class LiveLibrary:
         return self.spark.read.parquet(target)
 
 
+def arrivals(files: DataFrame) -> DataFrame:
+    """Files named from their paths and validated; works on streams and on tables."""
+    return validate_files(files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)))
+
+
 def watch_files(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
     """Newly arrived files, validated."""
-    arrivals = (
+    return arrivals(
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
         .option("maxFilesPerTrigger", files_per_trigger).load(directory)
     )
-    return validate_files(arrivals.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)))
