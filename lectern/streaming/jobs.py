@@ -15,6 +15,7 @@ from ..operators.ordered import running, slice_of
 STATUS = {"enqueue": "queued", "start": "running", "retry": "queued",
           "succeed": "succeeded", "fail": "failed", "cancel": "cancelled"}
 STAGE = {"enqueue": "Đang chờ", "retry": "Đang chờ", "succeed": "Xong", "fail": "Thất bại", "cancel": "Đã hủy"}
+DISMISSED = "dismissed"
 OPENING = ("enqueue", "start", "retry")
 
 EVENTS = "job_id, seq, action, progress, stage, failure"
@@ -123,12 +124,17 @@ class JobFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         job = tuple(self.job.get()) if self.job.exists() else None
+        gone = None
         for event in pd.concat(list(rows)).sort_values("seq").itertuples():
+            gone = int(event.seq) if job is not None and event.action == "dismiss" else gone
             job = self.step(job, event)
-        if job is None:
+        if job is not None:
+            self.job.update(job)
+        elif gone is not None:
             self.job.clear()
+            job = (DISMISSED, None, None, None, gone)
+        else:
             return
-        self.job.update(job)
         names = [c.split()[0] for c in self.SCHEMA.split(", ")]
         yield pd.DataFrame([(key[0], *job)], columns=["job_id", *names])
 
@@ -139,6 +145,8 @@ class JobFold(StatefulProcessor):
 def fold_jobs_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The streaming twin: the new row of every job a trigger touched.
 
+    A dismissed job gives one row of the status ``dismissed`` and no other values; ``live_jobs``
+    takes such jobs out of the rows a sink has kept.
     State holds one row per live job; a dismissed job frees it at once, an abandoned one
     stays unless ``ttl_ms`` is given, after which its later events count as those of an unknown job.
     """
@@ -146,3 +154,10 @@ def fold_jobs_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return events.groupBy("job_id").transformWithStateInPandas(
         JobFold(ttl_ms), OUTPUT.format(key=key), "Update", "ProcessingTime" if ttl_ms else "None"
     )
+
+
+def live_jobs(emitted: DataFrame) -> DataFrame:
+    """The latest row of every job among the rows a stream gave, without dismissed jobs."""
+    fields = ["last_seq", *[c for c in emitted.columns if c not in ("job_id", "last_seq")]]
+    latest = emitted.groupBy("job_id").agg(F.max_by(F.struct(*fields), "last_seq").alias("row"))
+    return latest.select("job_id", "row.*").where(F.col("status") != DISMISSED).select(emitted.columns)

@@ -88,32 +88,59 @@ def progress(results: DataFrame) -> DataFrame:
 
 
 class ProgressFold(StatefulProcessor):
-    """Counts of one document until a missing model stops it."""
+    """Counts of one document up to its smallest missing model, whatever order its rows arrive in.
+
+    The state maps every sentence up to the stop to its outcomes, so a smaller stop that
+    arrives later takes back what counted beyond it.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "completed bigint, failed bigint, stopped boolean")
+        self.counts = handle.getValueState("counts", "completed bigint, failed bigint, stop bigint", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "idx bigint, outcome string", "n bigint", self.ttl_ms)
+
+    @staticmethod
+    def _added(counts: tuple[int, int], outcome: str, n: int) -> tuple[int, int]:
+        return counts[0] + n * (outcome != "model_missing"), counts[1] + n * (outcome != "ok")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        completed, failed, stopped = self.counts.get() if self.counts.exists() else (0, 0, False)
-        for outcome in pd.concat(list(rows)).sort_values("idx")["outcome"]:
-            if stopped:
-                break
-            stopped = outcome == "model_missing"
-            completed += not stopped
-            failed += outcome != "ok"
-        self.counts.update((completed, failed, stopped))
+        completed, failed, stop = self.counts.get() if self.counts.exists() else (0, 0, None)
+        counts, first = (completed, failed), stop
+        for frame in rows:
+            for (idx, outcome), n in frame.groupby(["idx", "outcome"]).size().items():
+                if stop is not None and idx > stop:
+                    continue
+                entry, n = (int(idx), outcome), int(n)
+                before = self.seen.getValue(entry)[0] if self.seen.containsKey(entry) else 0
+                self.seen.updateValue(entry, (before + n,))
+                counts = self._added(counts, outcome, n)
+                if outcome == "model_missing":
+                    stop = int(idx)
+        if stop != first:
+            counts = (0, 0)
+            for (idx, outcome), (n,) in self.seen.iterator():
+                if idx <= stop:
+                    counts = self._added(counts, outcome, n)
+        self.counts.update((*counts, stop))
         yield pd.DataFrame(
-            [(key[0], completed, failed, stopped)], columns=["document_id", "completed", "failed", "stopped"]
+            [(key[0], *counts, stop is not None)], columns=["document_id", "completed", "failed", "stopped"]
         )
 
     def close(self) -> None:
         pass
 
 
-def progress_stream(results: DataFrame) -> DataFrame:
+def progress_stream(results: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The streaming twin: the counts of every document a trigger touched.
+
+    State holds one entry per sentence up to the stop and stays unless ``ttl_ms`` is given.
+    """
     key = results.schema["document_id"].dataType.simpleString()
     return results.groupBy("document_id").transformWithStateInPandas(
-        ProgressFold(), f"document_id {key}, completed bigint, failed bigint, stopped boolean", "Update", "None"
+        ProgressFold(ttl_ms), f"document_id {key}, completed bigint, failed bigint, stopped boolean", "Update",
+        "ProcessingTime" if ttl_ms else "None",
     )
 
 
@@ -124,12 +151,13 @@ class LiveLibrary:
     """A library view kept current from a stream of changes.
 
     Each trigger appends its changes to a log folder named after its batch, so a retried
-    batch overwrites itself.  The view is the base table with the log applied; ``compact``
-    folds the log into a new base when it has grown.
+    batch overwrites itself.  The view is the latest base with the newer log applied.
+    ``compact`` folds the log into a new base, records the last batch folded and then
+    removes the log folders up to it, so a view reads one base and a short log.
     """
 
     def __init__(self, spark: SparkSession, base: DataFrame, directory: str):
-        self.spark, self.base, self.directory = spark, base, directory
+        self.spark, self.given, self.directory = spark, base, directory
 
     def absorb(self, changes: DataFrame, batch: int) -> None:
         changes.write.mode("overwrite").parquet(f"{self.directory}/log/batch={batch}")
@@ -137,16 +165,56 @@ class LiveLibrary:
     def start(self, changes: DataFrame, checkpoint: str):
         return changes.writeStream.foreachBatch(self.absorb).option("checkpointLocation", checkpoint)
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _folded(self) -> int:
+        """The last batch that is part of a base, -1 before the first compaction."""
+        files, path = self._path("folded")
+        if not files.exists(path):
+            return -1
+        return self.spark.read.schema("through bigint").parquet(f"{self.directory}/folded").agg(F.max("through")).first()[0]
+
+    def _base(self, through: int) -> DataFrame:
+        return self.given if through < 0 else self.spark.read.schema(self.given.schema).parquet(f"{self.directory}/base-{through}")
+
+    def _log(self, log_schema, through: int) -> DataFrame:
+        """Changes of the batches after ``through``, with their batch."""
+        files, path = self._path("log")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], log_schema).withColumn("_batch", F.lit(0).cast("bigint"))
+        log = self.spark.read.schema(log_schema).option("recursiveFileLookup", "true").parquet(f"{self.directory}/log")
+        batch = F.regexp_extract("_metadata.file_path", "/batch=([0-9]+)/", 1).cast("bigint")
+        return log.withColumn("_batch", batch).where(F.col("_batch") > through)
+
     def current(self, log_schema) -> DataFrame:
-        log = self.spark.read.schema(log_schema).parquet(f"{self.directory}/log")
-        return upsert(self.base, log, "uuid", ["updated_at", "seq"])
+        through = self._folded()
+        return upsert(self._base(through), self._log(log_schema, through).drop("_batch"), "uuid", ["updated_at", "seq"])
 
     def view(self, log_schema, key: str = "updatedAt", ascending: bool = False, **filters) -> DataFrame:
         return sort_library(filter_library(self.current(log_schema), **filters), key, ascending)
 
-    def compact(self, log_schema, target: str) -> DataFrame:
-        self.current(log_schema).write.mode("overwrite").parquet(target)
-        return self.spark.read.parquet(target)
+    def compact(self, log_schema) -> DataFrame:
+        """Fold the log into a new base and empty it; the base is the view until new changes arrive.
+
+        Views built before stay on the older base, which is left for them, and on log
+        folders that are removed here: build a view anew after a compaction.
+        """
+        through = self._folded()
+        log = self._log(log_schema, through)
+        last = log.agg(F.max("_batch")).first()[0]
+        if last is None:
+            return self._base(through)
+        folded = upsert(self._base(through), log.where(F.col("_batch") <= last).drop("_batch"), "uuid", ["updated_at", "seq"])
+        folded.write.mode("overwrite").parquet(f"{self.directory}/base-{last}")
+        self.spark.createDataFrame([(last,)], "through bigint").coalesce(1).write.mode("append").parquet(f"{self.directory}/folded")
+        files, path = self._path("log")
+        for entry in files.listStatus(path):
+            name = entry.getPath().getName()
+            if name.startswith("batch=") and int(name.removeprefix("batch=")) <= last:
+                files.delete(entry.getPath(), True)
+        return self._base(last)
 
 
 def arrivals(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Streaming results equal their batch twins."""
 
+import glob
 import random
 import tempfile
 
@@ -74,10 +75,17 @@ def test_job_fold(spark):
     assert {r.job_id: (r.status, r.progress, r.stage, r.failure) for r in batch} == want
 
     table = run(spark, jobs.fold_jobs_stream(as_stream(spark, rows, JOB_SCHEMA), ttl_ms=None), "job_rows", "update")
-    latest = {}
-    for r in table.orderBy("last_seq").collect():
-        latest[r.job_id] = (r.status, r.progress, r.stage, r.failure)
-    assert {k: v for k, v in latest.items() if k in want} == want
+    live = jobs.live_jobs(table).collect()
+    assert {r.job_id: (r.status, r.progress, r.stage, r.failure) for r in live} == want
+
+
+def test_dismissed_job_is_removed_and_may_come_again(spark):
+    rows = [(1, 0, "enqueue", None, "a", None), (2, 1, "enqueue", None, "b", None), (1, 2, "dismiss", None, None, None),
+            (3, 3, "dismiss", None, None, None), (2, 4, "dismiss", None, None, None), (2, 5, "enqueue", None, "c", None)]
+    table = run(spark, jobs.fold_jobs_stream(as_stream(spark, rows, JOB_SCHEMA, 2)), "dismissed_rows", "update")
+    assert {(r.job_id, r.status, r.last_seq) for r in table.collect()} == {
+        (1, "dismissed", 2), (2, "queued", 1), (2, "queued", 5)}
+    assert [tuple(r) for r in jobs.live_jobs(table).collect()] == [(2, "queued", 0.0, "c", None, 5)]
 
 
 def test_playback_fold(spark):
@@ -114,6 +122,17 @@ def test_progress(spark):
     assert {r.document_id: tuple(r.r) for r in last} == want
 
 
+def test_progress_takes_rows_in_any_order(spark):
+    schema = "document_id string, idx bigint, outcome string"
+    late = [("a", i, "model_missing" if i == 7 else "ok") for i in (8, 7, 6, 4)]
+    early = [("a", 5, "model_missing"), ("a", 0, "ok"), ("a", 1, "failed"), ("a", 6, "failed")]
+    batch = streams.progress(spark.createDataFrame(late + early, schema)).collect()
+    assert [tuple(r) for r in batch] == [("a", 3, 2, True)]
+    table = run(spark, streams.progress_stream(as_stream(spark, late + early, schema, 2)), "unordered_rows", "update")
+    rows = {tuple(r) for r in table.collect()}
+    assert len(rows) == 2 and ("a", 3, 2, True) in rows
+
+
 @pytest.mark.parametrize("fn,name", [(streams.track_positions, "positions"), (lambda d: streams.running_max(d, "document_id", "position_ms"), "slowest")])
 def test_update_mode_aggregates(spark, fn, name):
     schema = "document_id string, updated_at bigint, seq bigint, position_ms bigint"
@@ -153,7 +172,17 @@ def test_live_library(spark):
     query.processAllAvailable()
     query.stop()
     assert [(r.uuid, r.updated_at) for r in live.view(schema, status="ready").collect()] == [("c", 6), ("a", 5)]
-    assert {tuple(r) for r in live.current(schema).collect()} == {("a", "ready", 5), ("b", "failed", 8), ("c", "ready", 6)}
+    want = {("a", "ready", 5), ("b", "failed", 8), ("c", "ready", 6)}
+    assert {tuple(r) for r in live.current(schema).collect()} == want
+    assert {tuple(r) for r in live.compact(schema).collect()} == want
+    assert not glob.glob(f"{live.directory}/log/batch=*")
+    assert {tuple(r) for r in live.current(schema).collect()} == want
+    live.absorb(spark.createDataFrame([("c", "queued", 9, 5, both)], schema), 2)
+    want = want - {("c", "ready", 6)} | {("c", "queued", 9)}
+    again = streams.LiveLibrary(spark, base, live.directory)  # another driver finds the base
+    assert {tuple(r) for r in again.current(schema).collect()} == want
+    assert {tuple(r) for r in again.compact(schema).collect()} == want
+    assert {tuple(r) for r in again.compact(schema).collect()} == want
 
 
 def test_watch_files(spark):
