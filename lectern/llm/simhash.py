@@ -71,9 +71,12 @@ def _masks(bits: int, flips: int) -> np.ndarray:
     )
 
 
-def _shared(prints: np.ndarray, left: np.ndarray, depth: int, masks: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _shared(
+    prints: np.ndarray, left: np.ndarray, depth: int, masks: dict, kind: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(index, index)`` links among the prints of one bucket that share a variant.
 
+    Without ``kind`` each is linked to the first of its variant; with it every pair of unlike kinds is listed.
     All variants here agree in the first ``depth`` bits with the bucket; ``left`` is how many
     flips each print has left for the other bits.  Too many variants for one look are split
     by the next bit, which keeps memory bounded however many prints lie close together.
@@ -91,7 +94,7 @@ def _shared(prints: np.ndarray, left: np.ndarray, depth: int, masks: dict) -> It
             spent = (bit != side).astype(np.int64)
             keep = np.flatnonzero(left >= spent)
             for a, b in _shared(prints[keep] ^ (spent[keep].astype(np.uint64) << np.uint64(BITS - 1 - depth)),
-                                left[keep] - spent[keep], depth + 1, masks):
+                                left[keep] - spent[keep], depth + 1, masks, None if kind is None else kind[keep]):
                 yield keep[a], keep[b]
         return
     variants, owners = [], []
@@ -108,6 +111,9 @@ def _shared(prints: np.ndarray, left: np.ndarray, depth: int, masks: dict) -> It
     place = np.minimum(np.searchsorted(again, variants), len(again) - 1)
     hit = np.flatnonzero(again[place] == variants)
     place, owners = place[hit], owners[hit]
+    if kind is not None:
+        yield from _unlike(place, owners, kind, len(prints))
+        return
     first = np.full(len(again), len(prints))
     np.minimum.at(first, place, owners)
     other = owners != first[place]
@@ -115,6 +121,27 @@ def _shared(prints: np.ndarray, left: np.ndarray, depth: int, masks: dict) -> It
     yield pairs // len(prints), pairs % len(prints)
 
 
+def _unlike(place: np.ndarray, owners: np.ndarray, kind: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of owners at one place whose kinds differ, in time and memory that follow the pairs."""
+    order = np.lexsort((kind[owners], place))
+    place, owners = place[order], owners[order]
+    ends = np.searchsorted(place, place, "right")
+    turn = np.flatnonzero((place[1:] != place[:-1]) | (kind[owners[1:]] != kind[owners[:-1]])) + 1
+    run = np.append(turn, len(place))[np.searchsorted(turn, np.arange(len(place)), "right")]
+    count = ends - run
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + AT_ONCE, "right")))
+        own = count[at:stop]
+        if own.sum():
+            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            a, b = owners[np.repeat(np.arange(at, stop), own)], owners[np.repeat(run[at:stop], own) + step]
+            pairs = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+            yield pairs // n, pairs % n
+        at = stop
+
+
 def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest index that each of ``n`` indexes reaches."""
     a, b = (np.concatenate(x) for x in zip(*links))
@@ -144,30 +171,34 @@ def _deal(rows: DataFrame, bits: int) -> DataFrame:
             rows.where(F.col("left") >= k)
             .select("*", F.explode(flipped[k]).alias("_mask"))
             .select(
-                "table", "origin",
+                "table", "origin", "kind",
                 F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", "_mask", F.lit(BITS) - depth)).alias("fingerprint"),
                 (F.col("left") - k).alias("left"),
                 depth.alias("depth"),
             )
             if k
-            else rows.select("table", "origin", "fingerprint", "left", depth.alias("depth"))
+            else rows.select("table", "origin", "kind", "fingerprint", "left", depth.alias("depth"))
         )
     out = parts[0].union(parts[1]).union(parts[2])
     return out.withColumn("bucket", F.call_function("shiftrightunsigned", "fingerprint", F.lit(BITS) - F.col("depth")))
 
 
-def links(prints: DataFrame, radius: int = 4) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
     """``(table, a, b)`` links that join all distinct fingerprints of a table within ``radius`` (4, 2 or 0) bits of one another.
 
     ``prints`` has distinct rows ``table, fingerprint``.  Fingerprints that share a
     variant are linked through the smallest of them in their bucket; the links of a bucket
     are a forest, so their number follows the fingerprints and not the pairs.
+
+    With ``every``, ``prints`` also has ``kind long`` and the rows are all pairs of fingerprints within the
+    radius whose kinds differ, each at least once; a null kind differs from any other.
     """
     half = radius // 2
     n = prints.groupBy("table").count().agg(F.max("count")).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, n) / BUCKET)))
     rows = prints.select(
-        "table", F.col("fingerprint").alias("origin"), "fingerprint", F.lit(half).alias("left"), F.lit(0).alias("depth")
+        "table", F.col("fingerprint").alias("origin"), F.col("kind") if every else F.lit(None).cast("long").alias("kind"),
+        "fingerprint", F.lit(half).alias("left"), F.lit(0).alias("depth")
     )
     while bits > 0:  # one deal lists the flips of a few bits at a time
         rows = _deal(rows, min(bits, 10))
@@ -189,14 +220,24 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
         order = np.argsort(origin, kind="stable")
         origin, own = origin[order], got["fingerprint"].to_numpy().astype(np.uint64)[order]
         left, depth = got["left"].to_numpy().astype(np.int64)[order], int(got["depth"][0].as_py())
+        if every:
+            kinds = got["kind"].take(pa.array(order))
+            kind = np.unique(kinds.fill_null(0).to_numpy(), return_inverse=True)[1]
+            # Rows of one fingerprint are no pair, so a null kind is told apart by the fingerprint.
+            kind = np.where(kinds.is_null().to_numpy(), len(kind) + np.unique(origin, return_inverse=True)[1], kind)
+            for a, b in _shared(own, left, depth, {}, kind):
+                yield batch(origin[a], origin[b], got["table"][0].as_py())
+            return
         found = list(_shared(own, left, depth, {}))
         if found:
             label = _forest(len(origin), found)
             moved = np.flatnonzero(label != np.arange(len(label)))
-            a, b = origin[label[moved]], origin[moved]
-            keep = a != b
-            table = pa.array(np.full(int(keep.sum()), got["table"][0].as_py()), pa.int32())
-            yield pa.RecordBatch.from_arrays([table, pa.array(a[keep]), pa.array(b[keep])], names=["table", "a", "b"])
+            yield batch(origin[label[moved]], origin[moved], got["table"][0].as_py())
+
+    def batch(a: np.ndarray, b: np.ndarray, table: int) -> pa.RecordBatch:
+        keep = a != b
+        tables = pa.array(np.full(int(keep.sum()), table), pa.int32())
+        return pa.RecordBatch.from_arrays([tables, pa.array(a[keep]), pa.array(b[keep])], names=["table", "a", "b"])
 
     return rows.groupBy("table", "depth", "bucket").applyInArrow(meet, "table int, a long, b long")
 
@@ -267,6 +308,24 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
 
 
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs of text keys whose similarity is ``least`` or more, as written rows ``a, b``."""
+    sketches = marked.join(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "text_key", "left_semi")
+    sketches = saved(sketches.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+
+    @F.arrow_udf("double")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([similarity(u, v) for u, v in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+
+    return saved(
+        pairs.join(sketches.toDF("x", "u"), "x").join(sketches.toDF("y", "v"), "y")
+        .where(alike("u", "v") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")), "checked")
+
+
 def similar_texts(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
     radius: int = 4, tables: int = 8, feature: int = 2,
@@ -274,7 +333,8 @@ def similar_texts(
     """``id, text_key, component_id, kept``: groups of texts that links of similarity ``least`` or more join.
 
     Candidates are fingerprints within ``radius`` bits in any of ``tables`` independent tables, made of
-    ``feature``-word shingles, which change less than longer ones under an edit.  A link stays if
+    ``feature``-word shingles, which change less than longer ones under an edit.  Every candidate pair is
+    verified unless verified links join its texts already.  A link stays if
     the sets of ``shingle``-word shingles have a Jaccard similarity of at least ``least``, measured on the
     ``SKETCH`` smallest hashes of the shingles.  Equal texts (``text_key`` is their hash) are one node; null is empty,
     and empty texts are equal.  ``kept`` marks the row of the smallest id of a component, or rows that
@@ -302,19 +362,25 @@ def similar_texts(
     b = spoken.select("table", F.col("fingerprint").alias("b"), F.col("key").alias("y"))
     across = near.join(a, ["table", "a"]).join(b, ["table", "b"]).select("x", "y")
     within = prints.join(spoken, ["table", "fingerprint"]).select(F.col("text_key").alias("x"), F.col("key").alias("y"))
-    pairs = saved(
-        across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    sketches = marked.join(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "text_key", "left_semi")
-    sketches = saved(sketches.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
-
-    @F.arrow_udf("double")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similarity(u, v) for u, v in zip(left.to_pylist(), right.to_pylist())], pa.float64())
-
-    checked = (
-        pairs.join(sketches.toDF("x", "u"), "x").join(sketches.toDF("y", "v"), "y")
-        .where(alike("u", "v") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
+    pairs = saved(_pairs(across.unionByName(within)), "pairs")
+    checked = _verified(own, marked, pairs, shingle, least)
+    # The pairs so far join all candidates, but stand for others: where their verified links leave a
+    # group of candidates in several parts, every candidate pair of two parts is verified itself.
+    parts = components(pairs, "x", "y").join(components(checked).toDF("node", "part"), "node", "left").select(
+        F.col("node").alias("text_key"), "root", F.coalesce("part", "node").alias("part"))
+    parts = saved(parts, "parts")
+    torn = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    left = saved(prints.join(parts.join(torn, "root", "left_semi").select("text_key", "part"), "text_key"), "open")
+    if not left.isEmpty():
+        cells = saved(left.groupBy("table", "fingerprint").agg(F.min("part").alias("low"), F.max("part").alias("high")), "cells")
+        kinds = cells.select("table", "fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).alias("kind"))
+        mixed = kinds.where("kind is null").select("table", F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
+        met = links(kinds, radius, every=True).distinct().unionByName(mixed)
+        a = left.select("table", F.col("fingerprint").alias("a"), F.col("text_key").alias("x"), F.col("part").alias("p"))
+        b = left.select("table", F.col("fingerprint").alias("b"), F.col("text_key").alias("y"), F.col("part").alias("q"))
+        more = met.join(a, ["table", "a"]).join(b, ["table", "b"]).where("p <> q").select("x", "y")
+        more = saved(_pairs(more).join(pairs, ["x", "y"], "left_anti"), "pairs")
+        checked = checked.unionByName(_verified(own, marked, more, shingle, least))
     roots = components(checked)
     rooted = marked.select("_id", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select(
         "_id", "text_key", F.coalesce("root", "text_key").alias("root"))

@@ -319,3 +319,48 @@ def test_pipeline_stages(spark):
     assert sorted((r["doc_id"] or 0) for r in one) == [1, 3, 4, 5, 6]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
     assert "_score" not in corpus_pipeline.good_quality(spark, docs, SMALL).columns
+
+
+def near_groups(rng, n, edits, variants):
+    """Dense groups: copies of a text of ``n`` words, each with some of its words changed in its own way."""
+    words = [f"w{i}" for i in range(3000)]
+    base, out = rng_text(rng, words, n).split(), []
+    for _ in range(variants):
+        own = list(base)
+        for k in rng.sample(range(n), edits):
+            own[k] = f"x{rng.randrange(10**6)}"
+        out.append(own)
+        if rng.random() < 0.7:
+            own = list(own)
+            own[rng.randrange(n)] = f"y{rng.randrange(10**6)}"
+            out.append(own)
+    return [" ".join(t) for t in out]
+
+
+def jaccard(a, b, shingle=5):
+    a, b = ({tuple(t[i : i + shingle]) for i in range(max(1, len(t) - shingle + 1))} for t in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_equal_brute_force_on_dense_groups(spark):
+    rng = random.Random(12)
+    texts = [t for edits in (2, 3, 4) for t in near_groups(rng, 90, edits, 14)]
+    prints = [simhash._sums(t.encode().lower().split(), 2, 8) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if root[i] != root[j] and any(((x ^ y) & (1 << 64) - 1).bit_count() <= 4 for x, y in zip(prints[i], prints[j])) and jaccard(texts[i], texts[j]) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    got = simhash.similar_texts(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
+def test_links_list_every_pair_of_unlike_kinds(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(63) for _ in range(4)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(62), rng.randrange(4))) for b in base for _ in range(25)})
+    kinds = {p: rng.choice([1, 2, 3, None]) for p in prints}
+    got = simhash.links(frame(spark, [(0, p, k) for p, k in kinds.items()], "table int, fingerprint long, kind long"), 4, every=True).collect()
+    want = {(p, q) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 4 and (kinds[p] is None or kinds[p] != kinds[q])}
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got} == want
