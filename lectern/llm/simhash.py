@@ -34,7 +34,7 @@ HOT_BUCKET = 200_000
 MORE_BITS = 6
 AT_ONCE = 1 << 21
 _HASHES_AT_ONCE = 1 << 15
-SKETCH = 128  # shingle hashes by which the similarity of a link is measured
+SKETCH = 128  # shingle hashes that are kept of every text; whole sets are made for the pairs that these leave open
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -289,23 +289,29 @@ def _hashed(words: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), "<u8")
 
 
-def _sketch(words: list[bytes], size: int) -> bytes:
-    """The ``SKETCH`` smallest distinct shingle hashes, packed: the whole set of a text with fewer shingles."""
-    least = np.zeros(0, "<u8")
-    for hashes in _hashed(words, size) if words else ():
-        least = np.unique(np.concatenate([least, hashes]))[:SKETCH]
-    return least.tobytes()
+def _set(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingle hashes of one text, in order."""
+    parts = [np.unique(h) for h in _hashed(words, size)] if words else []
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sketched sets: exact where both are whole, else estimated from the union's smallest."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) >= SKETCH or len(y) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(both))
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct values have a Jaccard similarity of ``least`` or more; empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return not every or both / every >= least
+
+
+def _ruled_out(a: np.ndarray, n: int, b: np.ndarray, m: int, least: float) -> bool:
+    """Whether the smallest values ``a`` and ``b`` of sets of ``n`` and ``m`` values prove a similarity below ``least``.
+
+    Up to the lesser of the two ends both sets are known, and what one of them lacks there it lacks for good.
+    """
+    end = min(a[-1] if len(a) < n else np.uint64(2**64 - 1), b[-1] if len(b) < m else np.uint64(2**64 - 1))
+    x, y = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    most = min(n - (len(x) - both), m - (len(y) - both))
+    return n + m > 0 and most / (n + m - most) < least
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -313,17 +319,44 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs of text keys whose similarity is ``least`` or more, as written rows ``a, b``."""
-    sketches = marked.join(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "text_key", "left_semi")
-    sketches = saved(sketches.groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    """The pairs of text keys whose similarity is ``least`` or more, as written rows ``a, b``.
+
+    Pairs that sketches do not rule out are decided by the whole sets of shingles, which are made
+    and moved for the texts of such pairs only.
+    """
+    sketches = _of_texts(marked.select("text_key", "sketch", "n"), pairs).groupBy("text_key")
+    sketches = saved(sketches.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "sketches")
 
-    @F.arrow_udf("double")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similarity(u, v) for u, v in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+    @F.arrow_udf("boolean")
+    def possible(u: pa.Array, n: pa.Array, v: pa.Array, m: pa.Array) -> pa.Array:
+        rows = zip(u.to_pylist(), n.to_pylist(), v.to_pylist(), m.to_pylist())
+        return pa.array([not _ruled_out(np.frombuffer(a, "<u8"), i, np.frombuffer(b, "<u8"), j, least) for a, i, b, j in rows], pa.bool_())
+
+    open = saved(
+        pairs.join(sketches.toDF("x", "u", "n"), "x").join(sketches.toDF("y", "v", "m"), "y")
+        .where(possible("u", "n", "v", "m")).select("x", "y"), "open")
+
+    @F.arrow_udf("binary")
+    def whole(column: pa.Array) -> pa.Array:
+        return pa.array([_set(t.lower().split(), shingle).tobytes() for t in byte_texts(column)], pa.binary())
+
+    sets = _of_texts(own.select("text_key", "_text"), open).groupBy("text_key").agg(F.first("_text").alias("_text"))
+    sets = saved(sets.select("text_key", whole("_text").alias("set")), "sets")
+
+    @F.arrow_udf("boolean")
+    def alike(u: pa.Array, v: pa.Array) -> pa.Array:
+        # One value at a time, as sets of long texts are large.
+        return pa.array([similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), least) for a, b in zip(u, v)], pa.bool_())
 
     return saved(
-        pairs.join(sketches.toDF("x", "u"), "x").join(sketches.toDF("y", "v"), "y")
-        .where(alike("u", "v") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")), "checked")
+        open.join(sets.toDF("x", "u"), "x").join(sets.toDF("y", "v"), "y")
+        .where(alike("u", "v")).select(F.col("x").alias("a"), F.col("y").alias("b")), "checked")
+
+
+def _of_texts(rows: DataFrame, pairs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of texts that are in a pair; up to ``broadcast_rows`` keys are sent, so no text is shuffled for them."""
+    keys = saved(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, "text_key", "left_semi")
 
 
 def similar_texts(
@@ -335,23 +368,24 @@ def similar_texts(
     Candidates are fingerprints within ``radius`` bits in any of ``tables`` independent tables, made of
     ``feature``-word shingles, which change less than longer ones under an edit.  Every candidate pair is
     verified unless verified links join its texts already.  A link stays if
-    the sets of ``shingle``-word shingles have a Jaccard similarity of at least ``least``, measured on the
-    ``SKETCH`` smallest hashes of the shingles.  Equal texts (``text_key`` is their hash) are one node; null is empty,
+    the whole sets of ``shingle``-word shingles, by their hashes, have a Jaccard similarity of at least ``least``.  Equal texts (``text_key`` is their hash) are one node; null is empty,
     and empty texts are equal.  ``kept`` marks the row of the smallest id of a component, or rows that
     repeat it; ``component_id`` is that id.
     """
     own = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     own = own.select("_id", "_text", F.xxhash64("_text").alias("text_key"))
-    spec = "prints array<long>, sketch binary"
+    spec = "prints array<long>, sketch binary, n long"
 
     @F.arrow_udf(spec)
     def mark(column: pa.Array) -> pa.Array:
         words = [t.lower().split() for t in byte_texts(column)]
+        sets = [(s[:SKETCH].tobytes(), len(s)) for s in (_set(w, shingle) for w in words)]
         return pa.StructArray.from_arrays(
-            [pa.array([_sums(w, feature, tables) for w in words], pa.list_(pa.int64())), pa.array([_sketch(w, shingle) for w in words], pa.binary())],
-            names=["prints", "sketch"])
+            [pa.array([_sums(w, feature, tables) for w in words], pa.list_(pa.int64())), pa.array([s for s, _ in sets], pa.binary()),
+             pa.array([n for _, n in sets], pa.int64())],
+            names=["prints", "sketch", "n"])
 
-    marked = saved(own.withColumn("_m", mark(F.col("_text"))).select("_id", "text_key", "_m.prints", "_m.sketch"), "marked")
+    marked = saved(own.withColumn("_m", mark(F.col("_text"))).select("_id", "text_key", "_m.prints", "_m.sketch", "_m.n"), "marked")
     nodes = marked.groupBy("text_key").agg(F.first("prints").alias("prints"))
     prints = nodes.select("text_key", F.posexplode("prints").alias("table", "fingerprint"))
     # One node speaks for a fingerprint; another one in each table, so links run by more than one text.

@@ -364,3 +364,26 @@ def test_links_list_every_pair_of_unlike_kinds(spark):
     got = simhash.links(frame(spark, [(0, p, k) for p, k in kinds.items()], "table int, fingerprint long, kind long"), 4, every=True).collect()
     want = {(p, q) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 4 and (kinds[p] is None or kinds[p] != kinds[q])}
     assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got} == want
+
+
+def test_similar_texts_decide_long_texts_exactly(spark):
+    rng = random.Random(14)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for i in range(40):
+        base = rng_text(rng, words, 504).split()  # 500 shingles; 5 are lost by a change, so 11 changes leave 445 of 555
+        for extra, changes in ((0, 0), (100, 11), (200, 12)):
+            own = list(base)
+            for k in range(changes):
+                own[20 + 40 * k] = f"x{i}"
+            rows.append((1000 * i + extra, " ".join(own), None, None, None))
+    pairs = [(x, y) for i in range(0, 120, 3) for x, y in ((i, i + 1), (i, i + 2))]
+    own = frame(spark, [(i, r[1]) for i, r in enumerate(rows)], "text_key long, _text string")
+    sets = [simhash._set(r[1].encode().split(), 5) for r in rows]
+    marked = frame(spark, [(i, s[: simhash.SKETCH].tobytes(), len(s)) for i, s in enumerate(sets)], "text_key long, sketch binary, n long")
+    kept = simhash._verified(own, marked, frame(spark, pairs, "x long, y long"), 5, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in kept} == {(x, y) for x, y in pairs if jaccard(rows[x][1], rows[y][1]) >= 0.8} == {p for p in pairs if p[1] % 3 == 1}
+    for x, y in pairs:
+        a, b = sets[x], sets[y]
+        assert not simhash._ruled_out(a[:128], len(a), b[:128], len(b), 0.8) or not simhash.similar(a, b, 0.8)
+    assert simhash.similar(sets[0][:0], sets[0][:0], 0.8) and not simhash.similar(sets[0], sets[0][:0], 0.8)
+    assert simhash._ruled_out(sets[0][:128], 500, sets[3][:128], 200, 0.8)
