@@ -29,6 +29,7 @@ BLOCK_CHARS = 8 << 20
 _WORD = re.compile(r"\w+")
 _AT_ONCE = 1 << 17
 _CHANGED = 2.0  # what a changed token costs in the best overlap, in equal tokens
+_LOST = round(LEAST_EQUAL / (1 - LEAST_EQUAL))  # what it costs where the sum of a stretch tells whether it is equal enough
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,18 +111,45 @@ class Block:
             best[item] = found
 
     def _verified(self, ids: np.ndarray, item: int, gap: int) -> tuple[int, int, int, int] | None:
-        """The best stretch of the item laid on the document at ``gap``, if long and equal enough."""
+        """The best stretch of the item laid on the document at ``gap``, if any is long and equal enough.
+
+        That is the best one by what changed tokens cost if it qualifies, or else the one of most equal
+        tokens among all that do, of these the shortest, then the first.
+        """
         own = self.ids[item]
         a, b = max(0, -gap), min(len(own), len(ids) - gap)
         equal = own[a:b] == ids[a + gap : b + gap]
+        least = min(LEAST_TOKENS, len(own))
+        if len(equal) < least or equal.sum() < LEAST_EQUAL * least:
+            return None
         sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -_CHANGED))])
         low = np.minimum.accumulate(sums)
         stop = int((sums - low).argmax())
         start = int(sums[: stop + 1].argmin())
         n, same = stop - start, int(equal[start:stop].sum())
-        if n >= min(LEAST_TOKENS, len(own)) and same >= LEAST_EQUAL * n:
-            return same, n, a + start + gap, a + start
+        if n < least or same < LEAST_EQUAL * n:
+            found = _most_equal(equal, least)
+            if found is None:
+                return None
+            start, stop = found
+            n, same = stop - start, int(equal[start:stop].sum())
+        return same, n, a + start + gap, a + start
+
+
+def _most_equal(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """``(start, stop)`` of the stretch of most equal tokens among those of ``least`` tokens that are equal enough."""
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -_LOST))])
+    count = np.concatenate([[0], np.cumsum(equal)])
+    # The farthest stop of a start is the last one from which the largest later sum is not below its own.
+    later = np.maximum.accumulate(sums[::-1])
+    stop = len(equal) - np.searchsorted(later, sums, "left")
+    start = np.flatnonzero(stop - np.arange(len(sums)) >= least)
+    if not len(start):
         return None
+    last = np.maximum.accumulate(np.concatenate([[0], np.where(equal, np.arange(1, len(equal) + 1), 0)]))
+    stop = np.maximum(start + least, last[stop[start]])  # changed tokens at the end are left out
+    best = np.lexsort((start, stop - start, count[start] - count[stop]))[0]
+    return int(start[best]), int(stop[best])
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[Block]:

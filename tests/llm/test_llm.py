@@ -387,3 +387,19 @@ def test_similar_texts_decide_long_texts_exactly(spark):
         assert not simhash._ruled_out(a[:128], len(a), b[:128], len(b), 0.8) or not simhash.similar(a, b, 0.8)
     assert simhash.similar(sets[0][:0], sets[0][:0], 0.8) and not simhash.similar(sets[0], sets[0][:0], 0.8)
     assert simhash._ruled_out(sets[0][:128], 500, sets[3][:128], 200, 0.8)
+
+
+def test_decontamination_finds_any_stretch_that_qualifies():
+    rng = random.Random(15)
+    item = [f"i{k}" for k in range(100)]
+    block = decontaminate.Block([(1, " ".join(item))])
+    runs = [w if k % 19 < 13 else "zz" for k, w in enumerate(item[:51])]
+    spread = [w if k % 4 != 3 or k > 87 else "zz" for k, w in enumerate(item)]
+    assert block.overlaps(" ".join(["a"] * 9 + runs + ["b"] * 9)) == {0: (26, 32, 9, 0)}
+    assert block.overlaps(" ".join(spread)) == {0: (48, 60, 40, 40)} and spread.count("zz") == 22
+    for n in (13, 20, 40):
+        for _ in range(300):
+            equal = np.array([rng.random() < rng.choice([0.7, 0.8]) for _ in range(n)])
+            want = min(((-int(equal[i:j].sum()), j - i, i) for i in range(n) for j in range(i + 13, n + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)), default=None)
+            got = decontaminate._most_equal(equal, 13)
+            assert got == (want and (want[2], want[2] + want[1]))
