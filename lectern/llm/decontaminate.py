@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, texts
 
-# Positions that count, in a window of tokens.
-MASKS = ("11111111", "1110110111", "11011010111", "1101100110111")
+# Positions that count, in a window of tokens.  One of these hits every overlap of 13 tokens or more that is 80 % equal:
+# those of 13 to 25 tokens are enumerated by the tests, and a longer one has a part among these.
+MASKS = ("11110111", "11101001011", "100100011111", "1110100010011", "1001110010011", "1111111")
 LEAST_TOKENS = 13  # of an overlap; a shorter item has to be there whole
 LEAST_EQUAL = 0.8  # of an overlap's tokens
 BLOCK_CHARS = 8 << 20
@@ -48,6 +50,16 @@ def _hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, out
 
 
+def whole_masks(n: int) -> list[str]:
+    """Masks over the whole of a shorter item: one of them has none of the tokens that may be changed in it.
+
+    Positions are dealt into three groups more than changes, and each mask leaves out as many groups as there are changes.
+    """
+    changes = next(k for k in range(n, -1, -1) if n - k >= LEAST_EQUAL * n)
+    groups = changes + 3
+    return ["".join("0" if i % groups in out else "1" for i in range(n)) for out in combinations(range(groups), changes)]
+
+
 class Block:
     """Benchmark items of one block: tokens as ids and the hashes of all masks in order."""
 
@@ -59,20 +71,26 @@ class Block:
             for w in t:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [np.array([self.vocabulary[w] for w in t], np.int64) for t in tokens]
-        self.tables = []
-        for mask in MASKS:
-            found = [(_hashes(ids, mask), item) for item, ids in enumerate(self.ids)]
-            hashes = np.concatenate([h for (_, h), _ in found] or [np.zeros(0, np.uint64)])
-            places = np.concatenate([s for (s, _), _ in found] or [np.zeros(0, np.int64)])
-            owners = np.concatenate([np.full(len(h), item) for (_, h), item in found] or [np.zeros(0, np.int64)])
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((hashes[order], owners[order], places[order]))
-        # Items too short for any mask are looked up as they are.
-        least = min(map(len, MASKS))
+        by_mask = {mask: [i for i, ids in enumerate(self.ids) if len(ids) >= LEAST_TOKENS] for mask in MASKS}
+        # Shorter items have masks of their own length; those that allow no change are looked up as they are.
         self.short: dict[tuple[int, ...], list[int]] = {}
         for item, ids in enumerate(self.ids):
-            if 0 < len(ids) < least:
-                self.short.setdefault(tuple(ids.tolist()), []).append(item)
+            if len(ids) < LEAST_TOKENS:
+                own = whole_masks(len(ids))
+                if len(own) > 1:
+                    for mask in own:
+                        by_mask.setdefault(mask, []).append(item)
+                elif len(ids):
+                    self.short.setdefault(tuple(ids.tolist()), []).append(item)
+        self.tables = []
+        for mask, items in by_mask.items():
+            if items:
+                found = [(_hashes(self.ids[item], mask), item) for item in items]
+                hashes = np.concatenate([h for (_, h), _ in found])
+                places = np.concatenate([p for (p, _), _ in found])
+                owners = np.concatenate([np.full(len(h), item) for (_, h), item in found])
+                order = np.argsort(hashes, kind="stable")
+                self.tables.append((mask, hashes[order], owners[order], places[order]))
 
     def overlaps(self, text: str) -> dict[int, tuple[int, int, int, int]]:
         """``item -> (equal, length, start in the document, start in the item)`` of the best verified overlap."""
@@ -84,7 +102,7 @@ class Block:
         get = self.vocabulary.get
         ids = np.concatenate([np.array([get(w, 0) for w in p], np.int32) for p in parts] or [np.zeros(0, np.int32)])
         lined: set[tuple[int, int]] = set()
-        for mask, (hashes, owners, places) in zip(MASKS, self.tables):
+        for mask, hashes, owners, places in self.tables:
             starts, own = _hashes(ids, mask)
             if not len(own) or not len(hashes):
                 continue

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -403,3 +404,27 @@ def test_decontamination_finds_any_stretch_that_qualifies():
             want = min(((-int(equal[i:j].sum()), j - i, i) for i in range(n) for j in range(i + 13, n + 1) if 5 * equal[i:j].sum() >= 4 * (j - i)), default=None)
             got = decontaminate._most_equal(equal, 13)
             assert got == (want and (want[2], want[2] + want[1]))
+
+
+def test_masks_hit_every_overlap_by_enumeration():
+    masks = [int(m[::-1], 2) for m in decontaminate.MASKS]
+    for n in range(13, 26):  # of 26 tokens and more, one of two parts of at least 13 tokens is as equal as the whole
+        left = np.array([(1 << n) - 1 ^ sum(1 << i for i in c) for c in combinations(range(n), n // 5)])
+        for mask in masks:
+            for at in range(n):
+                left = left[(left >> at) & mask != mask]
+        assert not len(left)
+    for n in range(1, 13):
+        masks = decontaminate.whole_masks(n)
+        for changed in combinations(range(n), n // 5):
+            assert any(len(m) == n and all(m[i] == "0" for i in changed) for m in masks)
+
+
+def test_decontamination_finds_changed_short_items():
+    for n, k in ((5, 1), (7, 1), (8, 1), (9, 1), (10, 2), (12, 2), (13, 2), (15, 3), (20, 4)):
+        item = [f"i{i}" for i in range(n)]
+        block = decontaminate.Block([(1, " ".join(item)), (2, "alpha beta")])
+        for changed in combinations(range(n), k):
+            text = ["a"] * 3 + ["zz" if i in changed else w for i, w in enumerate(item)] + ["b"] * 3
+            assert 0 in block.overlaps(" ".join(text))
+        assert not block.overlaps(" ".join(w if i % 2 else "zz" for i, w in enumerate(item)))
