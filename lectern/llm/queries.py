@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, decontaminate, langid, quality, simhash, suffix, topk, toxicity
+from . import bpe, chat, counts, decontaminate, divergence, langid, mixing, quality, simhash, spelling, suffix, topk, toxicity
 from .common import fold_of, saved, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -97,9 +97,27 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(spelling.words(table(spark, directory, "documents")))
+
+
+def op12_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of sources of every language, and the terms that tell a source from its language."""
+    return divergence.divergence(table(spark, directory, "documents"))
+
+
+def op13_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    """Words that a mix of one and a half times the documents takes of each."""
+    docs = table(spark, directory, "documents")
+    rows = saved(docs.select("doc_id", "source", mixing.words().alias("size"), mixing.draw(13, "doc_id", "text").alias("draw")), "rows")
+    return mixing.allot(rows, mixing.cycle_weights(rows, [5, 2, 1])).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_chat, op2_token_counts, op3_quality, op4_bpe, op5_language, op6_toxicity, op7_repeats,
-              op8_near_duplicates, op9_search, op10_decontaminate)
+              op8_near_duplicates, op9_search, op10_decontaminate, op11_spelling, op12_divergence, op13_mixing)
 }
-ORACLES = {"op1_chat": chat.ORACLE, "op9_search": topk.ORACLE}
+ORACLES = {"op1_chat": chat.ORACLE, "op9_search": topk.ORACLE, "op11_spelling": spelling.ORACLE,
+           "op12_divergence": divergence.ORACLE, "op13_mixing": mixing.ORACLE}
