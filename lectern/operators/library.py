@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +59,15 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def pending_jobs(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(F.col("status").isin(*IN_PROGRESS)).orderBy("created_at", "uuid")
+    return sorted_by(jobs.filter(F.col("status").isin(*IN_PROGRESS)), PENDING)
 
 
 def history(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("last_opened_at").isNotNull()).orderBy(
-        F.col("last_opened_at").desc_nulls_last(), "uuid"
-    )
+    return sorted_by(docs.filter(F.col("last_opened_at").isNotNull()), HISTORY)
 
 
 def favorites(docs: DataFrame) -> DataFrame:
-    return docs.filter("is_favorite").orderBy(F.col("updated_at").desc_nulls_last(), "uuid")
+    return sorted_by(docs.filter("is_favorite"), FAVORITES)
 
 
 def low_confidence(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def speakable(blocks: DataFrame) -> DataFrame:
 
 
 def outline(blocks: DataFrame) -> DataFrame:
-    return blocks.filter(F.col("type").isin("title", "heading")).orderBy("document_id", "ord")
+    return sorted_by(blocks.filter(F.col("type").isin("title", "heading")), OUTLINE)
 
 
 def job_views(jobs: DataFrame) -> DataFrame:
@@ -110,27 +110,89 @@ def with_doc_flags(docs: DataFrame) -> DataFrame:
     )
 
 
-# -- sorts and limits ----------------------------------------------------------------
+# -- sorts, pages and limits ---------------------------------------------------------
+
+# An order is a list of (column, ascending); nulls come first where it rises and last where it falls.
+Order = list[tuple[str, bool]]
+PENDING: Order = [("created_at", True), ("uuid", True)]
+HISTORY: Order = [("last_opened_at", False), ("uuid", True)]
+FAVORITES: Order = [("updated_at", False), ("uuid", True)]
+OUTLINE: Order = [("document_id", True), ("ord", True)]
+NATURAL: dict[str, Order] = {
+    "pages": [("document_id", True), ("page_number", True), ("uuid", True)],
+    "blocks": [("document_id", True), ("ord", True), ("uuid", True)],
+    "images": [("document_id", True), ("page_number", True), ("uuid", True)],
+}
+
+
+def library_order(key: str = "updatedAt", ascending: bool = False) -> Order:
+    """One of the five library orders; the id breaks ties so that pages are stable."""
+    return [(SORT_KEYS[key], ascending), ("uuid", True)]
+
+
+def sorted_by(df: DataFrame, order: Order) -> DataFrame:
+    return df.orderBy(*[F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order])
 
 
 def sort_library(docs: DataFrame, key: str = "updatedAt", ascending: bool = False) -> DataFrame:
-    """The five library orders; the id breaks ties so that pages are stable."""
-    column = F.col(SORT_KEYS[key])
-    return docs.orderBy(column.asc_nulls_first() if ascending else column.desc_nulls_last(), "uuid")
+    return sorted_by(docs, library_order(key, ascending))
 
 
 def page(ordered: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an already totally ordered frame."""
+    """One page of an already totally ordered frame, by its number: every page before it is gathered too."""
     return ordered.offset(number * size).limit(size)
 
 
+def _beyond(column: str, ascending: bool, value, inclusive: bool = False) -> Column:
+    """Rows whose value comes after ``value`` in one column of an order (or is equal to it)."""
+    own = F.col(column)
+    if value is None:  # nulls come first where the order rises and last where it falls
+        return F.lit(True) if ascending and inclusive else own.isNotNull() if ascending else own.isNull() & F.lit(inclusive)
+    if ascending:
+        return own >= value if inclusive else own > value
+    return (own <= value if inclusive else own < value) | own.isNull()
+
+
+def after(order: Order, cursor: tuple) -> Column:
+    """Rows behind the cursor, the values of the order's columns in the last row seen.
+
+    The bound on the first column stands alone as well, so that a scan can skip by it.
+    """
+    behind, equal = F.lit(False), F.lit(True)
+    for (column, ascending), value in zip(order, cursor, strict=True):
+        behind = behind | (equal & _beyond(column, ascending, value))
+        equal = equal & F.col(column).eqNullSafe(F.lit(value))
+    return _beyond(*order[0], cursor[0], inclusive=True) & behind
+
+
+def page_after(df: DataFrame, order: Order, cursor: tuple | None = None, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind a cursor, or the first one.
+
+    The filter reaches the scan and the page is a top-k of what is behind it, so the depth of a page
+    costs nothing.  The order has to be total: its last column tells rows apart.
+    """
+    return sorted_by(df if cursor is None else df.filter(after(order, cursor)), order).limit(size)
+
+
+def last_key(page: DataFrame, order: Order) -> tuple | None:
+    """The cursor behind a page: the key of its last row, null for an empty page."""
+    row = sorted_by(page.select(*[c for c, _ in order]), [(c, not up) for c, up in order]).first()
+    return None if row is None else tuple(row)
+
+
+def pages(df: DataFrame, order: Order, size: int = PAGE_SIZE) -> Iterator[DataFrame]:
+    """Page after page from the first to the last; only a cursor of one row passes through the driver."""
+    cursor = None
+    while True:
+        found = page_after(df, order, cursor, size)
+        cursor = last_key(found, order)
+        if cursor is None:
+            return
+        yield found
+
+
 def natural_order(df: DataFrame, kind: str) -> DataFrame:
-    keys = {
-        "pages": [F.col("page_number").asc()],
-        "blocks": [F.col("ord").asc()],
-        "images": [F.col("page_number").asc_nulls_first()],
-    }
-    return df.orderBy("document_id", *keys[kind], "uuid")
+    return sorted_by(df, NATURAL[kind])
 
 
 def log_tail(logs: DataFrame, n: int = 200) -> DataFrame:

@@ -13,8 +13,18 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DateType,
+    IntegralType,
+    NumericType,
+    StringType,
+    TimestampType,
+)
 
 SLICE_ROWS = 65_536
+SPLITS, FAN = 1024, 32  # slices of a large group, and how many cuts are searched at once
 
 
 def slice_of(order: Column | str, rows: int = SLICE_ROWS) -> Column:
@@ -23,6 +33,65 @@ def slice_of(order: Column | str, rows: int = SLICE_ROWS) -> Column:
     return F.floor(order / F.lit(rows))
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A number that never falls where the column rises: the value itself, or the first bytes of a text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    if isinstance(kind, BooleanType):
+        return F.col(column).cast("int")
+    if isinstance(kind, (DateType, TimestampType)):
+        return F.unix_date(column).cast("bigint") if isinstance(kind, DateType) else F.unix_micros(column)
+    return F.col(column).cast("double") if isinstance(kind, NumericType) and not isinstance(kind, IntegralType) else F.col(column)
+
+
+def _between(cuts: str, value: Column) -> Column:
+    """How many of the sorted cuts lie below a value: first by every ``FAN``-th cut, then inside one run of them."""
+    runs = F.sequence(F.lit(FAN), F.lit(SPLITS - 1), F.lit(FAN))
+    run = F.size(F.filter(F.transform(runs, lambda i: F.element_at(cuts, i)), lambda c: c < value))
+    return FAN * run + F.size(F.filter(F.slice(F.col(cuts), FAN * run + 1, FAN), lambda c: c < value))
+
+
+def equal_slices(df: DataFrame, by: list[str], order: list[str], rows: int = SLICE_ROWS) -> tuple[DataFrame, list[Column]]:
+    """``df`` with slice columns of about equal weight, whatever the distribution of the order's values.
+
+    A group of up to ``rows`` rows is one slice.  A larger one is cut at ``SPLITS`` weighted quantiles of its
+    first order column; where one value alone fills more than a slice, its rows are cut at those of the next column, and
+    so on.  The cuts are kept for large groups only, so that ordinary rows meet no shuffle for them.
+    """
+    numbers = [f"_number{i}" for i in range(len(order))]
+    at = [f"_part{i}" for i in range(len(order))]
+    fractions = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+    rows_of = df.select("*", *[as_number(df, c).alias(n) for c, n in zip(order, numbers)])
+    outer: list[str] = []
+    for i, (number, part) in enumerate(zip(numbers, at)):
+        keys = [*by, *outer]
+        asked = rows_of if i == 0 else rows_of.filter("_heavy")
+        asked = asked.select(number, *[F.col(k).alias(f"_key{j}") for j, k in enumerate(keys)])
+        own = [f"_key{j}" for j in range(len(keys))]
+        large = asked.groupBy(*own).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > rows).drop("_size")
+        large = large.toDF(*[f"_large{j}" for j in range(len(keys))])
+        same = F.lit(True)
+        for j in range(len(keys)):
+            same = same & F.col(f"_key{j}").eqNullSafe(F.col(f"_large{j}"))
+        inside = asked.join(large, same, "left_semi") if keys else asked
+        cuts = inside.groupBy(*own).agg(
+            F.count(F.lit(1)).alias("_size"), F.percentile_approx(number, fractions, F.lit(8 * SPLITS)).alias("_cuts")
+        ).filter((F.col("_size") > rows) & F.col("_cuts").isNotNull()).drop("_size")
+        match = F.lit(True) if i == 0 else F.col("_heavy")
+        for j, k in enumerate(keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"_key{j}"))
+        found = rows_of.join(cuts, match, "left") if keys or i else rows_of.join(F.broadcast(cuts), match, "left")
+        value = F.col(number)
+        # Two cuts at one value: its rows alone are more than a slice.
+        heavy = F.coalesce(F.size(F.filter("_cuts", lambda c: c == value)) > 1, F.lit(False))
+        split = F.when(F.col("_cuts").isNull(), 0).when(value.isNull(), -1).otherwise(_between("_cuts", value))
+        kept = [c for c in rows_of.columns if c != "_heavy"]
+        rows_of = found.select(*kept, split.cast("int").alias(part), heavy.alias("_heavy"))
+        outer = [*outer, part, number]
+    return rows_of.drop("_heavy", *numbers), [F.col(p) for p in at]
+
+
 def _combine(kind: str, carry: Column, local: Column) -> Column:
     if kind == "sum":
         return F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -111,6 +180,20 @@ def number_rows(
     return running(df, by, order, slices, {name: ("sum", F.lit(1).cast("bigint"))}, coarse=coarse)
 
 
+def positions(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank", rows: int = SLICE_ROWS) -> DataFrame:
+    """The 0-based place of every row in a total order of ``(column, ascending)`` pairs.
+
+    Nulls come first where the order rises and last where it falls.  No task orders the whole table:
+    its slices are numbered on their own.
+    """
+    keys = [f"_order{i}" for i in range(len(order))]
+    number = lambda c, up: as_number(df, c) if up else F.coalesce(-as_number(df, c).cast("double"), F.lit(float("inf")))
+    keyed = df.select("*", *[number(c, up).alias(k) for (c, up), k in zip(order, keys)])
+    sliced, slices = equal_slices(keyed, [], keys, rows)
+    sort = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in order]
+    return number_rows(sliced, [], sort, slices, name).select(*df.columns, name)
+
+
 def previous(
     df: DataFrame, by: list[str], order: list[str], slices: list[Column], columns: list[str],
     name: str = "previous",

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..functions.text import page_number_of
 from ..operators import library as L
+from ..operators import postings
 from ..operators import search as S
+from ..operators.ordered import positions, shared_folder
 from ..schemas import ENUMS
 from .base import Library, query
 from .oracle_text import has_text
 
-TERM = "ÉLÉ"
-NAME_TERM = "The"
+TERM = "FÜR"
+NAME_TERM = "volume es"
 
 
 @query(
@@ -35,19 +41,21 @@ def b2(lib):
     return L.lookup(lib["lib_docs"], "uuid", "d42").select("uuid", "file_size", "status")
 
 
-@query("b3_pending_jobs", "select uuid, status, created_at from {lib_jobs} where status in ('queued', 'extracting', 'ocr')")
+@query("b3_pending_jobs", """select uuid, status, created_at, row_number() over (order by created_at, uuid) - 1 as rank
+  from {lib_jobs} where status in ('queued', 'extracting', 'ocr')""")
 def b3(lib):
-    return L.pending_jobs(lib["lib_jobs"]).select("uuid", "status", "created_at")
+    return positions(L.pending_jobs(lib["lib_jobs"]).select("uuid", "status", "created_at"), L.PENDING)
 
 
-@query("b4_history", "select uuid, last_opened_at from {lib_docs} where last_opened_at is not null")
+@query("b4_history", """select uuid, last_opened_at, row_number() over (order by last_opened_at desc, uuid) - 1 as rank
+  from {lib_docs} where last_opened_at is not null""")
 def b4(lib):
-    return L.history(lib["lib_docs"]).select("uuid", "last_opened_at")
+    return positions(L.history(lib["lib_docs"]).select("uuid", "last_opened_at"), L.HISTORY)
 
 
-@query("b5_favorites", "select uuid, updated_at from {lib_docs} where is_favorite")
+@query("b5_favorites", "select uuid, updated_at, row_number() over (order by updated_at desc nulls last, uuid) - 1 as rank from {lib_docs} where is_favorite")
 def b5(lib):
-    return L.favorites(lib["lib_docs"]).select("uuid", "updated_at")
+    return positions(L.favorites(lib["lib_docs"]).select("uuid", "updated_at"), L.FAVORITES)
 
 
 @query("b6_low_confidence", "select document_id, ord, confidence from {lib_blocks} where confidence < 0.85")
@@ -66,9 +74,10 @@ def b7(lib):
     )
 
 
-@query("b8_outline", "select document_id, ord, type, content from {lib_blocks} where type in ('title', 'heading')")
+@query("b8_outline", """select document_id, ord, type, content, row_number() over (order by document_id, ord) - 1 as rank
+  from {lib_blocks} where type in ('title', 'heading')""")
 def b8(lib):
-    return L.outline(lib["lib_blocks"]).select("document_id", "ord", "type", "content")
+    return positions(L.outline(lib.wide("lib_blocks")).select("document_id", "ord", "type", "content"), L.OUTLINE)
 
 
 @query(
@@ -237,9 +246,39 @@ def d24(lib):
 # -- sorts and limits ----------------------------------------------------------------
 
 
-@query("f1_sort_last_opened", "select uuid, last_opened_at from {lib_docs}")
+_SORTS = [(key, up) for key in L.SORT_KEYS for up in (True, False)]
+
+
+@query("f1_sort_library", " union all ".join(
+    f"""select uuid, '{key}' as sort_key, {up} as ascending,
+        row_number() over (order by {L.SORT_KEYS[key]} {'asc nulls first' if up else 'desc nulls last'}, uuid) - 1 as rank from {{lib_docs}}"""
+    for key, up in _SORTS))
 def f1(lib):
-    return L.sort_library(lib["lib_docs"], "lastOpenedAt", ascending=True).select("uuid", "last_opened_at")
+    """Every document's place in each of the five orders, rising and falling."""
+    docs = lib["lib_docs"].select("uuid", *set(L.SORT_KEYS.values()))
+    placed = [
+        positions(L.sort_library(docs, key, up), L.library_order(key, up))
+        .select("uuid", F.lit(key).alias("sort_key"), F.lit(up).alias("ascending"), "rank")
+        for key, up in _SORTS
+    ]
+    return reduce(DataFrame.unionByName, placed)
+
+
+_PAGE_ORDERS = {"last_opened_at desc nulls last, uuid": ("lastOpenedAt", False), "last_opened_at asc nulls first, uuid": ("lastOpenedAt", True)}
+
+
+@query("f2_page_after", " union all ".join(
+    f"""select uuid, last_opened_at, {up} as ascending, cast((row_number() over (order by {text}) - 1) // 250 as int) as page from {{lib_docs}}"""
+    for text, (_, up) in _PAGE_ORDERS.items()))
+def f2_after(lib):
+    """All pages of the library in two orders, each found from the last key of the one before."""
+    docs = lib["lib_docs"].select("uuid", "last_opened_at")
+    found = [
+        page.withColumns({"ascending": F.lit(up), "page": F.lit(number)})
+        for key, up in _PAGE_ORDERS.values()
+        for number, page in enumerate(L.pages(docs, L.library_order(key, up), 250))
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("f2_page", "select uuid, updated_at from {lib_docs} order by updated_at desc nulls last, uuid limit 50 offset 100")
@@ -265,9 +304,20 @@ def f3_each(lib):
     return L.latest_position(lib["lib_positions"], per_document=True).select("document_id", "sentence_index", "position_ms")
 
 
-@query("f4_natural_order", "select uuid, document_id, page_number from {lib_images}")
+_NATURAL = {"pages": "page_number", "blocks": "ord", "images": "page_number"}
+
+
+@query("f4_natural_order", " union all ".join(
+    f"""select uuid, document_id, '{kind}' as kind, row_number() over (order by document_id, {key} nulls first, uuid) - 1 as rank from {{lib_{kind}}}"""
+    for kind, key in _NATURAL.items()))
 def f4(lib):
-    return L.natural_order(lib["lib_images"], "images").select("uuid", "document_id", "page_number")
+    """Every page, block and image with its place in the natural order."""
+    placed = [
+        positions(L.natural_order(lib.wide(f"lib_{kind}").select("uuid", "document_id", key), kind), L.NATURAL[kind])
+        .select("uuid", "document_id", F.lit(kind).alias("kind"), "rank")
+        for kind, key in _NATURAL.items()
+    ]
+    return reduce(DataFrame.unionByName, placed)
 
 
 @query("e7_log_tail", 'select seq, level from {lib_logs} order by "at" desc, seq desc limit 200')
@@ -310,6 +360,17 @@ def h1(lib):
     return S.search_blocks(located, TERM).select(*_HITS.split(", "))
 
 
+@query("h1_search_by_index", f"select '{TERM}' as term, {_HITS} from ({_hit(TERM)}) union all select 'mañana esté' as term, {_HITS} from ({_hit('mañana esté')}) union all select 'über' as term, {_HITS} from ({_hit('über')})")
+def h1_index(lib):
+    """The same hits, and those of a term without any, from a written index of trigrams."""
+    index = postings.build(lib.wide("lib_blocks"), f"{shared_folder(lib.spark)}/postings-{uuid4().hex}")
+    hits = [
+        index.search_blocks(lib.wide("lib_docs"), lib["lib_pages"], term).select(F.lit(term).alias("term"), *_HITS.split(", "))
+        for term in (TERM, "mañana esté", "über")
+    ]
+    return reduce(DataFrame.unionByName, hits)
+
+
 def _renamed(lib):
     """Names that share no text with the body, so that title hits exist."""
     return lib["lib_docs"].withColumn("name", F.concat(F.lit("Volume "), F.upper("lang"), F.lit(" "), F.col("uuid")))
@@ -325,10 +386,11 @@ def h2(lib):
     return S.title_hits(docs, body, "volume fr").select(*_HITS.split(", "))
 
 
-@query("c7_titles_without_body_hits", f"select document_id from ({_titled(NAME_TERM)})")
+@query("c7_titles_without_body_hits", f"select document_id from ({_titled(NAME_TERM).replace('{lib_docs}', _NAMED)})")
 def c7(lib):
-    body = S.search_blocks(L.block_locations(lib.wide("lib_blocks"), lib.wide("lib_docs"), lib["lib_pages"]), NAME_TERM)
-    return S.title_hits(lib.wide("lib_docs"), body, NAME_TERM).select("document_id")
+    docs = _renamed(lib)
+    body = S.search_blocks(L.block_locations(lib.wide("lib_blocks"), docs, lib["lib_pages"]), NAME_TERM)
+    return S.title_hits(docs, body, NAME_TERM).select("document_id")
 
 
 @query("g1_search_union", f"select {_HITS} from ({_hit('über')}) union all select {_HITS} from ({_titled('über')})")

@@ -24,6 +24,15 @@ def d20(lib):
     return S.otsu(lib["lib_levels"], ["g"], "v").select("g", "threshold", F.round("separability", 6).alias("separability"))
 
 
+@query(
+    "d20_histogram_of_prices",
+    """select l_returnflag, least(greatest(cast(floor((l_extendedprice - 1000) / ((50000.0 - 1000) / 256)) as int), 0), 255) as bin, count(*) as n
+       from {lineitem} group by 1, 2""",
+)
+def d20_prices(lib):
+    return S.histogram(lib["lineitem"], ["l_returnflag"], "l_extendedprice", 1000.0, 50000.0)
+
+
 _MID = "list_sort(list({0}))[count({0}) // 2 + 1]"
 
 
@@ -35,7 +44,7 @@ _MID = "list_sort(list({0}))[count({0}) // 2 + 1]"
         where l.l_quantity <= greatest(m.c + 0.8::double * greatest(d.mad * 1.4826::double, 0.001), 2)""",
 )
 def d21(lib):
-    kept = S.mad_filter(lib["lineitem"], ["l_suppkey"], "l_quantity", 0.8, 2.0, 1.0)
+    kept = S.mad_filter(lib["lineitem"], ["l_suppkey"], "l_quantity", 0.8, 2.0)
     return kept.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
 
 

@@ -183,7 +183,7 @@ def a3(lib):
 _MD = """case when pos % 29 in (11, 14) then '```' when pos % 29 = 12 then '  ' || content when pos % 13 = 4 then ''
   when pos % 11 = 2 then repeat('#', cast(pos % 6 as int) + 1) || ' ' || content when pos % 11 = 5 then '- ' || content
   when pos % 11 = 6 then '12) ' || content when pos % 11 = 8 then '> ' || content
-  when pos % 23 = 9 then '![' || substr(content, 1, 5) || '](img/' || cast(pos as string) || '.png)' else content || '  ' end"""
+  when pos % 23 = 9 then '![' || content || '](img/' || cast(pos as string) || '.png)' else content || '  ' end"""
 _both("markdown_lines", f"""
 select doc_id, pos, {_MD} as line from (select doc_id, pos, replace(replace(content, ']', ''), '[', '') as content from {{lib_lines}})""")
 
