@@ -76,7 +76,7 @@ def op7_repeats(spark: SparkSession, directory: str) -> DataFrame:
     cut = suffix.remove(suffix.repeats(docs))
     return cut.select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col("removed").alias("n_removed"),
-        F.col("runs").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("runs").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("runs") > 0).alias("has_repeats"),
     )
 
 

@@ -7,8 +7,8 @@ a segment, and a text is cut into a few segments a kilobyte.
 
 Equal segments are counted by hash.  Distinct segments of one key are put into a suffix array
 in two stages: suffixes smaller than their successor are sorted directly, the others are induced
-by scans over the buckets of first bytes.  Starts whose adjacent common prefix reaches ``length`` are
-repeated.  Keys with too many distinct segments for one array have each of their strings
+by scans over the buckets of first bytes.  Starts whose adjacent common prefix, counted in bytes,
+reaches ``length`` are repeated.  Keys with too many distinct segments for one array have each of their strings
 counted by a 128-bit hash instead, as rows that any number of tasks share.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, row_key, saved, slices
 
 ANCHOR = 128
-ARRAY_BYTES = 2 << 20  # bytes that one suffix array takes
-KEY_BYTES = 1 << 20  # bytes of distinct segments of one key above which its strings are counted by hash
+ARRAY_BYTES = 512 << 10  # bytes that one suffix array takes
+KEY_BYTES = 256 << 10  # bytes of distinct segments of one key above which its strings are counted by hash
 PIECE = 1 << 20  # bytes of a text that are cut into segments at once
 LEAP = 64
 _END = 255  # never part of UTF-8
@@ -192,20 +192,43 @@ def _prefix_hashes(data: np.ndarray, depth: int, seed: int) -> np.ndarray:
 
 
 def adjacent_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Whether each suffix shares ``most`` bytes with the one before it in ``order``, by 128 bits of hash."""
-    out = np.zeros(len(order), bool)
-    out[1:] = True
-    for seed in (2, 3):
-        own = _prefix_hashes(data, most, seed)[order]
-        out[1:] &= own[1:] == own[:-1]
-    return out
+    """Bytes that each suffix shares with the one before it in ``order``; beyond ``most`` at least that many are counted.
+
+    Neighbours are followed through the text: where the suffixes one byte on are neighbours too, they
+    share one byte less, so bytes are compared only where such a chain begins.
+    """
+    n = len(data)
+    before = np.empty(n, np.int64)
+    before[order[1:]], before[order[0]] = order[:-1], n - 1
+    chained = np.zeros(n, bool)
+    chained[1:] = (before[1:] == before[:-1] + 1) & (data[before[1:] - 1] == data[:-1])
+    starts = np.flatnonzero(~chained)
+    reach = np.diff(np.concatenate([starts, [n]])) + most
+    words = np.concatenate([_words(data), np.zeros(8, np.uint64)])
+    shared, alive = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    while len(alive):
+        a, b = starts[alive] + shared[alive], before[starts[alive]] + shared[alive]
+        differ = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+        same = differ == 0
+        # The first differing byte of a word is the highest that is not zero in the difference.
+        last = differ[~same]
+        bits = np.frexp((last >> np.uint64(32)).astype(np.float64))[1]
+        low = np.frexp((last & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+        shared[alive[~same]] += np.where(bits > 0, (32 - bits) // 8, 4 + (32 - low) // 8)
+        alive = alive[same]
+        shared[alive] += 8
+        alive = alive[(shared[alive] < reach[alive]) & (np.maximum(starts[alive], before[starts[alive]]) + shared[alive] < n)]
+    counts = np.repeat(shared, np.diff(np.concatenate([starts, [n]]))) - (np.arange(n) - np.repeat(starts, np.diff(np.concatenate([starts, [n]]))))
+    counts = np.minimum(counts, n - np.maximum(before, np.arange(n)))
+    counts[order[0]] = 0
+    return counts[order]
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     """Starts in each part whose next ``length`` bytes start anywhere else in the parts too."""
     data = np.frombuffer(bytes([_END]).join(parts) + bytes([_END]), np.uint8)
     order = suffix_array(data, length)
-    same = adjacent_prefixes(data, order, length)
+    same = adjacent_prefixes(data, order, length) >= length
     flagged = np.zeros(len(data), bool)
     flagged[order[same]] = True
     flagged[order[:-1][same[1:]]] = True
@@ -294,13 +317,15 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
     """Add ``spans array<struct<start long, stop long>>``: the bytes that repeat elsewhere.
 
     A span covers every byte of a string of ``length`` bytes that also starts anywhere else, in
-    the same text or another, judged on the whole input; spans of one text may overlap or touch and
-    stand in order of their start.  Bytes are those of UTF-8; null and short texts have no span.
-    Rows that repeat are rows of their own and so repeat each other.  Other columns stay as they are.
+    the same text or another, judged on the whole input; spans of one text may overlap, touch or be
+    equal and stand in order of their start.  Bytes are those of UTF-8; null and short texts have no span.
+    Rows that repeat are rows of their own and so repeat each other.  Other columns stay as they are,
+    one named ``spans`` is replaced.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != "spans"]
     if len(names) != len(set(names)):
         raise ValueError("columns of one name")
+    docs = docs.select(*names)
     found = saved(_occurrences(docs, text, length, anchor), "segments")
     kinds = (
         found.groupBy("anchor", "segment")
@@ -343,7 +368,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
         F.arrays_zip("starts", "stops"), lambda r: F.struct((f + r["starts"]).alias("start"), (f + r["stops"] + length).alias("stop")))))
     spans = (
         found.join(runs, ["anchor", "segment"]).select("_k1", "_k2", marks.alias("marks"))
-        .groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("spans"))
+        .groupBy("_k1", "_k2").agg(F.sort_array(F.flatten(F.collect_list("marks"))).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     rows = docs.select(*row_key(*names), F.struct(*names).alias("_row"))
@@ -364,7 +389,7 @@ def remove(marked: DataFrame, text: str = "text", name: str = "kept", characters
     """Replace ``spans`` by ``name`` (bytes without the spans), ``removed`` bytes and ``runs`` of removed bytes.
 
     With ``characters`` a span gives up the bytes of characters that it holds in part, so that
-    what is kept is a text.
+    what is kept is a text.  Columns of the added names are replaced, others stay.
     """
 
     @F.arrow_udf("kept binary, removed long, runs long")
@@ -385,6 +410,7 @@ def remove(marked: DataFrame, text: str = "text", name: str = "kept", characters
             [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
             names=["kept", "removed", "runs"])
 
-    return marked.withColumn("_cut", cut(F.col(text), F.col("spans"))).select(
-        *[c for c in marked.columns if c != "spans"], F.col("_cut.kept").alias(name), F.col("_cut.removed").alias("removed"), F.col("_cut.runs").alias("runs")
+    own = [c for c in marked.columns if c not in ("spans", name, "removed", "runs")]
+    return marked.select(*own, cut(F.col(text), F.col("spans")).alias("_cut")).select(
+        *own, F.col("_cut.kept").alias(name), F.col("_cut.removed").alias("removed"), F.col("_cut.runs").alias("runs")
     )
