@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, quality, simhash, suffix
-from lectern.llm.common import saved, table
+from lectern.llm.common import saved, table, text_key
 from lectern.llm.queries import THRESHOLD, WORDS, quality_model
 
 ORACLE_SQL = None  # no stage but the first steps of the others can be written in SQL
@@ -31,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = saved(simhash.similar_texts(docs), "groups").where("kept")
     kept = groups.groupBy("doc_id", "text_key").count()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = text_key(F.col("text"))
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (key == kept["text_key"]), "left_semi")
     return rows if kept.where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 

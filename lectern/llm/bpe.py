@@ -36,7 +36,7 @@ _LATIN_SPLIT = re.compile(f"[{_LATIN}]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[
 _BEYOND_LATIN = re.compile("[^\0-\u024f]")
 _ASCII_SPLIT = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-z0-9]+")
 SCAN_PARTS = 96  # parts above which the ranks of a pre-token go to a heap
-CACHE = 500_000  # pre-tokens whose codes a task keeps
+CACHE = 250_000  # pre-tokens whose codes a task keeps
 _WIDE = 24  # bits of an id
 _ID = (1 << _WIDE) - 1
 _NONE = 1 << 60
@@ -224,8 +224,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Both in one pass over the rows: the text goes to Python and is not sent back."""
-    kept = [c for c in docs.columns if c != text]
+    """Both in one pass over the rows: the text goes to Python and is not sent back.
+
+    Columns named ``ids`` and ``decoded`` are replaced, others but the text stay.
+    """
+    kept = [c for c in docs.columns if c not in (text, ids, decoded)]
+    docs = docs.select(*kept, text)
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +240,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in kept), *values], names=[*kept, ids, decoded]
             )
+        known.clear()  # the worker lives on, and later stages need its memory
 
     return docs.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares; a session of one machine without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
         folder = tempfile.mkdtemp(prefix="lectern-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -54,6 +55,11 @@ def row_key(*columns: str) -> list[Column]:
     ]
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def fold_of(key: str, folds: int) -> Column:
     """``crc32`` of the key as text, modulo ``folds``; a null key belongs to no fold (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))

@@ -144,7 +144,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_words long, n_tokens long``: pre-tokens of every whole text, and tokens of their best segmentations.
 
     Pre-tokens are runs without white space and are segmented with a leading ``▁``.  Null and
-    empty texts have none.  Other columns stay; equal texts have equal counts.
+    empty texts have none.  Other columns stay, those of the added names are replaced; equal texts
+    have equal counts.
     """
 
     @F.arrow_udf("n_words long, n_tokens long")
@@ -153,4 +154,5 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         words, tokens = zip(*(count_text(known, t) for t in texts(column))) if len(column) else ((), ())
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["n_words", "n_tokens"])
 
-    return docs.withColumn("_counts", of(F.col(text))).select(*docs.columns, "_counts.n_words", "_counts.n_tokens")
+    own = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
+    return docs.select(*own, of(F.col(text)).alias("_counts")).select(*own, "_counts.n_words", "_counts.n_tokens")

@@ -142,7 +142,8 @@ def predict(
     The score is the prediction's share in a softmax of cosines, from 0 to 1.  Null texts, texts
     without a letter, and all texts under an empty model get ``und`` and 0.  Equal cosines go to
     the language first in order.  The prototypes are sent to all tasks; more than
-    ``most_languages`` of them (8 kB each) are an error, not a cut.
+    ``most_languages`` of them (8 kB each) are an error, not a cut.  Columns of the added names are
+    replaced, others stay.
     """
     learned = sorted((r["lang"], r["prototype"]) for r in model.take(most_languages + 1))
     if len(learned) > most_languages:
@@ -176,4 +177,5 @@ def predict(
             names=["lang_pred", "score"],
         )
 
-    return docs.withColumn("_best", best(F.col(text))).select(*docs.columns, "_best.lang_pred", "_best.score")
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*own, best(F.col(text)).alias("_best")).select(*own, "_best.lang_pred", "_best.score")

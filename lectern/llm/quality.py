@@ -33,7 +33,7 @@ _AT_ONCE = 1 << 18
 REPEAT = "\0="
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def shape(token: str) -> str:
     """The shape of a token: signs as they are (three at most), words by case, digits and length."""
     if not (token[0].isalnum() or token[0] == "_"):
@@ -206,12 +206,14 @@ def fit(
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Add the probability (0 to 1) that a whole text is of label 1; null counts as empty.
 
-    Only the text is looked at, so equal texts have equal scores; other columns stay.
+    Only the text is looked at, so equal texts have equal scores; other columns stay, one of the
+    added name is replaced.
     """
 
     @F.arrow_udf("double")
     def of(column: pa.Array) -> pa.Array:
-        out = [model.scores(part) for part in chunks(texts(column), 256)]
+        out = [model.scores(texts(column.slice(at, 64))) for at in range(0, len(column), 64)]
+        shape.cache_clear()  # the worker lives on, and later stages need its memory
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return docs.withColumn(name, of(F.col(text)))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, saved
+from .common import byte_texts, saved, text_key
 from .graph import components
 
 BITS = 64
@@ -368,12 +368,12 @@ def similar_texts(
     Candidates are fingerprints within ``radius`` bits in any of ``tables`` independent tables, made of
     ``feature``-word shingles, which change less than longer ones under an edit.  Every candidate pair is
     verified unless verified links join its texts already.  A link stays if
-    the whole sets of ``shingle``-word shingles, by their hashes, have a Jaccard similarity of at least ``least``.  Equal texts (``text_key`` is their hash) are one node; null is empty,
+    the whole sets of ``shingle``-word shingles, by their hashes, have a Jaccard similarity of at least ``least``.  Equal texts (``text_key``, 128 bits, stands for them) are one node; null is empty,
     and empty texts are equal.  ``kept`` marks the row of the smallest id of a component, or rows that
     repeat it; ``component_id`` is that id.
     """
     own = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    own = own.select("_id", "_text", F.xxhash64("_text").alias("text_key"))
+    own = own.select("_id", "_text", text_key(F.col("_text")).alias("text_key"))
     spec = "prints array<long>, sketch binary, n long"
 
     @F.arrow_udf(spec)
@@ -407,7 +407,7 @@ def similar_texts(
     left = saved(prints.join(parts.join(torn, "root", "left_semi").select("text_key", "part"), "text_key"), "open")
     if not left.isEmpty():
         cells = saved(left.groupBy("table", "fingerprint").agg(F.min("part").alias("low"), F.max("part").alias("high")), "cells")
-        kinds = cells.select("table", "fingerprint", F.when(F.col("low") == F.col("high"), F.col("low")).alias("kind"))
+        kinds = cells.select("table", "fingerprint", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("kind"))
         mixed = kinds.where("kind is null").select("table", F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"))
         met = links(kinds, radius, every=True).distinct().unionByName(mixed)
         a = left.select("table", F.col("fingerprint").alias("a"), F.col("text_key").alias("x"), F.col("part").alias("p"))
