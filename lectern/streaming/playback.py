@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ordered import running, slice_of
+from .timed import WAIT, TimedFold, timed
 
 # Actions on one sentence and the status they set.
 STATUS = {"play": "playing", "played": "played", "save": "ready", "fail": "failed", "retry": "idle"}
 
 
-def fold_playback(events: DataFrame) -> DataFrame:
+FORGOTTEN = "forgotten"
+
+
+def fold_playback(events: DataFrame, keep_ms: int | None = None, until=None) -> DataFrame:
     """Status of every touched sentence.
 
     ``events`` is ``(document_id, seq, action, idx)``.  A sentence shows its own latest
     action unless a later invalidation started at or before it; of all ``play`` actions of a
     document only the latest still plays.
+
+    With ``keep_ms`` events have a time ``at`` that grows with ``seq``, and a document without an event for
+    longer than that is forgotten; ``until`` is the time up to which is looked.
     """
+    if keep_ms:
+        met = running(events, ["document_id"], ["seq"], [slice_of("seq")], {"_met": ("last", F.unix_millis("at"))})
+        lost = F.when(F.unix_millis("at") - F.col("_met") > keep_ms, F.col("seq"))
+        kept = met.groupBy("document_id").agg(F.max(lost).alias("_from"), F.max(F.unix_millis("at")).alias("_last"))
+        if until is not None:
+            kept = kept.filter(F.col("_last") + keep_ms > F.unix_millis(F.lit(until).cast("timestamp")))
+        events = events.join(kept, "document_id").filter(F.col("_from").isNull() | (F.col("seq") >= F.col("_from")))
     own = events.filter(F.col("action").isin(*STATUS)).groupBy("document_id", "idx").agg(
         F.max(F.struct("seq", "action")).alias("own")
     )
@@ -44,48 +54,52 @@ def fold_playback(events: DataFrame) -> DataFrame:
     )
 
 
-class PlaybackFold(StatefulProcessor):
+class PlaybackFold(TimedFold):
     """Sentence statuses of one document in a map keyed by sentence index."""
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    FIELDS = "seq bigint, action string, idx bigint"
+    ROW = ["document_id", "idx", "status"]
+    by_row = True
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getMapState("status", "idx bigint", "status string", self.ttl_ms)
-        self.playing = handle.getValueState("playing", "idx bigint", self.ttl_ms)
+    def open(self) -> None:
+        self.status = self.handle.getMapState("status", "idx bigint", "status string")
+        self.playing = self.handle.getValueState("playing", "idx bigint")
 
-    def _set(self, changed: dict, idx: int, status: str) -> None:
+    def _set(self, idx: int, status: str) -> tuple:
         self.status.updateValue((idx,), (status,))
-        changed[idx] = status
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed: dict[int, str] = {}
-        for event in pd.concat(list(rows)).sort_values("seq").itertuples():
-            idx = int(event.idx)
-            if event.action == "invalidate":
-                for (other,) in [k for k in self.status.keys() if k[0] >= idx]:
-                    self._set(changed, other, "idle")
-                continue
-            if event.action not in STATUS:
-                continue
-            if event.action == "play":
-                before = self.playing.get()[0] if self.playing.exists() else None
-                if before is not None and before != idx and self.status.getValue((before,))[0] == "playing":
-                    self._set(changed, before, "played")
-                self.playing.update((idx,))
-            self._set(changed, idx, STATUS[event.action])
-        if changed:
-            yield pd.DataFrame(
-                [(key[0], idx, status) for idx, status in changed.items()], columns=["document_id", "idx", "status"]
-            )
-
-    def close(self) -> None:
-        pass
-
-
-def fold_playback_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The streaming twin: every status a trigger changed."""
+        return idx, status
+
+    def apply(self, event: tuple) -> list[tuple]:
+        _, action, idx = event
+        if idx is None or action not in (*STATUS, "invalidate"):
+            return []
+        idx = int(idx)
+        if action == "invalidate":
+            return [self._set(other, "idle") for (other,) in [k for k in self.status.keys() if k[0] >= idx]]
+        changed = []
+        if action == "play":
+            before = self.playing.get()[0] if self.playing.exists() else None
+            if before is not None and before != idx and self.status.getValue((before,))[0] == "playing":
+                changed.append(self._set(before, "played"))
+            self.playing.update((idx,))
+        return [*changed, self._set(idx, STATUS[action])]
+
+    def live(self) -> bool:
+        return self.status.exists()
+
+    def finish(self) -> list[tuple]:
+        gone = [(idx, FORGOTTEN) for (idx,) in self.status.keys()]
+        self.status.clear()
+        self.playing.clear()
+        return gone
+
+
+def fold_playback_stream(events: DataFrame, at: str = "at", wait: str = WAIT, keep_ms: int | None = None) -> DataFrame:
+    """The streaming twin: every status that the watermark has changed.
+
+    ``at`` is the time of an event and grows with ``seq``; events may arrive in any order within ``wait``.  A
+    document without events for ``keep_ms`` gives a row of the status ``forgotten`` for each of its sentences and is
+    forgotten: its sentences are untouched again.
+    """
     key = events.schema["document_id"].dataType.simpleString()
-    return events.groupBy("document_id").transformWithStateInPandas(
-        PlaybackFold(ttl_ms), f"document_id {key}, idx bigint, status string", "Update", "ProcessingTime" if ttl_ms else "None"
-    )
+    return timed(events, "document_id", at, PlaybackFold(keep_ms), wait, f"document_id {key}, idx bigint, status string")

@@ -17,7 +17,7 @@ def as_stream(spark, rows, schema, files=3):
     directory = tempfile.mkdtemp(prefix="lectern-stream-")
     size = -(-len(rows) // files)
     for i in range(files):
-        spark.createDataFrame(rows[i * size:(i + 1) * size], schema).coalesce(1).write.mode("append").parquet(directory)
+        spark.createDataFrame([r for r in rows[i * size:(i + 1) * size] if r], schema).coalesce(1).write.mode("append").parquet(directory)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(directory)
 
 
@@ -47,7 +47,7 @@ def brute_jobs(rows):
     state = {}
     for job, seq, action, progress, stage, failure in sorted(rows, key=lambda r: r[1]):
         row = state.get(job)
-        if action == "enqueue" and row is None:
+        if action == "enqueue":
             state[job] = ["queued", 0.0, stage or "Đang chờ", None]
         if row is None:
             continue
@@ -68,33 +68,90 @@ def brute_jobs(rows):
     return {k: tuple(v) for k, v in state.items() if v}
 
 
-def test_job_fold(spark):
+def timed_stream(spark, rows, schema, seed, wait_rows, step_ms=1000, files=3):
+    """The rows with a time for each number, in any order within ``wait_rows`` of their place, and one far later event of another key.
+
+    The stream ends with the watermark behind that event, so that all others are released.
+    """
+    rng = random.Random(seed)
+    order = sorted(rows, key=lambda r: r[1] + rng.uniform(0, wait_rows)) if wait_rows else rows
+    last = max(r[1] for r in rows) + 10_000
+    key = type(rows[0][0])(-1)
+    none = [None] * (len(rows[0]) - 3)
+    order = [*order, *[None] * (-len(order) % files)]  # the later events stand in files of their own
+    order += [x for i in (0, 1) for x in ((key, last + 10_000 * i, "none", *none), *[None] * (len(order) // files - 1))]
+    frame = as_stream(spark, order, schema, files + 2)
+    return frame.withColumn("at", F.timestamp_millis(F.col("seq") * step_ms + 1)), last * step_ms
+
+
+JOB_VALUES = ("status", "progress", "stage", "failure")
+
+
+@pytest.mark.parametrize("wait_rows,seed", [(0, 1), (60, 2)])
+def test_job_fold(spark, wait_rows, seed):
     rows = job_rows()
     want = brute_jobs(rows)
     batch = jobs.fold_jobs(spark.createDataFrame(rows, JOB_SCHEMA)).collect()
-    assert {r.job_id: (r.status, r.progress, r.stage, r.failure) for r in batch} == want
+    assert {r.job_id: tuple(r[c] for c in JOB_VALUES) for r in batch} == want
 
-    table = run(spark, jobs.fold_jobs_stream(as_stream(spark, rows, JOB_SCHEMA), ttl_ms=None), "job_rows", "update")
+    stream, _ = timed_stream(spark, rows, JOB_SCHEMA, seed, wait_rows)
+    table = run(spark, jobs.fold_jobs_stream(stream, wait="100 seconds"), f"job_rows_{seed}", "update")
     live = jobs.live_jobs(table).collect()
-    assert {r.job_id: (r.status, r.progress, r.stage, r.failure) for r in live} == want
+    assert {r.job_id: tuple(r[c] for c in JOB_VALUES) for r in live} == want
+    assert {r.job_id: r.last_seq for r in live} == {r.job_id: r.last_seq for r in batch}
+
+
+def test_jobs_expire_in_a_stream_as_in_the_batch(spark):
+    rng = random.Random(6)
+    rows, seq = [], 0
+    for seq in range(90):
+        # Gaps of three seconds and more end a job; job 7 is abandoned for good.
+        job = 7 if seq < 6 else rng.choice([1, 1, 1, 2, 2, 3])
+        rows.append((job, seq, rng.choice(["enqueue", "start", "report", "fail"]) if seq % 3 else "enqueue", 0.5, None, "storage"))
+    keep = 3000
+    state, met = {}, {}
+    for row in rows:
+        if row[0] in met and (row[1] - met[row[0]]) * 1000 > keep:
+            state.pop(row[0], None)
+        met[row[0]] = row[1]
+        state[row[0]] = [*state.get(row[0], []), row]
+    want = {k: v for own in state.values() for k, v in brute_jobs(own).items()}
+    frame = spark.createDataFrame(rows, JOB_SCHEMA).withColumn("at", F.timestamp_millis(F.col("seq") * 1000))
+    batch = {r.job_id: tuple(r[c] for c in JOB_VALUES) for r in jobs.fold_jobs(frame, keep).collect()}
+    assert batch == want and 7 in batch
+
+    def upto(ms):
+        return {r.job_id: tuple(r[c] for c in JOB_VALUES) for r in jobs.fold_jobs(frame, keep, until=f"1970-01-01 00:0{ms // 60000}:{ms // 1000 % 60:02d}").collect()}
+
+    assert 7 not in upto(88_000) and set(upto(88_000)) == {k for k, at in met.items() if at + 3 > 88 and k in want}
+    stream, _ = timed_stream(spark, rows, JOB_SCHEMA, 3, 20)
+    table = run(spark, jobs.fold_jobs_stream(stream, wait="40 seconds", keep_ms=keep), "expired_rows", "update")
+    assert jobs.live_jobs(table).collect() == []  # the stream ended long after every job's time
+    last = {}
+    for r in table.collect():
+        if r.status != "dismissed":
+            last[r.job_id] = max(last.get(r.job_id, (-1,)), (r.last_seq, *(r[c] for c in JOB_VALUES)), key=lambda x: x[0])
+    assert {k: last[k][1:] for k in want} == want
+    assert {r.job_id for r in table.filter("status = 'dismissed'").collect()} == set(last)
 
 
 def test_dismissed_job_is_removed_and_may_come_again(spark):
     rows = [(1, 0, "enqueue", None, "a", None), (2, 1, "enqueue", None, "b", None), (1, 2, "dismiss", None, None, None),
             (3, 3, "dismiss", None, None, None), (2, 4, "dismiss", None, None, None), (2, 5, "enqueue", None, "c", None)]
-    table = run(spark, jobs.fold_jobs_stream(as_stream(spark, rows, JOB_SCHEMA, 2)), "dismissed_rows", "update")
+    stream, _ = timed_stream(spark, rows, JOB_SCHEMA, 4, 0)
+    table = run(spark, jobs.fold_jobs_stream(stream), "dismissed_rows", "update")
     assert {(r.job_id, r.status, r.last_seq) for r in table.collect()} == {
-        (1, "dismissed", 2), (2, "queued", 1), (2, "queued", 5)}
+        (1, "queued", 0), (1, "dismissed", 2), (2, "queued", 1), (2, "dismissed", 4), (2, "queued", 5)}
     assert [tuple(r) for r in jobs.live_jobs(table).collect()] == [(2, "queued", 0.0, "c", None, 5)]
+    assert [tuple(r)[:4] for r in jobs.fold_jobs(spark.createDataFrame(rows, JOB_SCHEMA)).collect()] == [(2, "queued", 0.0, "c")]
 
 
-def test_playback_fold(spark):
-    rng = random.Random(9)
-    schema = "document_id string, seq bigint, action string, idx bigint"
-    actions = ["play", "play", "save", "played", "fail", "retry", "invalidate"]
-    rows = [("d%d" % rng.randrange(3), seq, rng.choice(actions), rng.randrange(12)) for seq in range(150)]
+PLAY_SCHEMA = "document_id string, seq bigint, action string, idx bigint"
+
+
+def brute_playback(rows):
     want = {}
-    for doc, _, action, idx in rows:
+    for doc, _, action, idx in sorted(rows, key=lambda r: r[1]):
         own = want.setdefault(doc, {})
         if action == "invalidate":
             own.update({i: "idle" for i in own if i >= idx})
@@ -102,12 +159,51 @@ def test_playback_fold(spark):
         if action == "play":
             own.update({i: "played" for i, s in own.items() if s == "playing" and i != idx})
         own[idx] = playback.STATUS[action]
-    flat = {(d, i): s for d, own in want.items() for i, s in own.items()}
-    batch = playback.fold_playback(spark.createDataFrame(rows, schema)).collect()
+    return {(d, i): s for d, own in want.items() for i, s in own.items()}
+
+
+def playback_rows():
+    rng = random.Random(9)
+    actions = ["play", "play", "save", "played", "fail", "retry", "invalidate"]
+    return [("d%d" % rng.randrange(3), seq, rng.choice(actions), rng.randrange(12)) for seq in range(150)]
+
+
+def test_playback_fold(spark):
+    rows = playback_rows()
+    flat = brute_playback(rows)
+    batch = playback.fold_playback(spark.createDataFrame(rows, PLAY_SCHEMA)).collect()
     assert {(r.document_id, r.idx): r.status for r in batch} == flat
 
-    out = run(spark, playback.fold_playback_stream(as_stream(spark, rows, schema, 1), ttl_ms=None), "playback_rows", "update")
-    assert {(r.document_id, r.idx): r.status for r in out.collect()} == flat
+    stream, _ = timed_stream(spark, rows, PLAY_SCHEMA, 5, 50)
+    out = run(spark, playback.fold_playback_stream(stream, wait="80 seconds"), "playback_rows", "update")
+    last = {}
+    for r in out.collect():  # the memory sink keeps rows in the order they came
+        last[r.document_id, r.idx] = r.status
+    assert last == flat
+
+
+def test_playback_expires_in_a_stream_as_in_the_batch(spark):
+    rows = [r if r[0] != "d1" or r[1] < 40 or r[1] > 90 else ("d0", *r[1:]) for r in playback_rows()]
+    keep, kept, met = 20_000, {}, {}
+    for r in rows:
+        if r[0] in met and (r[1] - met[r[0]]) * 1000 > keep:
+            kept[r[0]] = []
+        met[r[0]] = r[1]
+        kept.setdefault(r[0], []).append(r)
+    assert len(kept["d1"]) < sum(r[0] == "d1" for r in rows)
+    want = brute_playback([r for own in kept.values() for r in own])
+    frame = spark.createDataFrame(rows, PLAY_SCHEMA).withColumn("at", F.timestamp_millis(F.col("seq") * 1000))
+    assert {(r.document_id, r.idx): r.status for r in playback.fold_playback(frame, keep).collect()} == want
+    assert playback.fold_playback(frame, keep, until="1970-01-01 01:00:00").count() == 0
+    stream, _ = timed_stream(spark, rows, PLAY_SCHEMA, 6, 30)
+    out = run(spark, playback.fold_playback_stream(stream, wait="60 seconds", keep_ms=keep), "forgotten_rows", "update").collect()
+    last, before = {}, {}
+    for r in out:
+        if r.status == playback.FORGOTTEN:
+            before[r.document_id, r.idx] = last.pop((r.document_id, r.idx))
+        else:
+            last[r.document_id, r.idx] = r.status
+    assert last == {} and {k: before[k] for k in want} == want
 
 
 def test_progress(spark):
