@@ -6,7 +6,9 @@ because a late row can never replace a newer or larger value.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -147,15 +149,25 @@ def progress_stream(results: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 # -- live view and arrivals ----------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Version:
+    """What a view is built on: the base named after the last batch folded into it, and the last batch applied to it."""
+
+    base: int
+    batch: int
+
+
 class LiveLibrary:
     """A library view kept current from a stream of changes.
 
     Each trigger appends its changes to a log folder named after its batch, so a retried
-    batch overwrites itself.  The view is the latest base with the newer log applied.
-    ``compact`` folds the log into a new base, records the last batch folded and then
-    removes the log folders up to it, so a view reads one base and a short log.
+    batch overwrites itself.  A view is a base with newer log folders applied and is named by its ``Version``.
+    ``compact`` folds the log into a new base.  Bases and log folders that a view can still be built on stay for a stated
+    time after a newer base has taken over, so views built before a compaction can be read on; then they go.
     """
 
+    KEEP_MS = 24 * 3600 * 1000
+
     def __init__(self, spark: SparkSession, base: DataFrame, directory: str):
         self.spark, self.given, self.directory = spark, base, directory
 
@@ -169,52 +181,77 @@ class LiveLibrary:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _folded(self) -> int:
-        """The last batch that is part of a base, -1 before the first compaction."""
-        files, path = self._path("folded")
-        if not files.exists(path):
-            return -1
-        return self.spark.read.schema("through bigint").parquet(f"{self.directory}/folded").agg(F.max("through")).first()[0]
+    def _numbers(self, name: str, prefix: str) -> list[int]:
+        """The numbers in the names of folders; only names are listed."""
+        files, path = self._path(name)
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit())
 
-    def _base(self, through: int) -> DataFrame:
-        return self.given if through < 0 else self.spark.read.schema(self.given.schema).parquet(f"{self.directory}/base-{through}")
+    def _remove(self, name: str) -> None:
+        files, path = self._path(name)
+        files.delete(path, True)
 
-    def _log(self, log_schema, through: int) -> DataFrame:
-        """Changes of the batches after ``through``, with their batch."""
-        files, path = self._path("log")
+    def _folds(self) -> list[tuple[int, int]]:
+        """``(last batch, time)`` of every base that was written, in order; one row for each compaction."""
+        files, path = self._path("folded")
         if not files.exists(path):
-            return self.spark.createDataFrame([], log_schema).withColumn("_batch", F.lit(0).cast("bigint"))
-        log = self.spark.read.schema(log_schema).option("recursiveFileLookup", "true").parquet(f"{self.directory}/log")
-        batch = F.regexp_extract("_metadata.file_path", "/batch=([0-9]+)/", 1).cast("bigint")
-        return log.withColumn("_batch", batch).where(F.col("_batch") > through)
+            return []
+        read = self.spark.read.schema("through bigint, at bigint").parquet(f"{self.directory}/folded")
+        return sorted((r["through"], r["at"]) for r in read.collect())
 
-    def current(self, log_schema) -> DataFrame:
-        through = self._folded()
-        return upsert(self._base(through), self._log(log_schema, through).drop("_batch"), "uuid", ["updated_at", "seq"])
+    def version(self) -> Version:
+        """The newest base and the newest batch; -1 stands for the given base and for no batch."""
+        base = max((through for through, _ in self._folds()), default=-1)
+        return Version(base, max([base, *self._numbers("log", "batch=")]))
 
-    def view(self, log_schema, key: str = "updatedAt", ascending: bool = False, **filters) -> DataFrame:
-        return sort_library(filter_library(self.current(log_schema), **filters), key, ascending)
-
-    def compact(self, log_schema) -> DataFrame:
-        """Fold the log into a new base and empty it; the base is the view until new changes arrive.
+    def _base(self, through: int) -> DataFrame:
+        return self.given if through < 0 else self.spark.read.schema(self.given.schema).parquet(f"{self.directory}/base-{through}")
 
-        Views built before stay on the older base, which is left for them, and on log
-        folders that are removed here: build a view anew after a compaction.
+    def _log(self, log_schema, version: Version) -> DataFrame:
+        """Changes of the batches after the base, up to the version's."""
+        folders = [f"{self.directory}/log/batch={n}" for n in self._numbers("log", "batch=") if version.base < n <= version.batch]
+        if not folders:
+            return self.spark.createDataFrame([], log_schema)
+        return self.spark.read.schema(log_schema).parquet(*folders)
+
+    def current(self, log_schema, version: Version | None = None) -> DataFrame:
+        """The newest rows, or those of a version whose base is still kept."""
+        version = version or self.version()
+        if version.base < max(self._numbers("", "gone-"), default=-1):
+            raise ValueError(f"the base of {version} is gone")
+        return upsert(self._base(version.base), self._log(log_schema, version), "uuid", ["updated_at", "seq"])
+
+    def view(
+        self, log_schema, key: str = "updatedAt", ascending: bool = False, version: Version | None = None, **filters
+    ) -> DataFrame:
+        return sort_library(filter_library(self.current(log_schema, version), **filters), key, ascending)
+
+    def compact(self, log_schema, keep_ms: int = KEEP_MS) -> DataFrame:
+        """Fold the log into a new base, and drop what no version of the last ``keep_ms`` needs.
+
+        A base is needed until a newer one has been there for that long, and so are the log folders after it.
         """
-        through = self._folded()
-        log = self._log(log_schema, through)
-        last = log.agg(F.max("_batch")).first()[0]
-        if last is None:
-            return self._base(through)
-        folded = upsert(self._base(through), log.where(F.col("_batch") <= last).drop("_batch"), "uuid", ["updated_at", "seq"])
-        folded.write.mode("overwrite").parquet(f"{self.directory}/base-{last}")
-        self.spark.createDataFrame([(last,)], "through bigint").coalesce(1).write.mode("append").parquet(f"{self.directory}/folded")
-        files, path = self._path("log")
-        for entry in files.listStatus(path):
-            name = entry.getPath().getName()
-            if name.startswith("batch=") and int(name.removeprefix("batch=")) <= last:
-                files.delete(entry.getPath(), True)
-        return self._base(last)
+        version = self.version()
+        if version.batch > version.base:
+            self.current(log_schema, version).write.mode("overwrite").parquet(f"{self.directory}/base-{version.batch}")
+            self.spark.createDataFrame([(version.batch, time.time_ns() // 1_000_000)], "through bigint, at bigint").coalesce(1).write.mode(
+                "append").parquet(f"{self.directory}/folded")
+        self._drop(time.time_ns() // 1_000_000 - keep_ms)
+        return self._base(version.batch)
+
+    def _drop(self, before: int) -> None:
+        """Remove the bases, and the log folders only they need, that a newer base replaced by the time ``before``."""
+        folds = self._folds()
+        oldest = max((through for through, at in folds if at <= before), default=-1)
+        if oldest >= 0:  # what is older can't be built any more, also if this ends half-way
+            files, path = self._path(f"gone-{oldest}")
+            files.mkdirs(path)
+        for through in self._numbers("", "base-"):
+            if through < oldest:
+                self._remove(f"base-{through}")
+        for batch in self._numbers("log", "batch="):
+            if batch <= oldest:
+                self._remove(f"log/batch={batch}")
 
 
 def arrivals(files: DataFrame) -> DataFrame:

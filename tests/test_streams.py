@@ -270,15 +270,28 @@ def test_live_library(spark):
     assert [(r.uuid, r.updated_at) for r in live.view(schema, status="ready").collect()] == [("c", 6), ("a", 5)]
     want = {("a", "ready", 5), ("b", "failed", 8), ("c", "ready", 6)}
     assert {tuple(r) for r in live.current(schema).collect()} == want
+    before = live.version()
+    old = live.view(schema, status="ready")
     assert {tuple(r) for r in live.compact(schema).collect()} == want
+    assert live.version() == streams.Version(before.batch, before.batch)
+    # A view built before reads on, and can be built again.
+    assert [(r.uuid, r.updated_at) for r in old.collect()] == [("c", 6), ("a", 5)]
+    assert {tuple(r) for r in live.current(schema, before).collect()} == want
+    live.compact(schema, keep_ms=0)
     assert not glob.glob(f"{live.directory}/log/batch=*")
     assert {tuple(r) for r in live.current(schema).collect()} == want
     live.absorb(spark.createDataFrame([("c", "queued", 9, 5, both)], schema), 2)
     want = want - {("c", "ready", 6)} | {("c", "queued", 9)}
     again = streams.LiveLibrary(spark, base, live.directory)  # another driver finds the base
     assert {tuple(r) for r in again.current(schema).collect()} == want
+    newer = again.version()
     assert {tuple(r) for r in again.compact(schema).collect()} == want
-    assert {tuple(r) for r in again.compact(schema).collect()} == want
+    assert len(glob.glob(f"{live.directory}/base-*")) == 2 and {tuple(r) for r in again.current(schema, newer).collect()} == want
+    assert {tuple(r) for r in again.compact(schema, keep_ms=0).collect()} == want
+    assert len(glob.glob(f"{live.directory}/base-*")) == 1 and not glob.glob(f"{live.directory}/log/batch=*")
+    for gone in (before, newer):
+        with pytest.raises(ValueError):
+            again.current(schema, gone)
 
 
 def test_watch_files(spark):
