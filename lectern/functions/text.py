@@ -41,6 +41,7 @@ INITIALS = "A-ZÀÁẢÃẠĂÂĐÊÉÈẺẼẸÔƠÙÚỦŨỤƯỲÝỶỸỴ
 TERMINATORS = ".!?…"
 CLOSERS = "\"”’'»)\\]"
 
+# Addresses, grouped thousands, numbers and paragraph breaks as they have to be found.
 URL_OR_EMAIL = (
     f"(?i)(?:https?://[^{SPACE}]+|www\\.[^{SPACE}]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+)"
 )
@@ -147,19 +148,21 @@ def paragraph_array(c: Column | str) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+# Every rule stands behind the dot, so that the text is scanned for dots alone: between digits, after
+# an abbreviation that begins a word, after an initial that a space follows.
+INNER_DOT = (
+    f"\\.(?:(?<=[0-9]\\.)(?=[0-9])|(?<=(?<![\\p{{L}}\\p{{N}}])(?iu:{'|'.join(ABBREVIATIONS)})\\.)|(?<=[{INITIALS}]\\.)(?=[{SPACE}]))"
+)
+
+
 def mask_dots(c: Column | str) -> Column:
-    """Hide every dot that does not end a sentence.  The order of the four steps matters."""
+    """Hide every dot that does not end a sentence: first those of addresses, then those inside and after words."""
     text = _col(c)
     addresses = rewrite_matches(
         text, URL_OR_EMAIL, lambda token: F.regexp_replace(token, f"\\.(?=[^{SPACE}])", DOT_MASK)
     )
     maybe = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | contains_any_case(text, "www.")
-    text = F.when(maybe, addresses).otherwise(text)
-    text = F.regexp_replace(text, "(?<=[0-9])\\.(?=[0-9])", DOT_MASK)
-    text = F.regexp_replace(
-        text, f"(?iu)(?<![\\p{{L}}\\p{{N}}])({'|'.join(ABBREVIATIONS)})\\.", f"$1{DOT_MASK}"
-    )
-    return F.regexp_replace(text, f"([{INITIALS}])\\.(?=[{SPACE}])", f"$1{DOT_MASK}")
+    return F.regexp_replace(F.when(maybe, addresses).otherwise(text), INNER_DOT, DOT_MASK)
 
 
 def sentence_array(paragraph: Column | str) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim, trim_right
 from ..operators.library import PART_BUDGET
 from ..operators.ordered import parts, slice_of
+from .ranges import opened, read_at
+
+PACK_BUCKETS = 64
 
 
 def _final_newline(c: Column) -> Column:
@@ -95,6 +102,45 @@ def write_exports(rendered: dict[str, DataFrame], directory: str) -> None:
         placed.write.mode("append").partitionBy("format", "document_id").text(directory)
 
 
+def write_packed(rendered: dict[str, DataFrame], directory: str, buckets: int = PACK_BUCKETS) -> None:
+    """Documents of all formats in at most ``buckets`` text files, and an index of where each lies.
+
+    A document goes to the bucket of its hash, under ``files/bucket=...``; its parts follow each other, each ended
+    by a line feed that is not part of it.  ``index`` has ``document_id, format, part, file, offset, length`` in bytes.
+    Buckets are of even size for any number of documents; take about one for each 128 MB of text.
+    """
+    rows = reduce(DataFrame.unionByName, [f.select("document_id", "part", F.lit(fmt).alias("format"), "content") for fmt, f in rendered.items()])
+    placed = rows.select("*", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
+    order = Window.partitionBy("bucket").orderBy("format", "document_id", "part")
+    size = F.octet_length("content").cast("bigint")
+    laid = placed.select("*", size.alias("length"), (F.sum(size + 1).over(order) - size - 1).alias("offset"))
+    # The writer keeps this order, as it begins with the column the folders are named after.
+    in_order = laid.sortWithinPartitions("bucket", "format", "document_id", "part")
+    in_order.select(F.col("content").alias("value"), "bucket").write.partitionBy("bucket").text(f"{directory}/files")
+    spark = rows.sparkSession
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{directory}/files")
+    files = listed.select(F.col("path").alias("file"), F.regexp_extract("path", "/bucket=([0-9]+)/", 1).cast("int").alias("bucket"))
+    laid.drop("content").join(files, "bucket").select("document_id", "format", "part", "file", "offset", "length").write.parquet(f"{directory}/index")
+
+
+def read_packed(index: DataFrame) -> DataFrame:
+    """``document_id, format, part, content`` of rows of an index; only their bytes are read."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = []
+                for path, offset, length in zip(*(part.column(i).to_pylist() for i in (3, 4, 5))):
+                    with opened(path) as file:
+                        texts.append(read_at(file, offset, length).decode())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string())], names=["document_id", "format", "part", "content"])
+
+    key = index.schema["document_id"].dataType.simpleString()
+    return index.select("document_id", "format", "part", "file", "offset", "length").mapInArrow(
+        fetch, f"document_id {key}, format string, part bigint, content string")
+
+
 def export_outcome(artifacts: DataFrame) -> DataFrame:
     """Written and failed artifacts per document."""
     written, failed = F.count_if(F.col("failure").isNull()), F.count_if(F.col("failure").isNotNull())
