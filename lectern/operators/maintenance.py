@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 JOB_DAYS, AUDIO_DAYS = 7, 30
 
@@ -40,6 +43,69 @@ def patch(base: DataFrame, patches: DataFrame, key: str, order: list[str]) -> Da
     return base.join(_latest(patches, key, columns, order), key, "left").select(key, *map(_merged, columns))
 
 
+# -- partitioned tables --------------------------------------------------------------
+
+BUCKETS = 256
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+class Partitioned:
+    """A stored table in folders by the hash of its key; a rewrite reads and replaces the folders its changes fall in.
+
+    A job that fails leaves the folders as they were, as new files are moved in place when all are written.  Changes of
+    one table are written by one job at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
+
+    @classmethod
+    def create(cls, df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> "Partitioned":
+        table = cls(df.sparkSession, path, key, df.schema, buckets)
+        table._write(df, "errorifexists")
+        return table
+
+    def read(self) -> DataFrame:
+        return self._stored().select(self.schema.names)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("bucket", IntegerType())])).parquet(self.path)
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        placed = df.select(*self.schema.names, _bucket(self.key, self.buckets)).repartition("bucket")
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def rewrite(self, change: Callable[[DataFrame], DataFrame], keys: DataFrame) -> list[int]:
+        """Apply ``change`` to the rows that share a bucket with ``keys``; returns the buckets that were rewritten.
+
+        ``change`` maps those rows to what is to stay or come, and may only add keys out of ``keys``.
+        """
+        met = sorted(r[0] for r in keys.select(_bucket(self.key, self.buckets)).distinct().collect())  # at most ``buckets`` numbers
+        if not met:
+            return []
+        rows = change(self._stored().filter(F.col("bucket").isin(met)).select(self.schema.names))
+        left = {r[0] for r in rows.select(_bucket(self.key, self.buckets)).distinct().collect()}
+        if left:
+            self._write(rows, "overwrite")
+        for bucket in set(met) - left:  # nothing is written for a bucket without rows, so its folder goes
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return met
+
+    def upsert(self, changes: DataFrame, order: list[str]) -> list[int]:
+        return self.rewrite(lambda rows: upsert(rows, changes, self.key, order).select(self.schema.names), changes)
+
+    def patch(self, patches: DataFrame, order: list[str]) -> list[int]:
+        return self.rewrite(lambda rows: patch(rows, patches, self.key, order).select(self.schema.names), patches)
+
+    def delete(self, ids: DataFrame) -> list[int]:
+        gone = ids.select(F.col(self.key).alias("_gone"))
+        return self.rewrite(lambda rows: rows.join(gone, F.col(self.key) == F.col("_gone"), "left_anti"), ids)
+
+
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame, id: str = "document_id") -> dict[str, DataFrame]:
     """Every table without the rows of the deleted documents."""
     gone = ids.select(F.col(id).alias("_gone"))

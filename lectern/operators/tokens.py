@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FENCE, SPACE
 
-MEMO = 1 << 18
+MEMO, MEMO_LETTERS = 1 << 18, 64  # pieces whose tokens a task remembers, and how long they may be
+ENTRIES = 2_000_000  # tokens and merges of a vocabulary at most
 UNKNOWN = "<|unk|>"
 # Fixed value: the pre-token pattern.
 PIECE = (
@@ -74,24 +76,53 @@ def _encoder(vocabulary: Vocabulary):
     ranks = {pair: rank for rank, pair in enumerate(vocabulary.merges)}
     unknown = vocabulary.ids.get(UNKNOWN, 0)
 
-    @lru_cache(MEMO)
     def encode(piece: str) -> tuple[int, ...]:
         if piece in vocabulary.added:
             return (vocabulary.added[piece],)
-        word = [symbols[b] for b in piece.encode("utf-8")]
-        while len(word) > 1:
-            rank, at = min(((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(word, word[1:]))))
-            if rank == len(ranks):
-                break
-            word[at:at + 2] = [word[at] + word[at + 1]]
-        return tuple(vocabulary.ids.get(symbol, unknown) for symbol in word)
-
-    return encode
+        parts = merged([symbols[b] for b in piece.encode("utf-8")], ranks)
+        return tuple(vocabulary.ids.get(symbol, unknown) for symbol in parts)
+
+    known = lru_cache(MEMO)(encode)
+    return lambda piece: known(piece) if len(piece) <= MEMO_LETTERS else encode(piece)
+
+
+def merged(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merge adjacent parts by the best rank first, the leftmost of equal ones.
+
+    Parts are linked to their neighbours and the ranks of pairs wait in a heap, so a piece of n letters takes
+    n log n steps.  A pair that has changed since it was put there is passed over.
+    """
+    right = [*range(1, len(parts)), -1]
+    left = [-1, *range(len(parts) - 1)]
+    waiting = [(ranks[pair], i, pair) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+    heapify(waiting)
+    while waiting:
+        _, i, pair = heappop(waiting)
+        j = right[i]
+        if j < 0 or (parts[i], parts[j]) != pair:
+            continue
+        parts[i], parts[j] = "".join(pair), ""
+        right[i] = right[j]
+        if right[j] >= 0:
+            left[right[j]] = i
+        right[j] = -1
+        for a, b in ((left[i], i), (i, right[i])):
+            if a >= 0 and b >= 0 and (parts[a], parts[b]) in ranks:
+                heappush(waiting, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
+    return [p for p in parts if p]
+
+
+def _shared(df: DataFrame, vocabulary: Vocabulary):
+    """The vocabulary in all tasks; its size is checked, as every Python worker holds a copy."""
+    entries = len(vocabulary.ids) + len(vocabulary.merges) + len(vocabulary.added)
+    if entries > ENTRIES:
+        raise ValueError(f"a vocabulary of {entries} entries; {ENTRIES} are sent to tasks at most")
+    return df.sparkSession.sparkContext.broadcast(vocabulary)
 
 
 def bpe_tokenize(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """Add ``ids`` and ``n_tokens``."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _shared(df, vocabulary)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -105,7 +136,7 @@ def bpe_tokenize(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
 
 def bpe_decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """Add ``decoded``: added tokens are left out, broken bytes become replacement marks."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _shared(df, vocabulary)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators.library import filter_library, sort_library
+from ..operators.ordered import shared_folder
 from ..streaming import jobs, playback, streams
 from .base import _both, query
 
@@ -45,6 +48,32 @@ def i2(lib):
     return M.patch(_table(lib), _changes(lib), "uuid", ["updated_at", "seq"])
 
 
+def _stored(lib):
+    return M.Partitioned.create(lib["lib_docs"].select("uuid", "status", "category"), f"{shared_folder(lib.spark)}/documents-{uuid4().hex}", "uuid", 64)
+
+
+@query("i1_upsert_stored", f"select coalesce(b.uuid, n.uuid) as uuid, {_MERGED} from {_BASE} b full join {_NEW} n on n.uuid = b.uuid")
+def i1_stored(lib):
+    """The upsert as a rewrite of the folders that the changes fall in."""
+    table = _stored(lib)
+    table.upsert(_changes(lib), ["updated_at", "seq"])
+    return table.read()
+
+
+@query("i2_patch_stored", f"select b.uuid, {_MERGED} from {_BASE} b left join {_NEW} n on n.uuid = b.uuid")
+def i2_stored(lib):
+    table = _stored(lib)
+    table.patch(_changes(lib), ["updated_at", "seq"])
+    return table.read()
+
+
+@query("i3_delete_stored", "select uuid, status, category from {lib_docs} where uuid not in (select 'd' || doc_id from {labels} where toxic = 1)")
+def i3_stored(lib):
+    table = _stored(lib)
+    table.delete(lib["labels"].filter("toxic = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("uuid")))
+    return table.read()
+
+
 @query(
     "i3_cascade_delete",
     """select 'blocks' as table_name, count(*) as n from {lib_blocks} where document_id not in (select 'd' || doc_id from {labels} where toxic = 1)

@@ -150,13 +150,24 @@ def vocabulary() -> K.Vocabulary:
 _PIECES = "'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\\r\\n\\p{L}\\p{N}]?\\p{L}+|\\p{N}| ?[^\\s\\p{L}\\p{N}]+[\\r\\n]*|\\s*[\\r\\n]+|\\s+".replace("'", "''")
 
 
+# Merged pairs become private-use letters from U+E100 on, in the order of their ids; all else is one id a byte.
+_MERGED_TEXT = "p"
+for _letters, _code in (("ther", 0xE104), ("th", 0xE100), ("in", 0xE101), ("er", 0xE102), ("ou", 0xE103)):
+    _MERGED_TEXT = f"replace({_MERGED_TEXT}, '{_letters}', chr({_code}))"
+
+
 @query(
     "h25_bpe_tokenize",
-    f"""select doc_id, cast(coalesce(sum(strlen(p) - len(regexp_extract_all(p, 'th')) - len(regexp_extract_all(p, 'in')) - len(regexp_extract_all(p, 'er')) - len(regexp_extract_all(p, 'ou')) - len(regexp_extract_all(p, 'ther'))), 0) as int) as n_tokens
-        from (select doc_id, unnest(regexp_extract_all(text, '{_PIECES}')) as p from {{documents}}) group by 1""",
+    f"""with p as (select doc_id, unnest(regexp_extract_all(text, '{_PIECES}')) as p, unnest(range(len(regexp_extract_all(text, '{_PIECES}')))) as place from {{documents}}),
+        c as (select doc_id, place, unnest(string_split({_MERGED_TEXT}, '')) as c, unnest(range(length({_MERGED_TEXT}))) as k from p),
+        i as (select doc_id, place, k, case when unicode(c) between 57600 and 57604 then [unicode(c) - 57344]
+            else list_transform(range(strlen(c)), lambda j: cast('0x' || substr(hex(encode(c)), 2 * j + 1, 2) as int)) end as ids from c)
+        select d.doc_id, cast(coalesce(n, 0) as int) as n_tokens, md5(coalesce(ids, '')) as ids_md5 from {{documents}} d
+        left join (select doc_id, sum(len(ids)) as n, string_agg(array_to_string(ids, ','), ',' order by place, k) as ids from i group by 1) x using (doc_id)""",
 )
 def h25(lib):
-    return K.bpe_tokenize(lib.wide("documents").select("doc_id", "text"), vocabulary()).select("doc_id", "n_tokens")
+    tokens = K.bpe_tokenize(lib.wide("documents").select("doc_id", "text"), vocabulary())
+    return tokens.select("doc_id", "n_tokens", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 @query("h26_bpe_round_trip", "select doc_id, text as decoded from {documents}")
