@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 from collections import Counter
 from itertools import combinations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import bpe, chat, counts, decontaminate, graph, langid, quality, simhash, suffix, topk, toxicity
+from lectern.llm.common import row_key
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -154,6 +156,52 @@ def test_language_held_out(spark):
     assert all((a == b).all() for a, b in zip(parts, langid.grams(text)))
 
 
+def slow_toxicity(rows, text):
+    """Mean and largest log-likelihood difference of a text's distinct words, by dictionaries."""
+    import math
+
+    of = [Counter(w for t, y in rows if y == c for w in set(re.findall(r"\w+", (t or "").lower()))) for c in (0, 1)]
+    every, words = sum(of[0].values()) + sum(of[1].values()), set(of[0]) | set(of[1])
+    share = lambda w: (of[0][w] + of[1][w] + 0.5) / (every + 0.5 * (len(words) + 1))
+
+    def log(c, w):
+        k = Counter(of[c].values())
+        off = toxicity.discounts(k[1], k[2], k[3], k[4])
+        cut = lambda n: off[min(n, 3) - 1] if n else 0.0
+        total = sum(of[c].values())
+        return math.log((of[c][w] - cut(of[c][w])) / total + sum(cut(n) for n in of[c].values()) / total * share(w))
+
+    def gain(w):
+        if w in words:
+            return log(1, w) - log(0, w)
+        free = lambda c: math.exp(log(c, w)) / share(w)
+        return math.log(free(1) / free(0))
+
+    found = [gain(w) for w in set(re.findall(r"\w+", (text or "").lower()))]
+    return (sum(found) / len(found), max(found), len(found)) if found else (0.0, 0.0, 0)
+
+
+@pytest.mark.parametrize("head", [0, 3, 10_000])
+def test_toxicity_evidence_equals_dictionaries(spark, head):
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(60)] + ["é", "Ü", "漢"]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(63)], k=rng.randint(0, 30))) + (" vile" if i % 4 == 0 and i % 3 else ""), "en", "s", 1) for i in range(120)]
+    rows += [(200, None, None, None, None), (201, "w1 " * 200_000 + "vile unseen", None, None, None)]
+    docs = frame(spark, rows).withColumn("gain", F.lit(1)).withColumn("word", F.lit("x")).withColumn("n", F.lit(2))
+    model = toxicity.fit(docs, frame(spark, [(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    back = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).select("doc_id").collect()}
+    counted = [(t, i % 4 == 0) for i, t, *_ in rows if i < 120 and i not in back]
+    got = toxicity.evidence(docs.select("doc_id", "text"), model, head=head).join(
+        docs.select(*row_key("doc_id", "text"), "doc_id"), ["_k1", "_k2"]).collect()
+    assert len(got) == len(rows)
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert (r["mean"], r["most"], r["n"]) == pytest.approx(slow_toxicity(counted, text[r["doc_id"]]))
+    scored = toxicity.score(docs.unionByName(docs).withColumn("score", F.lit("old")), model)
+    assert scored.count() == 2 * len(rows) and set(scored.columns) == {*docs.columns, "score"}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     plain = [f"w{i}" for i in range(200)]
