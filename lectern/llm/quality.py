@@ -10,6 +10,8 @@ logits are divided by a temperature fitted on rows it was not trained on.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import chunks, saved, slices, texts
 
 DIMENSIONS = 128
 NONZERO = 4
 WINDOW = 2
 SAMPLE_ROWS = 8_000  # labelled rows a model is fitted on at most
-SAMPLE_CHARS = 20_000  # characters of the longest text that the fit takes; scoring takes all texts whole
-VOCABULARY = 8_192  # words with a context vector of their own
+VOCABULARY, FORMS = 8_192, 65_536  # words and shapes with a context vector of their own, the most frequent of the sample
+PARTS = 16  # tasks that hold the sample
 HIDDEN = 32
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _AT_ONCE = 1 << 18
@@ -82,7 +84,7 @@ class Model:
         rows = len(self.known) + 1
         counts = np.zeros(2 * rows, np.int64)
         n = 0
-        for tokens in chunks((m.group() for m in _TOKEN.finditer(text)), _AT_ONCE) if len(text) > _AT_ONCE else [_TOKEN.findall(text)]:
+        for tokens in split(text):
             at = self.places(tokens)
             at[len(tokens) :] += rows
             counts += np.bincount(at, minlength=2 * rows)
@@ -106,29 +108,72 @@ class Model:
         return np.where(np.abs(pooled).sum(1) == 0, self.prior, p)
 
 
-def _context_vectors(sample: list[str], dimensions: int) -> tuple[dict[str, int], np.ndarray]:
-    """Random indexing over the sample: rows of frequent words and of all shapes."""
-    # Tokens become numbers as they are read, so the sample is held as small integers.
-    words, forms, split = {}, {REPEAT: 0}, []
-    for tokens in map(_TOKEN.findall, sample):
-        low = [t.lower() for t in tokens]
-        split.append((
-            np.array([words.setdefault(t, len(words)) for t in low], np.int64),
-            np.array([forms.setdefault(s, len(forms)) for s in shapes_of(tokens, low)], np.int64),
-        ))
-    counts = sum((np.bincount(low, minlength=len(words)) for low, _ in split), np.zeros(len(words), np.int64)).tolist()
-    often = sorted((w for w, i in words.items() if counts[i] >= 5), key=lambda w: (-counts[words[w]], w))[:VOCABULARY]
-    known = {w: i for i, w in enumerate(dict.fromkeys([*often, *sorted(forms)]))}
+def split(text: str) -> Iterator[list[str]]:
+    """Tokens of a whole text, in lists of bounded size."""
+    if len(text) <= _AT_ONCE:
+        yield _TOKEN.findall(text)
+    else:
+        yield from chunks((m.group() for m in _TOKEN.finditer(text)), _AT_ONCE)
+
+
+def token_counts(sample: DataFrame) -> DataFrame:
+    """``token, form, n`` over the sample: lowered words, and shapes with the mark ``form``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, forms = Counter(), Counter()
+        for batch in slices(batches, 64):
+            for text in texts(batch.column(0)):
+                for tokens in split(text):
+                    low = [t.lower() for t in tokens]
+                    words.update(low)
+                    forms.update(shapes_of(tokens, low))
+        rows = [(t, f, n) for f, found in ((False, words), (True, forms)) for t, n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 3, (pa.string(), pa.bool_(), pa.int64()))], names=["token", "form", "n"])
+
+    return sample.select("text").mapInArrow(count, "token string, form boolean, n long").groupBy("token", "form").agg(F.sum("n").alias("n"))
+
+
+def neighbour_sums(rows: np.ndarray, before: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
+    """Add to each token's row the index vectors of its neighbours; ``before`` are the rows that were added last."""
+    every = np.concatenate([before, rows])
+    for gap in range(1, WINDOW + 1):
+        first = max(len(before), gap)
+        a, b = every[first - gap : len(every) - gap], every[first:]
+        np.add.at(sums, a, index[b])
+        np.add.at(sums, b, index[a])
+
+
+def _context_vectors(sample: DataFrame, dimensions: int) -> tuple[dict[str, int], np.ndarray]:
+    """Random indexing over the sample: rows of its most frequent words and shapes; what is neither has a zero vector.
+
+    Tokens are counted and neighbours summed in the tasks that hold the texts; what comes to the driver is the vocabulary and
+    one matrix of its size from each of ``PARTS`` tasks.  Sums are of whole numbers, so their order tells nothing.
+    """
+    counted = saved(token_counts(sample), "tokens")
+    often = [r["token"] for r in counted.where("not form and n >= 5").orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
+    forms = sorted({REPEAT, *(r["token"] for r in counted.where("form").orderBy(F.desc("n"), "token").limit(FORMS).collect())})
+    known = {w: i for i, w in enumerate(dict.fromkeys([*often, *forms]))}
     index = np.stack([index_vector(w, dimensions) for w in known] + [np.zeros(dimensions, np.float32)])
-    sums = np.zeros_like(index)
     other = len(known)
-    own = np.array([known.get(w, -1) for w in words], np.int64)
-    of_form = np.array([known[s] for s in forms], np.int64)
-    for low, form in split:
-        row = np.where(own[low] >= 0, own[low], of_form[form]) if len(low) else low
-        for gap in range(1, WINDOW + 1):
-            np.add.at(sums, row[:-gap], index[row[gap:]])
-            np.add.at(sums, row[gap:], index[row[:-gap]])
+    sent = sample.sparkSession.sparkContext.broadcast((known, index))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = sent.value
+        get, sums = known.get, np.zeros_like(index)
+        for batch in slices(batches, 64):
+            for text in texts(batch.column(0)):
+                before = np.zeros(0, np.int64)
+                for tokens in split(text):
+                    low = [t.lower() for t in tokens]
+                    forms = shapes_of(tokens, low)
+                    rows = np.array([get(t, get(f, other)) for t, f in zip(low, forms)], np.int64)
+                    neighbour_sums(rows, before, index, sums)
+                    before = rows[-WINDOW:]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    sums = np.zeros_like(index)
+    for r in sample.select("text").mapInArrow(add, "sums binary").toLocalIterator():
+        sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
     # A token keeps its own index vector too, so words with like neighbours stay distinct.
     norms = np.sqrt((sums * sums).sum(1, keepdims=True))
     vectors = index + sums / np.where(norms == 0, 1, norms)
@@ -172,29 +217,31 @@ def fit(
     """Fit on at most ``rows`` labelled rows, those whose ids have the smallest hashes.
 
     The sample is drawn from the labels, so only its ids (a bounded set) go to the tasks that
-    read texts and no text is shuffled; texts over ``SAMPLE_CHARS`` are not part of the sample.
-    Rows with a null id, label or text are passed over, and of repeated rows one counts.  With
-    no rows, or rows of one label only, every text gets that label's share (0.5 with none).
+    read texts.  Texts of any length are taken whole and stay in the tasks: what comes back of each is its pooled
+    vector.  Rows with a null id, label or text are passed over, and of rows with equal text and label one
+    counts.  With no rows, or rows of one label only, every text gets that label's share (0.5 with none).
     """
     chosen = (
         labels.where(F.col(id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("double")).alias("y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
-    pick = sorted({
-        (r["t"], r["y"])
-        for r in docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(id).alias("_id"), F.col(text).alias("t"))
-        .join(F.broadcast(chosen), "_id").select("t", "y").toLocalIterator()
-    })
-    pick = [pick[i] for i in np.random.default_rng(seed).permutation(len(pick))]
-    sample, y = [t for t, _ in pick], np.array([float(y > 0) for _, y in pick])
-    prior = float(y.mean()) if len(y) else 0.5
+    sample = saved(
+        docs.where(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+        .select("text", (F.col("y") > 0).cast("double").alias("y")).dropDuplicates(["text", "y"]).repartition(PARTS, F.xxhash64("text", "y")),
+        "sample")
+    # Partitions hold what they were dealt, whatever files they were read from.
+    sample = sample.repartition(PARTS, F.xxhash64("text", "y"))
+    share = sample.agg(F.avg("y"), F.count("*")).first()
+    prior = float(share[0]) if share[1] else 0.5
     known, vectors = _context_vectors(sample, dimensions)
     width = 2 * dimensions
     model = Model(known, vectors, np.zeros(width, np.float32), np.ones(width, np.float32),
                   (np.zeros((width, 1)), np.zeros(1), np.zeros(1), np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6))])), 1.0, prior)
-    if len(y) and 0 < prior < 1:
-        x = np.stack([model.pooled(t) for t in sample])
+    if share[1] and 0 < prior < 1:
+        pooled = _pooled(sample.withColumn("h", F.xxhash64("text", "y", F.lit(seed))), model).collect()  # one vector for each of at most ``rows`` rows
+        pooled = sorted((r["h"], r["y"], r["pooled"]) for r in pooled)
+        x, y = np.stack([np.frombuffer(p, np.float32) for *_, p in pooled]), np.array([y for _, y, _ in pooled])
         model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
         held = np.arange(len(y)) % 5 == 0
         z = (x - model.mean) / model.scale
@@ -203,6 +250,17 @@ def fit(
     return model
 
 
+def _pooled(sample: DataFrame, model: Model) -> DataFrame:
+    """``h, y, pooled`` of the rows ``text, y, h``."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("binary")
+    def pool(column: pa.Array) -> pa.Array:
+        return pa.array([sent.value.pooled(t or "").tobytes() for at in range(0, len(column), 64) for t in column.slice(at, 64).to_pylist()], pa.binary())
+
+    return sample.select("h", "y", pool("text").alias("pooled"))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Add the probability (0 to 1) that a whole text is of label 1; null counts as empty.
 
@@ -210,9 +268,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     added name is replaced.
     """
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     @F.arrow_udf("double")
     def of(column: pa.Array) -> pa.Array:
-        out = [model.scores(texts(column.slice(at, 64))) for at in range(0, len(column), 64)]
+        out = [sent.value.scores(texts(column.slice(at, 64))) for at in range(0, len(column), 64)]
         shape.cache_clear()  # the worker lives on, and later stages need its memory
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
