@@ -37,11 +37,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes that repeat; characters are never cut apart."""
+    """Texts without the passages of 400 bytes that repeat; characters are never cut apart, and other columns stay."""
     cut = suffix.remove(suffix.repeats(docs), characters=True)
     text = F.when(F.col("runs") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     n = F.when(F.col("runs") > 0, F.length(F.decode("kept", "UTF-8")).cast("long")).otherwise(F.col("n_chars"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", n.alias("n_chars"))
+    new = {"text": text, "n_chars": n}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns if c != "spans"])
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
