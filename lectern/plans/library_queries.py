@@ -246,6 +246,12 @@ def d24(lib):
 # -- sorts and limits ----------------------------------------------------------------
 
 
+@query("f1_sort_last_opened", "select uuid, last_opened_at, row_number() over (order by last_opened_at nulls first, uuid) - 1 as rank from {lib_docs}")
+def f1_opened(lib):
+    docs = lib["lib_docs"].select("uuid", "last_opened_at")
+    return positions(L.sort_library(docs, "lastOpenedAt", ascending=True), L.library_order("lastOpenedAt", True))
+
+
 _SORTS = [(key, up) for key in L.SORT_KEYS for up in (True, False)]
 
 
