@@ -116,19 +116,19 @@ def allot(rows: DataFrame, weights: DataFrame, percent: int = 150, epochs: int =
     cut = plan.where("need > 0").select("source", "need")
     for level in range(1, LEVELS + 1):
         cut = saved(_cut(rows, cut, level), "cut")
-    cut = cut.select(F.col("source").alias("_cut_source"), F.col("need").alias("rest"), "cell")
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "whole")
+    cut = cut.select(F.col("source").alias("_cut_source"), F.col("need").alias("_rest"), F.col("cell").alias("_cell"))
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"))
     plan = saved(plan.join(cut, plan["_source"].eqNullSafe(cut["_cut_source"]), "left").drop("_cut_source"), "plan")
 
     at = F.substring("draw", 1, CELL_DIGITS * LEVELS)
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn("_at", at)
-    once = F.when(F.col("_at") < F.col("cell"), F.col("size")).otherwise(F.lit(0))
+    once = F.when(F.col("_at") < F.col("_cell"), F.col("size")).otherwise(F.lit(0))
     # The cell where the target is met: its rows in order, the last one in part.
     order = ", ".join(f"`{c}`" for c in ("draw", *[c for c in own if c != "draw"]))
     before = F.expr(f"coalesce({RUNNING.format('size', order)}, 0)")
-    some = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    inside = F.coalesce(F.col("_at") == F.col("cell"), F.lit(False))
-    whole = F.col("whole") * F.col("size")
+    some = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
+    inside = F.coalesce(F.col("_at") == F.col("_cell"), F.lit(False))
+    whole = F.col("_whole") * F.col("size")
     out = [*own, "source_size", "target"]
     return placed.where(~inside).select(*out, (whole + once).cast("long").alias("taken")).unionByName(
         placed.where(inside).select(*out, (whole + some).cast("long").alias("taken")))
@@ -149,7 +149,7 @@ def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     size = F.greatest(F.col("size"), F.lit(1))
     copies = mixed.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / size).cast("int"))))
     rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    first = F.array_join(F.slice(F.split(F.ltrim(F.lit(" \t\n\x0b\x0c\r"), F.col(text)), r"[\x20\x09-\x0D]+"), F.lit(1), F.greatest(rest, F.lit(1)).cast("int")), " ")
+    first = F.array_join(F.slice(F.split(F.ltrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), F.lit(1), F.greatest(rest, F.lit(1)).cast("int")), " ")
     return copies.withColumn(text, F.when(rest < F.col("size"), first).otherwise(F.col(text)))
 
 
