@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import decode_json
 from ..functions.text import has_text
-from .ordered import parts, slice_of
+from .ordered import parts, positions, slice_of
 
 LOW_CONFIDENCE = 0.85
 PAGE_SIZE = 50
@@ -191,6 +191,38 @@ def pages(df: DataFrame, order: Order, size: int = PAGE_SIZE) -> Iterator[DataFr
         yield found
 
 
+def numbered_pages(df: DataFrame, order: Order, size: int = PAGE_SIZE, name: str = "page") -> DataFrame:
+    """The rows of all pages at once, each with the number of its page: what ``pages`` finds one by one.
+
+    A page begins behind the last key of the one before, so its first place follows from the places in the
+    order, except where rows of one key lie across the end of a page: those behind it are passed over, as they are not behind
+    the cursor.  Only such keys of several rows go through the driver, one by one; a total order has none.
+    """
+    spark, keys = df.sparkSession, [c for c, _ in order]
+    placed = positions(df, order, "_place")
+    ties = placed.groupBy(*keys).agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("first", "n")
+    runs, start, number = [], 0, 0  # runs of pages without a row passed over: first place, end, number of the first page
+    for first, n in ties.orderBy("first").toLocalIterator():
+        full = (first - start) // size + 1
+        end = start + full * size
+        if end < first + n:
+            runs.append((start, end, number))
+            start, number = first + n, number + full
+    total = placed.count()
+    if start < total:
+        runs.append((start, total, number))
+    starts = spark.createDataFrame(runs, "begin long, stop long, number long").select(
+        "stop", "number", "begin", F.posexplode(F.sequence("begin", F.col("stop") - 1, F.lit(size))).alias("_nth", "_from")
+    ).select(
+        (F.col("number") + F.col("_nth")).cast("int").alias(name), "_from", F.least(F.col("_from") + size, "stop").alias("_to")
+    )
+    # A page meets at most two cells of its size.
+    cell = lambda at: F.floor(at / F.lit(size))
+    starts = starts.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("_from")), cell(F.col("_to") - 1)))))
+    inside = (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))
+    return placed.withColumn("_cell", cell(F.col("_place"))).join(starts, "_cell").filter(inside).select(*df.columns, name)
+
+
 def natural_order(df: DataFrame, kind: str) -> DataFrame:
     return sorted_by(df, NATURAL[kind])
 

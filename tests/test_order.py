@@ -43,6 +43,34 @@ def test_pages_follow_cursors_through_the_whole_order(spark, library, order):
     assert list(L.pages(library.limit(0), order)) == []
 
 
+@pytest.mark.parametrize("order, copies", [(ORDERS[0], 1), (ORDERS[3], 7), (ORDERS[1], 50)])
+def test_numbered_pages_are_those_of_the_cursors(spark, library, order, copies, monkeypatch):
+    rows = library.limit(110 // copies).crossJoin(spark.range(copies)).drop("id").coalesce(2).localCheckpoint()
+    rows = rows.unionByName(rows.limit(1).withColumn("uuid", F.lit(None).cast("string")))
+    want = [(r["uuid"], i) for i, p in enumerate(L.pages(rows, order, 33)) for r in p.collect()]
+    monkeypatch.setattr(L, "page_after", None)  # no job for each page
+    got = [tuple(r) for r in L.numbered_pages(rows, order, 33).select("uuid", "page").collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_numbered_pages_of_an_empty_library(spark, library):
+    assert L.numbered_pages(library.limit(0), ORDERS[0], 33).count() == 0
+
+
+def test_positions_of_long_texts(spark):
+    """Ranges know the first letters of a text only, and an inner sort costs nothing."""
+    long = "x" * ordered.RANGE_LETTERS
+    names = [long + str(i * 7 % 40) for i in range(40)] + [long, None, "", "y"] + ["a"] * 5
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, id int").repartition(7)
+    for up in (True, False):
+        order = [("name", up), ("id", not up)]
+        key = lambda r: ((r["name"] is not None, r["name"] or ""), r["id"] if not up else -r["id"])
+        rows = sorted(df.collect(), key=lambda r: -r["id"] if up else r["id"])
+        rows = sorted(rows, key=lambda r: key(r)[0], reverse=not up)
+        got = ordered.positions(L.sorted_by(df, order), order)
+        assert {r["id"]: r["rank"] for r in got.collect()} == {r["id"]: i for i, r in enumerate(rows)}
+
+
 def test_cursor_reaches_the_scan(spark, library, tmp_path):
     library.write.parquet(f"{tmp_path}/docs")
     page = L.page_after(spark.read.parquet(f"{tmp_path}/docs"), [("last_opened_at", True), ("uuid", True)], (3, "u100"))
