@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FENCE, SPACE
 
 MEMO, MEMO_LETTERS = 1 << 18, 64  # pieces whose tokens a task remembers, and how long they may be
+ROWS = 64  # texts whose ids a task holds at once
 ENTRIES = 2_000_000  # tokens and merges of a vocabulary at most
 UNKNOWN = "<|unk|>"
 # Fixed value: the pre-token pattern.
@@ -128,7 +130,10 @@ def bpe_tokenize(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = _encoder(shared.value)
         for batch in batches:
-            yield batch.map(lambda row: [i for piece in row for i in one(piece)] if row is not None else None)
+            for at in range(0, len(batch), ROWS):  # ids of a few texts at a time, four bytes each
+                yield batch.iloc[at : at + ROWS].map(
+                    lambda row: np.fromiter((i for piece in row for i in one(piece)), np.int32) if row is not None else None
+                )
 
     ids = encode(pieces(F.coalesce(text, F.lit("")), list(vocabulary.added)))
     return df.withColumn("ids", ids).withColumn("n_tokens", F.size("ids"))

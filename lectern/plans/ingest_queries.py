@@ -18,7 +18,7 @@ from ..operators.ordered import shared_folder
 from ..operators.speech import little_endian, wav_header
 from ..sources import exports, files
 from ..sources.epub import epub_to_blocks
-from ..sources.html import html_plain_text, html_to_blocks
+from ..sources.html import frames, html_plain_text, html_to_blocks
 from ..sources.library import persist_documents, read_library, write_library
 from ..sources.voices import read_voices
 from ..sources.wav import wav_inventory
@@ -59,12 +59,12 @@ def text_books(docs):
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages = ["".join(f"<p>{escape(line)}</p>" for line in text.split("\n")) for text in batch["text"].fillna("")]
-            out = [
+            pages = ("".join(f"<p>{escape(line)}</p>" for line in text.split("\n")) for text in batch["text"].fillna(""))
+            out = (
                 (key, _container(key, {"one.xhtml": f"<html><body>{page}</body></html>", "two.xhtml": "<html><body></body></html>"}))
                 for key, page in zip(batch["doc_id"], pages)
-            ]
-            yield pd.DataFrame(out, columns=["document_id", "content"])
+            )
+            yield from frames(out, ["document_id", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(pack, "document_id bigint, content binary")
 
@@ -175,14 +175,14 @@ def books(lib):
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [
+            out = (
                 (key, _container(key, {
                     "one.xhtml": html,
                     "two.xhtml": f"<html><body><p>First of {key}</p><p> second\n\n\npart </p></body></html>",
                 }))
                 for key, html in zip(batch["page_id"], batch["html"])
-            ]
-            yield pd.DataFrame(out, columns=["document_id", "content"])
+            )
+            yield from frames(out, ["document_id", "content"])
 
     return lib.wide("pages").select("page_id", "html").mapInPandas(pack, "document_id bigint, content binary")
 
