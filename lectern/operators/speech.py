@@ -254,7 +254,12 @@ def speech_cost(df: DataFrame, phonemes: str = "phonemes") -> DataFrame:
     plain = F.regexp_replace(text, MARKUP, "")
     has_cue = F.contains(text, F.lit(CUE))
     cue_only = has_cue & ~plain.rlike("\\p{L}")
-    runs = F.regexp_count(F.regexp_replace(plain, f"[{TRANSPARENT_MARKS}]", ""), F.lit(f"[{IPA_VOWELS}]+"))
+    # Vowels beyond a to z become one of them and marks go in one walk; what is left for the pattern is a short class.
+    letters = "".join(v for v in IPA_VOWELS if v.isascii())
+    beyond = "".join(v for v in IPA_VOWELS if not v.isascii())
+    marks = TRANSPARENT_MARKS.replace("0-9", "0123456789")
+    simple = F.translate(plain, beyond + marks, letters[0] * len(beyond))
+    runs = F.regexp_count(simple, F.lit(f"[{letters}]+"))
     measured = df.select(
         "*", runs.alias("syllables"), cue_only.alias("cue_only"), has_cue.alias("_cue"),
         F.length(plain).alias("_chars"),

@@ -1,8 +1,12 @@
 """Batches and frames that pass through Python workers are bounded by their bytes."""
 
+import random
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lectern.operators import speech as P
 from lectern.operators import tokens as K
 from lectern.session import RUNTIME, tune
 from lectern.sources import epub, html
@@ -35,3 +39,13 @@ def test_ids_come_in_parts(spark):
     rows = [(i, "ab" * (i % 5) if i % 11 else None) for i in range(3 * K.ROWS + 1)]
     got = K.bpe_tokenize(spark.createDataFrame(rows, "i int, text string").coalesce(1), words).collect()
     assert {r["i"]: r["ids"] for r in got} == {i: [256] * len((t or "")[::2]) for i, t in rows}
+
+
+def test_syllables_are_runs_of_vowels_between_which_marks_do_not_count(spark):
+    rng, letters = random.Random(3), [*P.IPA_VOWELS, *"ːˈˌ059", *"btkñ漢😀 -/<"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)] + [None, ""]
+    cost = P.speech_cost(spark.createDataFrame([(t,) for t in texts], "phonemes string"))
+    assert "ɐ]" not in cost._jdf.queryExecution().toString() and "regexp_replace(regexp_replace" not in cost._jdf.queryExecution().toString()
+    want = {t: len(re.findall(f"[{P.IPA_VOWELS}]+", re.sub(f"[{P.TRANSPARENT_MARKS}]", "", t))) for t in texts if t is not None}
+    got = {r["phonemes"]: r["syllables"] for r in cost.collect()}
+    assert got.pop(None) is None and got == want
