@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import speech as P
+from lectern.operators import stats as S
 from lectern.operators import tokens as K
 from lectern.session import RUNTIME, tune
 from lectern.sources import epub, html
@@ -49,3 +50,14 @@ def test_syllables_are_runs_of_vowels_between_which_marks_do_not_count(spark):
     want = {t: len(re.findall(f"[{P.IPA_VOWELS}]+", re.sub(f"[{P.TRANSPARENT_MARKS}]", "", t))) for t in texts if t is not None}
     got = {r["phonemes"]: r["syllables"] for r in cost.collect()}
     assert got.pop(None) is None and got == want
+
+
+def test_the_best_items_need_no_join(spark):
+    """Few items of a group keep one order; the same rows come from the sliced form for large groups."""
+    rng = random.Random(5)
+    rows = [(g if g else None, i, rng.choice([None, 1.0, 2.5, rng.random()])) for g in range(6) for i in range(g * 7 + 1)]
+    df = spark.createDataFrame(rows, "g int, item long, score double")
+    few = S.nucleus(df, ["g"], 0.8, 10, 0.9)
+    assert "Join" not in few._jdf.queryExecution().toString()
+    shown = lambda q: sorted((r["g"], r["rank"], r["item"], r["probability"] and round(r["probability"], 12)) for r in q.collect())
+    assert shown(few) == shown(S.nucleus(df, ["g"], 0.8, 10, 0.9, rows=5)) and few.where("g is null").isEmpty()
