@@ -147,3 +147,18 @@ def test_index_answers_as_the_scan_does(spark, tmp_path):
     assert index.candidates("mañana été").count() < 600 and index.candidates("qqq").count() == 0
     empty = postings.build(blocks.limit(0), f"{tmp_path}/none")
     assert empty.search_blocks(docs, pages, "the").count() == 0
+
+
+def test_index_inverts_a_slice_where_its_texts_stand(spark, tmp_path):
+    rows = [(f"d{i % 40}", i, f"text {i % 7} of {i}" if i % 11 else None) for i in range(600)]
+    blocks = spark.createDataFrame(rows + rows[:50], "document_id string, ord int, content string")
+    index = postings.build(blocks, f"{tmp_path}/index", slice_blocks=100)
+    slices = {r["_slice"]: sorted(r["numbers"]) for r in index.blocks.groupBy("_slice").agg(F.collect_list("_number").alias("numbers")).collect()}
+    assert len(slices) == 7 and all(numbers == list(range(1, len(numbers) + 1)) for numbers in slices.values())
+    lists = index.tables["postings"]
+    assert lists.select("_slice", F.input_file_name()).distinct().count() == 7
+    want = {(r["gram"], r["_slice"]): r["numbers"] for r in index.blocks.select("_slice", "_number", F.explode(postings.grams(F.col("content"))).alias("gram"))
+            .groupBy("gram", "_slice").agg(F.sort_array(F.collect_list("_number")).alias("numbers")).collect()}
+    got = lists.collect()
+    assert {(r["gram"], r["_slice"]): r["blocks"] for r in got} == want and len(got) == len(want) and all(r["n"] == len(r["blocks"]) for r in got)
+    assert index.candidates("text 3").count() == blocks.filter("content like 'text 3%'").count()
