@@ -202,6 +202,14 @@ def test_toxicity_evidence_equals_dictionaries(spark, head):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_fit_writes_its_counts_once(spark, monkeypatch):
+    written, saved = [], toxicity.saved
+    monkeypatch.setattr(toxicity, "saved", lambda df, name: written.append(name) or saved(df, name))
+    docs = frame(spark, [(i, f"w{i % 9} w{i % 5}" + " vile" * (i % 4 == 0), "en", "s", 1) for i in range(60)])
+    model = toxicity.fit(docs, frame(spark, [(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    assert written == ["words", "calibration", "met"] and model.table.columns == ["word", "gain", "n"]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     plain = [f"w{i}" for i in range(200)]
