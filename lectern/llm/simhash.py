@@ -35,6 +35,8 @@ MORE_BITS = 6
 AT_ONCE = 1 << 21
 _HASHES_AT_ONCE = 1 << 15
 SKETCH = 128  # shingle hashes that are kept of every text; whole sets are made for the pairs that these leave open
+# Texts and bytes of their sets in one tile of a group of candidates, and tiles up to which a group is compared tile by tile.
+TILE, TILE_BYTES, TILES = 1024, 16 << 20, 16
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -336,12 +338,7 @@ def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int,
         pairs.join(sketches.toDF("x", "u", "n"), "x").join(sketches.toDF("y", "v", "m"), "y")
         .where(possible("u", "n", "v", "m")).select("x", "y"), "open")
 
-    @F.arrow_udf("binary")
-    def whole(column: pa.Array) -> pa.Array:
-        return pa.array([_set(t.lower().split(), shingle).tobytes() for t in byte_texts(column)], pa.binary())
-
-    sets = _of_texts(own.select("text_key", "_text"), open).groupBy("text_key").agg(F.first("_text").alias("_text"))
-    sets = saved(sets.select("text_key", whole("_text").alias("set")), "sets")
+    sets = _whole_sets(_of_texts(own.select("text_key", "_text"), open), shingle)
 
     @F.arrow_udf("boolean")
     def alike(u: pa.Array, v: pa.Array) -> pa.Array:
@@ -353,12 +350,76 @@ def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int,
         .where(alike("u", "v")).select(F.col("x").alias("a"), F.col("y").alias("b")), "checked")
 
 
+def _whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Written rows ``text_key, set``: the whole set of shingle hashes of every text once."""
+
+    @F.arrow_udf("binary")
+    def whole(column: pa.Array) -> pa.Array:
+        return pa.array([_set(t.lower().split(), shingle).tobytes() for t in byte_texts(column)], pa.binary())
+
+    one = texts.groupBy("text_key").agg(F.first("_text").alias("_text"))
+    return saved(one.select("text_key", whole("_text").alias("set")), "sets")
+
+
 def _of_texts(rows: DataFrame, pairs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
     """The rows of texts that are in a pair; up to ``broadcast_rows`` keys are sent, so no text is shuffled for them."""
-    keys = saved(pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), "keys")
+    return _of_keys(rows, pairs.select(F.explode(F.array("x", "y")).alias("text_key")).distinct(), broadcast_rows)
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    keys = saved(keys, "keys")
     return rows.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, "text_key", "left_semi")
 
 
+def _joins(parts: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], n: int, radius: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links of similar texts that join the parts of one tile, or those of two of which the first has ``n`` texts.
+
+    Texts are candidates if their prints are within ``radius`` bits in any table.  Pairs whose parts are joined already
+    are passed over, all other candidates are decided, so the links are a forest that joins what all links would.
+    """
+    label = np.unique(parts, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    for i in range(n):
+        first = i + 1 if n == len(sets) else n
+        near = (np.bitwise_count(prints[first:] ^ prints[i]) <= radius).any(axis=1)
+        even = np.minimum(size[first:], size[i]) >= np.maximum(size[first:], size[i]) * least - 1
+        for j in (np.flatnonzero(near & even & (label[first:] != label[i])) + first).tolist():
+            if label[i] == label[j] or _ruled_out(sets[i][:SKETCH], len(sets[i]), sets[j][:SKETCH], len(sets[j]), least):
+                continue
+            if similar(sets[i], sets[j], least):
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def _across(members: DataFrame, radius: int, least: float) -> DataFrame:
+    """Written links ``a, b`` that join the parts of every group as all links between similar candidates would.
+
+    ``members`` has ``root, tiles, text_key, part, prints, set``.  The texts of a group are dealt into tiles and every tile
+    meets every tile in a task of its own, so a pair is no row and memory follows the tiles.
+    """
+    dealt = members.withColumn("_tile", F.pmod(F.xxhash64("text_key"), F.col("tiles"))).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+
+    def meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(group)).sort_by([("_tile", "ascending"), ("text_key", "ascending")])
+        tile = got["_tile"].to_numpy()
+        if not len(tile):
+            return
+        prints = np.array(got["prints"].to_pylist(), np.int64).view(np.uint64)
+        sets = [np.frombuffer(s.as_py(), "<u8") for s in got["set"]]
+        if int(got["_low"][0].as_py()) != int(got["_high"][0].as_py()) and tile[0] == tile[-1]:
+            return  # the other tile is empty
+        first = int(np.searchsorted(tile, tile[0], "right"))
+        keys = got["text_key"]
+        found = list(_joins(np.array(got["part"].to_pylist(), object), prints, sets, first, radius, least))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([keys[i].as_py() for i, _ in found], pa.binary()), pa.array([keys[j].as_py() for _, j in found], pa.binary())], names=["a", "b"])
+
+    pairs = dealt.select("root", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"),
+                         "_tile", "text_key", "part", "prints", "set")
+    return saved(pairs.groupBy("root", "_low", "_high").applyInArrow(meet, "a binary, b binary"), "checked")
+
+
 def similar_texts(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8,
     radius: int = 4, tables: int = 8, feature: int = 2,
@@ -404,7 +465,17 @@ def similar_texts(
         F.col("node").alias("text_key"), "root", F.coalesce("part", "node").alias("part"))
     parts = saved(parts, "parts")
     torn = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    left = saved(prints.join(parts.join(torn, "root", "left_semi").select("text_key", "part"), "text_key"), "open")
+    torn = saved(parts.join(torn, "root", "left_semi"), "torn")
+    if not torn.isEmpty():
+        sets = _whole_sets(_of_keys(own.select("text_key", "_text"), torn.select("text_key")), shingle)
+        sized = torn.join(sets.select("text_key", F.octet_length("set").alias("_bytes")), "text_key").groupBy("root").agg(
+            F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("_bytes") / TILE_BYTES), F.lit(1)).alias("tiles"))
+        torn = saved(torn.join(sized, "root"), "torn")
+        members = torn.where(F.col("tiles") <= TILES).join(nodes, "text_key").join(sets, "text_key")
+        checked = checked.unionByName(_across(members, radius, least))
+        torn = torn.where(F.col("tiles") > TILES)
+    # Larger groups are mostly chains, where few of all pairs are candidates: these are listed and verified.
+    left = saved(prints.join(torn.select("text_key", "part"), "text_key"), "open")
     if not left.isEmpty():
         cells = saved(left.groupBy("table", "fingerprint").agg(F.min("part").alias("low"), F.max("part").alias("high")), "cells")
         kinds = cells.select("table", "fingerprint", F.when(F.col("low") == F.col("high"), F.xxhash64("low")).alias("kind"))

@@ -413,6 +413,34 @@ def test_similar_texts_equal_brute_force_on_dense_groups(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
 
 
+def test_similar_texts_are_alike_by_any_tiles(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [t for edits in (2, 3, 4) for t in near_groups(rng, 90, edits, 14)] + ["", ""]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = []
+    for tile, tiles in ((1024, 16), (5, 1000), (5, 0)):  # one tile, many, and pairs listed by the tables
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "TILES", tiles)
+        got.append({r["doc_id"]: (r["component_id"], r["kept"]) for r in simhash.similar_texts(frame(spark, rows)).collect()})
+    assert got[0] == got[1] == got[2]
+
+
+def test_similar_texts_write_no_pairs_of_a_group(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = [t for edits in (4, 5) for t in near_groups(rng, 120, edits, 150)]
+    most, write = [], simhash.saved
+
+    def counted(df, name="step"):
+        out = write(df, name)
+        most.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    got = simhash.similar_texts(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert len({r["component_id"] for r in got}) > 50  # many stay apart, though candidates of each other
+    assert max(most)[0] <= 8 * len(texts)
+
+
 def test_links_list_every_pair_of_unlike_kinds(spark):
     rng = random.Random(13)
     base = [rng.getrandbits(63) for _ in range(4)]
