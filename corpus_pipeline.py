@@ -14,6 +14,7 @@ from lectern.llm import bpe, decontaminate, quality, simhash, suffix
 from lectern.llm.common import saved, table, text_key
 from lectern.llm.queries import THRESHOLD, WORDS, quality_model
 
+PASSAGE_WORDS = 50
 ORACLE_SQL = None  # no stage but the first steps of the others can be written in SQL
 
 
@@ -37,8 +38,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes that repeat; characters are never cut apart, and other columns stay."""
-    cut = suffix.remove(suffix.repeats(docs), characters=True)
+    """Texts without the passages of 400 bytes, or of 50 words, that repeat; characters are never cut apart, and other columns stay."""
+    cut = suffix.remove(suffix.repeats(docs, words=PASSAGE_WORDS), characters=True)
     text = F.when(F.col("runs") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     n = F.when(F.col("runs") > 0, F.length(F.decode("kept", "UTF-8")).cast("long")).otherwise(F.col("n_chars"))
     new = {"text": text, "n_chars": n}

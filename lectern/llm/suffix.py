@@ -10,11 +10,13 @@ in two stages: suffixes smaller than their successor are sorted directly, the ot
 by scans over the buckets of first bytes.  Starts whose adjacent common prefix, counted in bytes,
 reaches ``length`` are repeated.  Keys with too many distinct segments for one array have each of their strings
 counted by a 128-bit hash instead, as rows that any number of tasks share.
+
+Strings of words are found the same way in the codes of a text's words, which have one width.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ ARRAY_BYTES = 512 << 10  # bytes that one suffix array takes
 KEY_BYTES = 256 << 10  # bytes of distinct segments of one key above which its strings are counted by hash
 PIECE = 1 << 20  # bytes of a text that are cut into segments at once
 LEAP = 64
-_END = 255  # never part of UTF-8
+WORD = 6  # bytes of a word's code, of seven bits each
+BROADCAST_ROWS = 2_000_000  # keys of rows up to which they are sent, so that only the texts they name are shuffled
+_END = 255  # never part of UTF-8 or of a code
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -247,14 +251,46 @@ def _spans(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist()
 
 
-def _occurrences(docs: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
+class _Codes(dict):
+    """Codes of words; those of a worker are dropped when they are many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 1 << 18:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word, 7)
+        code = self[word] = bytes(value >> 7 * i & 127 for i in range(WORD))
+        return code
+
+
+def word_codes() -> Callable[[bytes], bytes]:
+    """A function that gives the codes of a text's words in a row; words are runs without ASCII white space, A-Z are lowered."""
+    codes = _Codes()
+    return lambda data: b"".join(map(codes.__getitem__, data.lower().split()))
+
+
+def _word_bytes(data: bytes, spans: list[dict]) -> list[dict]:
+    """Spans of a text's word codes as spans of its bytes, from the first whole word to the last."""
+    blank = np.ones(len(data) + 2, bool)
+    raw = np.frombuffer(data, np.uint8)
+    blank[1:-1] = (raw == 32) | (raw >= 9) & (raw <= 13)
+    first, end = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+    whole = [(-(-s["start"] // WORD), s["stop"] // WORD) for s in spans]
+    return [{"start": int(first[a]), "stop": int(end[b - 1])} for a, b in whole if a < b]
+
+
+def _same(data: bytes) -> bytes:
+    return data
+
+
+def _occurrences(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
     """A row for each distinct segment of a text: key, hash of its bytes, the row it stands in, where it begins, and its last start from there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = coder()
         for batch in slices(batches):
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for row, data in enumerate(byte_texts(batch.column(2))):
+            for row, data in enumerate(map(coded, byte_texts(batch.column(2)))):
                 keys, first, last = segments(np.frombuffer(data, np.uint8), length, anchor)
                 same: dict[tuple[int, int], list[int]] = {}
                 reach = {}
@@ -313,20 +349,14 @@ def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
     return few.mapInArrow(sort, spec).unionByName(hot.select("anchor", "segment", "starts", F.col("starts").alias("stops")))
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int = ANCHOR) -> DataFrame:
-    """Add ``spans array<struct<start long, stop long>>``: the bytes that repeat elsewhere.
+def _named(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose key is among ``keys`` (``left_semi``) or not (``left_anti``)."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["_k1", "_k2"], how)
 
-    A span covers every byte of a string of ``length`` bytes that also starts anywhere else, in
-    the same text or another, judged on the whole input; spans of one text may overlap, touch or be
-    equal and stand in order of their start.  Bytes are those of UTF-8; null and short texts have no span.
-    Rows that repeat are rows of their own and so repeat each other.  Other columns stay as they are,
-    one named ``spans`` is replaced.
-    """
-    names = [c for c in docs.columns if c != "spans"]
-    if len(names) != len(set(names)):
-        raise ValueError("columns of one name")
-    docs = docs.select(*names)
-    found = saved(_occurrences(docs, text, length, anchor), "segments")
+
+def _marks(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable[[], Callable[[bytes], bytes]], least: int) -> DataFrame:
+    """``_k1, _k2, spans`` of the rows with repeated strings of ``length`` bytes of what ``coder`` makes of a text of ``least`` bytes or more."""
+    found = saved(_occurrences(docs, text, length, anchor, coder), "segments")
     kinds = (
         found.groupBy("anchor", "segment")
         .agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("_k1", "_k2", F.col("firsts")[0].alias("first"), "reach")).alias("one"))
@@ -343,21 +373,23 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
         "anchor", "segment", F.array(F.lit(0).cast("long")).alias("starts"), F.array("reach").alias("stops")
     )
     # Keys with several distinct segments: one of each is read again.
-    wanted = shared.where("kinds > 1").groupBy("_k1", "_k2").agg(
+    wanted = saved(shared.where("kinds > 1").groupBy("_k1", "_k2").agg(
         F.collect_list(F.struct("anchor", "segment", "first", "reach", "hot")).alias("wanted")
-    )
+    ), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = coder()
         for batch in slices(batches, 256):
             rows = [
                 (w["anchor"], w["segment"], data[w["first"] : w["first"] + w["reach"] + length], w["hot"])
-                for data, asked in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()) for w in asked
+                for data, asked in zip(map(coded, byte_texts(batch.column(0))), batch.column(1).to_pylist()) for w in asked
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))],
                 names=["anchor", "segment", "data", "hot"])
 
-    keyed = docs.select(*row_key(*names), F.col(text).alias("_text")).where(F.octet_length("_text") >= length)
+    keyed = docs.select(*row_key(*docs.columns), F.col(text).alias("_text")).where(F.octet_length("_text") >= least)
+    keyed = _named(keyed, wanted.select("_k1", "_k2"), "left_semi")
     pieces = saved(
         keyed.join(wanted, ["_k1", "_k2"]).select("_text", "wanted").mapInArrow(read, "anchor long, segment long, data binary, hot boolean")
         .dropDuplicates(["anchor", "segment"]),
@@ -366,13 +398,47 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
     runs = saved(whole.unionByName(_distinct_repeats(pieces, length).where(F.size("starts") > 0)), "runs")
     marks = F.flatten(F.transform("firsts", lambda f: F.transform(
         F.arrays_zip("starts", "stops"), lambda r: F.struct((f + r["starts"]).alias("start"), (f + r["stops"] + length).alias("stop")))))
-    spans = (
+    return (
         found.join(runs, ["anchor", "segment"]).select("_k1", "_k2", marks.alias("marks"))
         .groupBy("_k1", "_k2").agg(F.sort_array(F.flatten(F.collect_list("marks"))).alias("spans"))
     )
+
+
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int = ANCHOR, words: int | None = None) -> DataFrame:
+    """Add ``spans array<struct<start long, stop long>>``: the bytes that repeat elsewhere.
+
+    A span covers every byte of a string of ``length`` bytes that also starts anywhere else, in
+    the same text or another, judged on the whole input; spans of one text may overlap, touch or be
+    equal and stand in order of their start.  Bytes are those of UTF-8; null and short texts have no span.
+    With ``words``, spans also cover that many words in a row that also stand anywhere else, however the white
+    space between them or the case of A-Z differs; words are compared by 42-bit hashes.
+    Rows that repeat are rows of their own and so repeat each other.  Other columns stay as they are,
+    one named ``spans`` is replaced.
+    """
+    names = [c for c in docs.columns if c != "spans"]
+    if len(names) != len(set(names)):
+        raise ValueError("columns of one name")
+    docs = docs.select(*names)
+    spans = _marks(docs, text, length, anchor, lambda: _same, length)
+    if words:
+        size = words * WORD
+        of_words = _marks(docs, text, size, max(1, size * anchor // length), word_codes, 2 * words - 1)
+        spans = spans.join(of_words.withColumnRenamed("spans", "_words"), ["_k1", "_k2"], "full")
+    spans = saved(spans, "spans")
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    rows = docs.select(*row_key(*names), F.struct(*names).alias("_row"))
-    return rows.join(spans, ["_k1", "_k2"], "left").select("_row.*", F.coalesce("spans", empty).alias("spans"))
+    keyed = docs.select(*row_key(*names), F.struct(*names).alias("_row"))
+    keys = spans.select("_k1", "_k2")
+    marked = _named(keyed, keys, "left_semi").join(spans, ["_k1", "_k2"])
+    every = F.coalesce("spans", empty)
+    if words:
+        @F.arrow_udf("array<struct<start:bigint,stop:bigint>>")
+        def in_bytes(column: pa.Array, coded: pa.Array) -> pa.Array:
+            of = [_word_bytes(data, marks or []) for data, marks in zip(byte_texts(column), coded.to_pylist())]
+            return pa.array(of, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+
+        every = F.sort_array(F.concat(every, in_bytes(F.col(f"_row.`{text}`"), F.col("_words"))))
+    return marked.select("_row.*", every.alias("spans")).unionByName(
+        _named(keyed, keys, "left_anti").select("_row.*", empty.alias("spans")))
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int]]:

@@ -265,6 +265,54 @@ def test_repeats(spark, monkeypatch, key_bytes):
     assert suffix.remove(suffix.repeats(frame(spark, []))).count() == 0
 
 
+def words_removed(texts, length, n):
+    """What repeated strings of ``length`` bytes and repeated rows of ``n`` words leave of every text."""
+    spots = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    rows = [[(t or "").encode()[a:b].lower() for a, b in at] for t, at in zip(texts, spots)]
+    seen = Counter(tuple(r[i : i + n]) for r in rows for i in range(len(r) - n + 1))
+    strings = Counter(x[i : i + length] for x in ((t or "").encode() for t in texts) for i in range(len(x) - length + 1))
+    out = []
+    for t, at, row in zip(texts, spots, rows):
+        x = (t or "").encode()
+        mark = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if strings[x[i : i + length]] > 1:
+                mark[i : i + length] = b"\1" * length
+        for i in range(len(row) - n + 1):
+            if seen[tuple(row[i : i + n])] > 1:
+                a, b = at[i][0], at[i + n - 1][1]
+                mark[a:b] = b"\1" * (b - a)
+        out.append(bytes(b for b, m in zip(x, mark) if not m))
+    return out
+
+
+@pytest.mark.parametrize("key_bytes", [suffix.KEY_BYTES, 50])
+def test_repeats_of_words(spark, monkeypatch, key_bytes):
+    monkeypatch.setattr(suffix, "KEY_BYTES", key_bytes)
+    rng = random.Random(16)
+    words = ["the", "Cat", "é", "sat", "on", "漢字", "mat", "of", "then", "a"]
+    passage = rng_text(rng, words, 40)
+    texts = [rng_text(rng, words, rng.randint(0, 60)) for _ in range(30)]
+    texts = [t[:30] + passage[rng.randrange(30) :] + t[30:] if i % 3 == 0 else t for i, t in enumerate(texts)]
+    texts += [passage.replace(" ", "\n\t"), "  " + passage.upper() + "\x0b", "x " * 60, None, "", "é" * 90, texts[4]]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    for length, n in ((60, 8), (400, 12), (20, 30)):
+        got = suffix.remove(suffix.repeats(docs, length=length, anchor=max(1, length // 3), words=n)).collect()
+        assert {r["doc_id"]: bytes(r["kept"]) for r in got} == dict(enumerate(words_removed(texts, length, n)))
+    assert suffix.repeats(frame(spark, []), words=5).count() == 0
+
+
+def test_short_passages_of_many_words_leave_the_pipeline(spark):
+    rng = random.Random(17)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passage, short = own(52), own(30)
+    assert len(passage) < 400
+    texts = {i: f"{own(40)} {passage if i < 3 else short} {own(40)}" for i in range(6)}
+    got = corpus_pipeline.without_repeats(spark, frame(spark, [(i, t, "en", "s", len(t)) for i, t in texts.items()]), SMALL).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: t.replace(passage, "") for i, t in texts.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(7)
     for letters in ("ab", "a", "abcdef"):
