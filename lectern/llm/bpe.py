@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 # Fixed values of the tokenizer file's format: contractions, letters, single numbers, other signs.
 # The alternatives start with different characters, so the frequent ones come first.
@@ -242,7 +242,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
             )
         known.clear()  # the worker lives on, and later stages need its memory
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def digests(encoded: DataFrame, *kept: str) -> DataFrame:

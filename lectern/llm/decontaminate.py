@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import chunks, give_back, lean, texts
 
 # Positions that count, in a window of tokens.  One of these hits every overlap of 13 tokens or more that is 80 % equal:
 # those of 13 to 25 tokens are enumerated by the tests, and a longer one has a part among these.
@@ -194,7 +194,7 @@ def contaminated(
     spec = f"`{id}` {docs.schema[id].dataType.simpleString()}, `{item}` {benchmark.schema[item].dataType.simpleString()}, n_equal long, n_tokens long, doc_start long, item_start long"
     out = docs.sparkSession.createDataFrame([], spec)
     for block in blocks(benchmark, item, item_text):
-        out = out.unionByName(docs.select(id, text).mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), id, item, docs, benchmark), spec))
+        out = out.unionByName(docs.select(id, text).mapInArrow(lean(_search(docs.sparkSession.sparkContext.broadcast(block), id, item, docs, benchmark)), spec))
     return out
 
 
@@ -231,6 +231,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def _free(sent):
     @F.arrow_udf("boolean")
     def free(column: pa.Array) -> pa.Array:
-        return pa.array([not sent.value.overlaps(t) for t in texts(column)], pa.bool_())
+        out = pa.array([not sent.value.overlaps(t) for t in texts(column)], pa.bool_())
+        give_back()
+        return out
 
     return free

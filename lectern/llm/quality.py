@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, slices, texts
+from .common import chunks, give_back, lean, saved, slices, texts
 
 DIMENSIONS = 128
 NONZERO = 4
@@ -130,7 +130,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
         rows = [(t, f, n) for f, found in ((False, words), (True, forms)) for t, n in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 3, (pa.string(), pa.bool_(), pa.int64()))], names=["token", "form", "n"])
 
-    return sample.select("text").mapInArrow(count, "token string, form boolean, n long").groupBy("token", "form").agg(F.sum("n").alias("n"))
+    return sample.select("text").mapInArrow(lean(count), "token string, form boolean, n long").groupBy("token", "form").agg(F.sum("n").alias("n"))
 
 
 def neighbour_sums(rows: np.ndarray, before: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
@@ -172,7 +172,7 @@ def _context_vectors(sample: DataFrame, dimensions: int) -> tuple[dict[str, int]
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
     sums = np.zeros_like(index)
-    for r in sample.select("text").mapInArrow(add, "sums binary").toLocalIterator():
+    for r in sample.select("text").mapInArrow(lean(add), "sums binary").toLocalIterator():
         sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
     # A token keeps its own index vector too, so words with like neighbours stay distinct.
     norms = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -256,7 +256,9 @@ def _pooled(sample: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("binary")
     def pool(column: pa.Array) -> pa.Array:
-        return pa.array([sent.value.pooled(t or "").tobytes() for at in range(0, len(column), 64) for t in column.slice(at, 64).to_pylist()], pa.binary())
+        out = pa.array([sent.value.pooled(t or "").tobytes() for at in range(0, len(column), 64) for t in column.slice(at, 64).to_pylist()], pa.binary())
+        give_back()
+        return out
 
     return sample.select("h", "y", pool("text").alias("pooled"))
 
@@ -274,6 +276,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def of(column: pa.Array) -> pa.Array:
         out = [sent.value.scores(texts(column.slice(at, 64))) for at in range(0, len(column), 64)]
         shape.cache_clear()  # the worker lives on, and later stages need its memory
+        give_back()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return docs.withColumn(name, of(F.col(text)))

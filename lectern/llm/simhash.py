@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, saved, text_key
+from .common import byte_texts, give_back, lean, saved, text_key
 from .graph import components
 
 BITS = 64
@@ -61,7 +61,9 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, name: st
 
     @F.arrow_udf("long")
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, shingle) for t in byte_texts(column)], pa.int64())
+        out = pa.array([fingerprint(t, shingle) for t in byte_texts(column)], pa.int64())
+        give_back()
+        return out
 
     return docs.withColumn(name, of(F.col(text)))
 
@@ -241,7 +243,7 @@ def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
         tables = pa.array(np.full(int(keep.sum()), table), pa.int32())
         return pa.RecordBatch.from_arrays([tables, pa.array(a[keep]), pa.array(b[keep])], names=["table", "a", "b"])
 
-    return rows.groupBy("table", "depth", "bucket").applyInArrow(meet, "table int, a long, b long")
+    return rows.groupBy("table", "depth", "bucket").applyInArrow(lean(meet), "table int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -332,7 +334,9 @@ def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int,
     @F.arrow_udf("boolean")
     def possible(u: pa.Array, n: pa.Array, v: pa.Array, m: pa.Array) -> pa.Array:
         rows = zip(u.to_pylist(), n.to_pylist(), v.to_pylist(), m.to_pylist())
-        return pa.array([not _ruled_out(np.frombuffer(a, "<u8"), i, np.frombuffer(b, "<u8"), j, least) for a, i, b, j in rows], pa.bool_())
+        out = pa.array([not _ruled_out(np.frombuffer(a, "<u8"), i, np.frombuffer(b, "<u8"), j, least) for a, i, b, j in rows], pa.bool_())
+        give_back()
+        return out
 
     open = saved(
         pairs.join(sketches.toDF("x", "u", "n"), "x").join(sketches.toDF("y", "v", "m"), "y")
@@ -343,7 +347,9 @@ def _verified(own: DataFrame, marked: DataFrame, pairs: DataFrame, shingle: int,
     @F.arrow_udf("boolean")
     def alike(u: pa.Array, v: pa.Array) -> pa.Array:
         # One value at a time, as sets of long texts are large.
-        return pa.array([similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), least) for a, b in zip(u, v)], pa.bool_())
+        out = pa.array([similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), least) for a, b in zip(u, v)], pa.bool_())
+        give_back()
+        return out
 
     return saved(
         open.join(sets.toDF("x", "u"), "x").join(sets.toDF("y", "v"), "y")
@@ -355,7 +361,9 @@ def _whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     @F.arrow_udf("binary")
     def whole(column: pa.Array) -> pa.Array:
-        return pa.array([_set(t.lower().split(), shingle).tobytes() for t in byte_texts(column)], pa.binary())
+        out = pa.array([_set((t.as_py() or b"").lower().split(), shingle).tobytes() for t in column.cast(pa.binary())], pa.binary())
+        give_back()
+        return out
 
     one = texts.groupBy("text_key").agg(F.first("_text").alias("_text"))
     return saved(one.select("text_key", whole("_text").alias("set")), "sets")
@@ -417,7 +425,7 @@ def _across(members: DataFrame, radius: int, least: float) -> DataFrame:
 
     pairs = dealt.select("root", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"),
                          "_tile", "text_key", "part", "prints", "set")
-    return saved(pairs.groupBy("root", "_low", "_high").applyInArrow(meet, "a binary, b binary"), "checked")
+    return saved(pairs.groupBy("root", "_low", "_high").applyInArrow(lean(meet), "a binary, b binary"), "checked")
 
 
 def similar_texts(
@@ -439,12 +447,18 @@ def similar_texts(
 
     @F.arrow_udf(spec)
     def mark(column: pa.Array) -> pa.Array:
-        words = [t.lower().split() for t in byte_texts(column)]
-        sets = [(s[:SKETCH].tobytes(), len(s)) for s in (_set(w, shingle) for w in words)]
-        return pa.StructArray.from_arrays(
-            [pa.array([_sums(w, feature, tables) for w in words], pa.list_(pa.int64())), pa.array([s for s, _ in sets], pa.binary()),
-             pa.array([n for _, n in sets], pa.int64())],
-            names=["prints", "sketch", "n"])
+        # One text at a time, as words as Python objects are many times a batch.
+        sums, sketches, sizes = [], [], []
+        for text in column.cast(pa.binary()):
+            words = (text.as_py() or b"").lower().split()
+            whole = _set(words, shingle)
+            sums.append(_sums(words, feature, tables))
+            sketches.append(whole[:SKETCH].tobytes())
+            sizes.append(len(whole))
+        out = pa.StructArray.from_arrays(
+            [pa.array(sums, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], names=["prints", "sketch", "n"])
+        give_back()
+        return out
 
     marked = saved(own.withColumn("_m", mark(F.col("_text"))).select("_id", "text_key", "_m.prints", "_m.sketch", "_m.n"), "marked")
     nodes = marked.groupBy("text_key").agg(F.first("prints").alias("prints"))

@@ -11,7 +11,7 @@ by scans over the buckets of first bytes.  Starts whose adjacent common prefix,
 reaches ``length`` are repeated.  Keys with too many distinct segments for one array have each of their strings
 counted by a 128-bit hash instead, as rows that any number of tasks share.
 
-Strings of words are found the same way in the codes of a text's words, which have one width.
+Strings of words are found the same way in the 64-bit codes of a text's words; those of one key are compared by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,26 +24,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, row_key, saved, slices
+from .common import byte_texts, give_back, lean, row_key, saved, slices
 
 ANCHOR = 128
 ARRAY_BYTES = 512 << 10  # bytes that one suffix array takes
 KEY_BYTES = 256 << 10  # bytes of distinct segments of one key above which its strings are counted by hash
 PIECE = 1 << 20  # bytes of a text that are cut into segments at once
 LEAP = 64
-WORD = 6  # bytes of a word's code, of seven bits each
 BROADCAST_ROWS = 2_000_000  # keys of rows up to which they are sent, so that only the texts they name are shuffled
-_END = 255  # never part of UTF-8 or of a code
+_END = 255  # never part of UTF-8
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def _byte_codes(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 256, dtype=np.uint64)
+def _codes(data: np.ndarray, seed: int) -> np.ndarray:
+    """A number for each byte, or for each 64-bit word code, that the seed chooses."""
+    if data.dtype == np.uint8:
+        return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 256, dtype=np.uint64)[data]
+    out = (data ^ np.uint64(_MIX[0] * seed & (1 << 64) - 1)) * np.uint64(_MIX[1])
+    return (out ^ (out >> np.uint64(29))) * np.uint64(_MIX[2])
 
 
 def gram_hashes(data: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all strings of ``size`` bytes, by doubling; ``size`` may be any number of bytes."""
-    have = _byte_codes(seed)[data]
+    """Hashes of all strings of ``size`` bytes or word codes, by doubling; ``size`` may be any number."""
+    have = _codes(data, seed)
     have_size, out, out_size = 1, None, 0
     while True:
         if size & have_size:
@@ -251,47 +254,45 @@ def _spans(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist()
 
 
-class _Codes(dict):
-    """Codes of words; those of a worker are dropped when they are many."""
+def repeated_words(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """Starts in each part of word codes whose next ``length`` words, by 128 bits, start anywhere else in the parts too."""
+    grams = [(gram_hashes(p, length, 2), gram_hashes(p, length, 3)) for p in parts]
+    a, b = (np.concatenate(x) for x in zip(*grams))
+    order = np.lexsort((b, a))
+    again = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    flagged = np.zeros(len(a), bool)
+    flagged[order[1:][again]] = True
+    flagged[order[:-1][again]] = True
+    return [np.flatnonzero(f) for f in np.split(flagged, np.cumsum([len(x) for x, _ in grams])[:-1])]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 1 << 18:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, 7)
-        code = self[word] = bytes(value >> 7 * i & 127 for i in range(WORD))
-        return code
 
+def _bytes_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
 
-def word_codes() -> Callable[[bytes], bytes]:
-    """A function that gives the codes of a text's words in a row; words are runs without ASCII white space, A-Z are lowered."""
-    codes = _Codes()
-    return lambda data: b"".join(map(codes.__getitem__, data.lower().split()))
+
+def word_codes(data: bytes) -> np.ndarray:
+    """Codes of a text's words; words are runs without ASCII white space, A-Z are lowered."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, data.lower().split()), np.uint64)
 
 
 def _word_bytes(data: bytes, spans: list[dict]) -> list[dict]:
-    """Spans of a text's word codes as spans of its bytes, from the first whole word to the last."""
+    """Spans of a text's words as spans of its bytes."""
     blank = np.ones(len(data) + 2, bool)
     raw = np.frombuffer(data, np.uint8)
     blank[1:-1] = (raw == 32) | (raw >= 9) & (raw <= 13)
     first, end = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
-    whole = [(-(-s["start"] // WORD), s["stop"] // WORD) for s in spans]
-    return [{"start": int(first[a]), "stop": int(end[b - 1])} for a, b in whole if a < b]
-
-
-def _same(data: bytes) -> bytes:
-    return data
+    return [{"start": int(first[s["start"]]), "stop": int(end[s["stop"] - 1])} for s in spans]
 
 
-def _occurrences(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+def _occurrences(docs: DataFrame, text: str, length: int, anchor: int, coded: Callable[[bytes], np.ndarray]) -> DataFrame:
     """A row for each distinct segment of a text: key, hash of its bytes, the row it stands in, where it begins, and its last start from there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = coder()
         for batch in slices(batches):
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[] for _ in range(6)]
             for row, data in enumerate(map(coded, byte_texts(batch.column(2)))):
-                keys, first, last = segments(np.frombuffer(data, np.uint8), length, anchor)
+                keys, first, last = segments(data, length, anchor)
                 same: dict[tuple[int, int], list[int]] = {}
                 reach = {}
                 for key, a, b in zip(keys.view(np.int64).tolist(), first.tolist(), last.tolist()):
@@ -305,10 +306,10 @@ def _occurrences(docs: DataFrame, text: str, length: int, anchor: int, coder: Ca
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["anchor", "segment", "_k1", "_k2", "firsts", "reach"])
 
     return docs.select(*row_key(*docs.columns), text).mapInArrow(
-        cut, "anchor long, segment long, _k1 long, _k2 long, firsts array<long>, reach long")
+        lean(cut), "anchor long, segment long, _k1 long, _k2 long, firsts array<long>, reach long")
 
 
-def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
+def _distinct_repeats(pieces: DataFrame, length: int, kind: type) -> DataFrame:
     """``anchor, segment, starts, stops``: runs of repeated starts in distinct segments of shared keys."""
     spec = "anchor long, segment long, starts array<long>, stops array<long>"
 
@@ -326,7 +327,8 @@ def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
             yield out(names, parts)
 
     def out(names: list[tuple[int, int]], parts: list[bytes]) -> pa.RecordBatch:
-        runs = [_spans(s, length) for s in repeated_starts(parts, length)]
+        found = repeated_starts(parts, length) if kind is np.uint8 else repeated_words([np.frombuffer(p, kind) for p in parts], length)
+        runs = [_spans(s, length) for s in found]
         return pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in names], pa.int64()), pa.array([s for _, s in names], pa.int64()),
              pa.array([a for a, _ in runs], pa.list_(pa.int64())), pa.array([b for _, b in runs], pa.list_(pa.int64()))],
@@ -335,7 +337,7 @@ def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             for anchor, segment, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = np.frombuffer(data, np.uint8)
+                raw = np.frombuffer(data, kind)
                 a, b = gram_hashes(raw, length, 2), gram_hashes(raw, length, 3)
                 n = len(a)
                 yield pa.RecordBatch.from_arrays(
@@ -343,10 +345,10 @@ def _distinct_repeats(pieces: DataFrame, length: int) -> DataFrame:
                     names=["anchor", "segment", "at", "h1", "h2"])
 
     few = pieces.where(~F.col("hot")).select("anchor", "segment", "data").repartition("anchor").sortWithinPartitions("anchor")
-    strings = pieces.where("hot").select("anchor", "segment", "data").mapInArrow(split, "anchor long, segment long, at long, h1 long, h2 long")
+    strings = pieces.where("hot").select("anchor", "segment", "data").mapInArrow(lean(split), "anchor long, segment long, at long, h1 long, h2 long")
     often = strings.groupBy("h1", "h2").count().where("count > 1")
     hot = strings.join(often, ["h1", "h2"]).groupBy("anchor", "segment").agg(F.collect_list("at").alias("starts"))
-    return few.mapInArrow(sort, spec).unionByName(hot.select("anchor", "segment", "starts", F.col("starts").alias("stops")))
+    return few.mapInArrow(lean(sort), spec).unionByName(hot.select("anchor", "segment", "starts", F.col("starts").alias("stops")))
 
 
 def _named(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -354,15 +356,16 @@ def _named(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["_k1", "_k2"], how)
 
 
-def _marks(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable[[], Callable[[bytes], bytes]], least: int) -> DataFrame:
-    """``_k1, _k2, spans`` of the rows with repeated strings of ``length`` bytes of what ``coder`` makes of a text of ``least`` bytes or more."""
-    found = saved(_occurrences(docs, text, length, anchor, coder), "segments")
+def _marks(docs: DataFrame, text: str, length: int, anchor: int, coded: Callable[[bytes], np.ndarray], least: int) -> DataFrame:
+    """``_k1, _k2, spans`` of the rows with repeated strings of ``length`` of the bytes or word codes of a text of ``least`` bytes or more."""
+    found = saved(_occurrences(docs, text, length, anchor, coded), "segments")
+    kind = coded(b"").dtype.type
     kinds = (
         found.groupBy("anchor", "segment")
         .agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("_k1", "_k2", F.col("firsts")[0].alias("first"), "reach")).alias("one"))
     )
     by_key = kinds.groupBy("anchor").agg(
-        F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("one.reach") + length).alias("bytes")
+        F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum((F.col("one.reach") + length) * np.dtype(kind).itemsize).alias("bytes")
     ).where("all > 1").withColumnRenamed("anchor", "_anchor")
     shared = saved(
         kinds.join(by_key, F.col("anchor") == F.col("_anchor"))
@@ -378,10 +381,9 @@ def _marks(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable
     ), "wanted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = coder()
         for batch in slices(batches, 256):
             rows = [
-                (w["anchor"], w["segment"], data[w["first"] : w["first"] + w["reach"] + length], w["hot"])
+                (w["anchor"], w["segment"], data[w["first"] : w["first"] + w["reach"] + length].tobytes(), w["hot"])
                 for data, asked in zip(map(coded, byte_texts(batch.column(0))), batch.column(1).to_pylist()) for w in asked
             ]
             yield pa.RecordBatch.from_arrays(
@@ -391,11 +393,11 @@ def _marks(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable
     keyed = docs.select(*row_key(*docs.columns), F.col(text).alias("_text")).where(F.octet_length("_text") >= least)
     keyed = _named(keyed, wanted.select("_k1", "_k2"), "left_semi")
     pieces = saved(
-        keyed.join(wanted, ["_k1", "_k2"]).select("_text", "wanted").mapInArrow(read, "anchor long, segment long, data binary, hot boolean")
+        keyed.join(wanted, ["_k1", "_k2"]).select("_text", "wanted").mapInArrow(lean(read), "anchor long, segment long, data binary, hot boolean")
         .dropDuplicates(["anchor", "segment"]),
         "pieces",
     )
-    runs = saved(whole.unionByName(_distinct_repeats(pieces, length).where(F.size("starts") > 0)), "runs")
+    runs = saved(whole.unionByName(_distinct_repeats(pieces, length, kind).where(F.size("starts") > 0)), "runs")
     marks = F.flatten(F.transform("firsts", lambda f: F.transform(
         F.arrays_zip("starts", "stops"), lambda r: F.struct((f + r["starts"]).alias("start"), (f + r["stops"] + length).alias("stop")))))
     return (
@@ -404,25 +406,27 @@ def _marks(docs: DataFrame, text: str, length: int, anchor: int, coder: Callable
     )
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int = ANCHOR, words: int | None = None) -> DataFrame:
+def repeats(
+    docs: DataFrame, text: str = "text", length: int = 400, anchor: int = ANCHOR, words: int | None = None, passages: str | None = None
+) -> DataFrame:
     """Add ``spans array<struct<start long, stop long>>``: the bytes that repeat elsewhere.
 
     A span covers every byte of a string of ``length`` bytes that also starts anywhere else, in
     the same text or another, judged on the whole input; spans of one text may overlap, touch or be
     equal and stand in order of their start.  Bytes are those of UTF-8; null and short texts have no span.
     With ``words``, spans also cover that many words in a row that also stand anywhere else, however the white
-    space between them or the case of A-Z differs; words are compared by 42-bit hashes.
+    space between them or the case of A-Z differs; words are compared by hashes.  With ``passages`` these have a column of
+    that name, whose places count words, and ``spans`` holds strings of bytes only.
     Rows that repeat are rows of their own and so repeat each other.  Other columns stay as they are,
-    one named ``spans`` is replaced.
+    those of the added names are replaced.
     """
-    names = [c for c in docs.columns if c != "spans"]
+    names = [c for c in docs.columns if c not in ("spans", passages)]
     if len(names) != len(set(names)):
         raise ValueError("columns of one name")
     docs = docs.select(*names)
-    spans = _marks(docs, text, length, anchor, lambda: _same, length)
+    spans = _marks(docs, text, length, anchor, _bytes_of, length)
     if words:
-        size = words * WORD
-        of_words = _marks(docs, text, size, max(1, size * anchor // length), word_codes, 2 * words - 1)
+        of_words = _marks(docs, text, words, max(1, words * anchor // length), word_codes, 2 * words - 1)
         spans = spans.join(of_words.withColumnRenamed("spans", "_words"), ["_k1", "_k2"], "full")
     spans = saved(spans, "spans")
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
@@ -430,11 +434,17 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, anchor: int
     keys = spans.select("_k1", "_k2")
     marked = _named(keyed, keys, "left_semi").join(spans, ["_k1", "_k2"])
     every = F.coalesce("spans", empty)
+    if passages:
+        of_words = F.coalesce("_words", empty) if words else empty
+        return marked.select("_row.*", every.alias("spans"), of_words.alias(passages)).unionByName(
+            _named(keyed, keys, "left_anti").select("_row.*", empty.alias("spans"), empty.alias(passages)))
     if words:
         @F.arrow_udf("array<struct<start:bigint,stop:bigint>>")
         def in_bytes(column: pa.Array, coded: pa.Array) -> pa.Array:
-            of = [_word_bytes(data, marks or []) for data, marks in zip(byte_texts(column), coded.to_pylist())]
-            return pa.array(of, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            of = [_word_bytes(t.as_py() or b"", marks.as_py() or []) for t, marks in zip(column.cast(pa.binary()), coded)]
+            out = pa.array(of, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            give_back()
+            return out
 
         every = F.sort_array(F.concat(every, in_bytes(F.col(f"_row.`{text}`"), F.col("_words"))))
     return marked.select("_row.*", every.alias("spans")).unionByName(
@@ -461,7 +471,8 @@ def remove(marked: DataFrame, text: str = "text", name: str = "kept", characters
     @F.arrow_udf("kept binary, removed long, runs long")
     def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for data, marks in zip(byte_texts(column), spans.to_pylist()):
+        for text, marks in zip(column.cast(pa.binary()), spans):
+            data, marks = text.as_py() or b"", marks.as_py()
             kept, at, removed, n = [], 0, 0, 0
             for a, b in _runs(marks):
                 if characters:
@@ -472,9 +483,11 @@ def remove(marked: DataFrame, text: str = "text", name: str = "kept", characters
                 kept.append(data[at:a])
                 at, removed, n = b, removed + b - a, n + 1
             out.append((b"".join([*kept, data[at:]]), removed, n))
-        return pa.StructArray.from_arrays(
+        out = pa.StructArray.from_arrays(
             [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
             names=["kept", "removed", "runs"])
+        give_back()
+        return out
 
     own = [c for c in marked.columns if c not in ("spans", name, "removed", "runs")]
     return marked.select(*own, cut(F.col(text), F.col("spans")).alias("_cut")).select(

@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, chat, counts, decontaminate, graph, langid, quality, simhash, suffix, topk, toxicity
+from lectern.llm import bpe, chat, common, counts, decontaminate, graph, langid, quality, simhash, suffix, topk, toxicity
 from lectern.llm.common import row_key
+from lectern.llm.queries import op7_repeats
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -313,6 +314,52 @@ def test_short_passages_of_many_words_leave_the_pipeline(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_op7_marks_short_passages_of_many_words_and_removes_strings_only(spark, tmp_path):
+    rng = random.Random(18)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    passage, long = own(52), own(90)
+    texts = [f"{own(40)} {passage} {own(40)}", f"{own(9)}\n{passage.upper()}", f"{own(30)} {long}", f"{long} {own(30)}", own(120), "", None]
+    frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_repeats(spark, str(tmp_path)).collect()}
+    assert [got[i]["has_passages"] for i in range(7)] == [True] * 4 + [False] * 3
+    assert [got[i]["has_repeats"] for i in range(7)] == [False, False, True, True, False, False, False]
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(7)] == [
+        (len((t or "").encode()), n, spans, hashlib.sha256(kept).hexdigest()) for t, (kept, n, spans) in zip(texts, removed(texts, 400))]
+
+
+def test_strings_of_words_start_at_words():
+    rng = random.Random(19)
+    words = [f"w{i}".encode() for i in range(6)]
+    parts = [[rng.choice(words) for _ in range(rng.randint(4, 60))] for _ in range(9)]
+    codes = [suffix.word_codes(b" ".join(p)) for p in parts]
+    assert [len(c) for c in codes] == [len(p) for p in parts]
+    seen = Counter(tuple(p[i : i + 4]) for p in parts for i in range(len(p) - 3))
+    assert [s.tolist() for s in suffix.repeated_words(codes, 4)] == [[i for i in range(len(p) - 3) if seen[tuple(p[i : i + 4])] > 1] for p in parts]
+
+
+def _resident():
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[1]) * 4096 / 1e6
+
+
+def test_workers_give_their_memory_back(monkeypatch):
+    kept = []
+
+    def hold(batches):
+        kept.append([np.ones(10_000) for _ in range(2_000)][-1])  # 160 MB in pieces, the last of which stays
+        yield from batches
+
+    before = _resident()
+    assert list(common.lean(hold)(iter([1, 2]))) == [1, 2]
+    assert _resident() - before < 60
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    stopped = common.lean(hold)(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert calls == [1]
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(7)
     for letters in ("ab", "a", "abcdef"):
