@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, quality, simhash, suffix
 from lectern.llm.common import saved, table, text_key
-from lectern.llm.queries import THRESHOLD, WORDS, quality_model
+from lectern.llm.queries import PASSAGE_WORDS, THRESHOLD, WORDS, quality_model
 
-PASSAGE_WORDS = 50
 ORACLE_SQL = None  # no stage but the first steps of the others can be written in SQL
 
 
