@@ -4,10 +4,10 @@ Two fingerprints within ``radius`` bits share a variant that is within half the
 both.  Every distinct fingerprint emits all its variants, variants meet by value, and all
 fingerprints that share one are linked to the smallest of them, so no pairs are listed.
 
-The variants are emitted in two halves.  Flips among the leading ``t`` bits are rows before
-the shuffle, which deals them by these bits; flips among the other bits are expanded where
-the row arrives.  Each variant still exists once for each fingerprint around it, but the
-shuffle moves tens of rows a fingerprint and not thousands.
+Two fingerprints within ``radius`` bits agree in one of ``radius + 1`` blocks of their bits, so each is dealt once by
+every block and the shuffle moves five rows a fingerprint, however many fingerprints there are.  Variants are
+expanded where the rows arrive, of the fingerprints that agree with another one in two further parts of the other
+bits as well, as all within ``radius`` do.  Blocks that very many share are dealt on by flips among the bits behind.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .graph import components
 BITS = 64
 SEED = 42
 # Fingerprints that one bucket of the first deal holds on average, rows from which a bucket is dealt on by
-# further bits, the bits of such a deal, and variants that a task expands at once.
+# the rest of its block and then by further bits, the bits of such a deal, and variants that a task expands at once.
 BUCKET = 8192
 HOT_BUCKET = 200_000
 MORE_BITS = 6
@@ -160,11 +160,26 @@ def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def _deal(rows: DataFrame, bits: int) -> DataFrame:
-    """Deal rows ``(bucket, depth, left, fingerprint)`` by the next ``bits`` bits, flipping up to ``left`` of them.
+def _blocks(radius: int) -> dict[int, int]:
+    """First bit and number of bits of ``radius + 1`` blocks, of which two fingerprints within ``radius`` bits agree in one."""
+    n = radius + 1
+    return {BITS * i // n: BITS * (i + 1) // n - BITS * i // n for i in range(n)}
 
-    The fingerprint column carries the flips, so the bucket is always its own leading bits.
-    """
+
+def _turned(start: int, prints: np.ndarray) -> np.ndarray:
+    """Fingerprints turned so that the block at ``start`` leads."""
+    return (prints << np.uint64(start)) | (prints >> np.uint64(BITS - start)) if start else prints
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their bucket: the leading ``depth`` bits of the turned and flipped fingerprint."""
+    turned = F.call_function("shiftleft", "origin", F.col("start")).bitwiseOR(
+        F.call_function("shiftrightunsigned", "origin", F.lit(BITS) - F.col("start")))  # a shift by 64 is none
+    return rows.withColumn("bucket", F.call_function("shiftrightunsigned", turned.bitwiseXOR(F.col("flips")), F.lit(BITS) - F.col("depth")))
+
+
+def _deal(rows: DataFrame, bits: int) -> DataFrame:
+    """Deal rows ``(table, start, origin, kind, flips, left, depth)`` by the next ``bits`` bits, flipping up to ``left`` of them."""
     depth = F.col("depth") + bits
     flipped = F.array(*[
         F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in combinations(range(bits), k)]) for k in range(3)
@@ -175,16 +190,32 @@ def _deal(rows: DataFrame, bits: int) -> DataFrame:
             rows.where(F.col("left") >= k)
             .select("*", F.explode(flipped[k]).alias("_mask"))
             .select(
-                "table", "origin", "kind",
-                F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", "_mask", F.lit(BITS) - depth)).alias("fingerprint"),
+                "table", "start", "origin", "kind",
+                F.col("flips").bitwiseXOR(F.call_function("shiftleft", "_mask", F.lit(BITS) - depth)).alias("flips"),
                 (F.col("left") - k).alias("left"),
                 depth.alias("depth"),
             )
             if k
-            else rows.select("table", "origin", "kind", "fingerprint", "left", depth.alias("depth"))
+            else rows.select("table", "start", "origin", "kind", "flips", "left", depth.alias("depth"))
         )
-    out = parts[0].union(parts[1]).union(parts[2])
-    return out.withColumn("bucket", F.call_function("shiftrightunsigned", "fingerprint", F.lit(BITS) - F.col("depth")))
+    return _bucketed(parts[0].union(parts[1]).union(parts[2]))
+
+
+def _accompanied(prints: np.ndarray, fixed: int, radius: int) -> np.ndarray:
+    """Indexes of the prints that may have another one within ``radius`` bits that agrees in the first ``fixed`` bits.
+
+    The other bits make ``radius + 2`` parts, of which two agree if no more than ``radius`` bits differ.
+    """
+    cuts = [(BITS - fixed) * i // (radius + 2) for i in range(radius + 3)]
+    parts = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+    hit = np.zeros(len(prints), bool)
+    for a, b in combinations(parts, 2):
+        key = prints & np.uint64((1 << BITS) - (1 << BITS - fixed) | a | b)
+        ordered = np.sort(key)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(again):
+            hit |= again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
+    return np.flatnonzero(hit)
 
 
 def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
@@ -197,24 +228,25 @@ def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
     With ``every``, ``prints`` also has ``kind long`` and the rows are all pairs of fingerprints within the
     radius whose kinds differ, each at least once; a null kind differs from any other.
     """
-    half = radius // 2
+    half, blocks = radius // 2, _blocks(radius)
     n = prints.groupBy("table").count().agg(F.max("count")).first()[0] or 0
-    bits = max(2, math.ceil(math.log2(max(1, n) / BUCKET)))
-    rows = prints.select(
+    bits = min(*blocks.values(), 30, max(2, math.ceil(math.log2(max(1, n) / BUCKET))))
+    rows = _bucketed(prints.select(
         "table", F.col("fingerprint").alias("origin"), F.col("kind") if every else F.lit(None).cast("long").alias("kind"),
-        "fingerprint", F.lit(half).alias("left"), F.lit(0).alias("depth")
-    )
-    while bits > 0:  # one deal lists the flips of a few bits at a time
-        rows = _deal(rows, min(bits, 10))
-        bits -= 10
+        F.lit(0).cast("long").alias("flips"), F.lit(half).alias("left"), F.lit(bits).alias("depth"),
+        F.explode(F.array(*map(F.lit, blocks))).alias("start"),
+    ))
+    on = ["table", "start", "depth", "bucket"]
+    whole = F.create_map(*[F.lit(x) for block in blocks.items() for x in block])[F.col("start")]
     ready = []
     while True:
-        hot = saved(rows.groupBy("table", "depth", "bucket").count().where(F.col("count") > HOT_BUCKET).drop("count"), "hot")
+        hot = saved(rows.groupBy(*on).count().where(F.col("count") > HOT_BUCKET).drop("count"), "hot")
         if hot.isEmpty() or rows.where(F.col("depth") <= BITS - MORE_BITS).isEmpty():
             break
-        on = ["table", "depth", "bucket"]
         ready.append(rows.join(hot, on, "left_anti"))
-        rows = saved(_deal(rows.join(hot, on, "left_semi"), MORE_BITS), "dealt")
+        rows = rows.join(hot, on, "left_semi").drop("bucket")
+        # Fingerprints of one bucket that do not agree in the whole block meet by another one.
+        rows = saved(_deal(rows, MORE_BITS) if len(ready) > 1 else _bucketed(rows.withColumn("depth", F.greatest("depth", whole))), "dealt")
     for more in ready:
         rows = rows.unionByName(more)
 
@@ -222,17 +254,33 @@ def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
         got = pa.Table.from_batches(list(group))
         origin = got["origin"].to_numpy()
         order = np.argsort(origin, kind="stable")
-        origin, own = origin[order], got["fingerprint"].to_numpy().astype(np.uint64)[order]
-        left, depth = got["left"].to_numpy().astype(np.int64)[order], int(got["depth"][0].as_py())
+        start, depth = int(got["start"][0].as_py()), int(got["depth"][0].as_py())
+        fixed = max(depth, blocks[start])
+        own = _turned(start, origin.view(np.uint64)) ^ got["flips"].to_numpy().view(np.uint64)
+        some = _accompanied(own[order], fixed, radius)
+        order = order[some]
+        if not len(order):
+            return
+        origin, own, left = origin[order], own[order], got["left"].to_numpy().astype(np.int64)[order]
+        bits = origin.view(np.uint64)
+        earlier = [np.uint64((1 << BITS - at) - (1 << BITS - at - size)) for at, size in blocks.items() if at < start]
+
+        def here(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # Two that agree in an earlier block as well are linked there.
+            keep = np.ones(len(a), bool)
+            for block in earlier:
+                keep &= (bits[a] ^ bits[b]) & block != 0
+            return a[keep], b[keep]
+
         if every:
             kinds = got["kind"].take(pa.array(order))
             kind = np.unique(kinds.fill_null(0).to_numpy(), return_inverse=True)[1]
             # Rows of one fingerprint are no pair, so a null kind is told apart by the fingerprint.
             kind = np.where(kinds.is_null().to_numpy(), len(kind) + np.unique(origin, return_inverse=True)[1], kind)
-            for a, b in _shared(own, left, depth, {}, kind):
+            for a, b in (here(a, b) for a, b in _shared(own, left, fixed, {}, kind)):
                 yield batch(origin[a], origin[b], got["table"][0].as_py())
             return
-        found = list(_shared(own, left, depth, {}))
+        found = [here(a, b) for a, b in _shared(own, left, fixed, {})]
         if found:
             label = _forest(len(origin), found)
             moved = np.flatnonzero(label != np.arange(len(label)))
@@ -243,7 +291,7 @@ def links(prints: DataFrame, radius: int = 4, every: bool = False) -> DataFrame:
         tables = pa.array(np.full(int(keep.sum()), table), pa.int32())
         return pa.RecordBatch.from_arrays([tables, pa.array(a[keep]), pa.array(b[keep])], names=["table", "a", "b"])
 
-    return rows.groupBy("table", "depth", "bucket").applyInArrow(lean(meet), "table int, a long, b long")
+    return rows.groupBy(*on).applyInArrow(lean(meet), "table int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:

@@ -546,6 +546,34 @@ def test_links_list_every_pair_of_unlike_kinds(spark):
     assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got} == want
 
 
+@pytest.mark.parametrize("radius", [0, 2, 4])
+@pytest.mark.parametrize("bucket,hot", [(simhash.BUCKET, simhash.HOT_BUCKET), (2, 20)])
+def test_links_deal_a_fingerprint_once_by_every_block(spark, monkeypatch, radius, bucket, hot):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
+    dealt, bucketed = [], simhash._bucketed
+    monkeypatch.setattr(simhash, "_bucketed", lambda rows: dealt.append(rows.count()) or bucketed(rows))
+    rng = random.Random(17)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(15)} | {0, 1 << 63, (1 << 64) - 1}
+    signed = {p - (1 << 64) if p >> 63 else p: p for p in prints}
+    got = simhash.links(frame(spark, [(t, p) for p in signed for t in (0, 1)], "table int, fingerprint long"), radius).collect()
+    assert dealt[0] == 2 * (radius + 1) * len(signed)  # however many fingerprints and buckets there are
+    ends = {(signed[r["a"]], signed[r["b"]]) for r in got if r["table"] == 1}
+    near = {(p, q) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= radius}
+
+    def groups(pairs):
+        root = {p: p for p in prints}
+        while True:
+            old = dict(root)
+            for p, q in pairs:
+                root[p] = root[q] = min(root[p], root[q])
+            if root == old:
+                return root
+
+    assert groups(ends) == groups(near)
+
+
 def test_similar_texts_decide_long_texts_exactly(spark):
     rng = random.Random(14)
     words, rows = [f"w{i}" for i in range(3000)], []
