@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import bpe, chat, common, counts, decontaminate, graph, langid, quality, simhash, suffix, topk, toxicity
+from lectern.llm import bpe, chat, common, counts, decontaminate, graph, langid, pairs, quality, simhash, suffix, topk, toxicity
 from lectern.llm.common import row_key
 from lectern.llm.queries import op7_repeats
 
@@ -203,6 +203,49 @@ def test_toxicity_evidence_equals_dictionaries(spark, head):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def slow_pairs(rows, text):
+    """Mean log-likelihood difference of all pairs of neighbouring words of a text, by dictionaries."""
+    import math
+
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    near = lambda t: list(zip(words(t), words(t)[1:]))
+    of = [Counter(p for t, y in rows if y == c for p in near(t)) for c in (0, 1)]
+    every, kinds = sum(of[0].values()) + sum(of[1].values()), set(of[0]) | set(of[1])
+
+    def share(c, n, shared):
+        k = Counter(of[c].values())
+        off = toxicity.discounts(k[1], k[2], k[3], k[4])
+        free = sum(off[min(x, 3) - 1] for x in of[c].values()) / sum(of[c].values())
+        return (n - (off[min(n, 3) - 1] if n else 0)) / sum(of[c].values()) + free * shared
+
+    shared = lambda p: (of[0][p] + of[1][p] + 0.5) / (every + 0.5 * (len(kinds) + 1))
+    found = [math.log(share(1, of[1][p], shared(p)) / share(0, of[0][p], shared(p))) for p in near(text)]
+    return sum(found) / len(found) if found else 0.0
+
+
+@pytest.mark.parametrize("head", [0, 20, 10_000])
+def test_toxicity_counts_every_pair_of_words(spark, monkeypatch, head):
+    monkeypatch.setattr(pairs, "_AT_ONCE", 50)
+    monkeypatch.setattr(pairs, "ENTRIES", 100)
+    monkeypatch.setattr(pairs, "_KNOWN", 7)
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choices(["you", "are", "not", "bad", "é", "漢"], k=rng.randint(0, 40))), "en", "s", 1) for i in range(120)]
+    rows += [(200, None, None, None, None), (201, "one", None, None, None), (202, "Not bad, not bad. not", None, None, None),
+             (203, "bad not bad not not", None, None, None), (204, "new " * 300 + "bad", None, None, None)]
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, frame(spark, [(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    back = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).select("doc_id").collect()}
+    counted = [(t, i % 4 == 0) for i, t, *_ in rows if i < 120 and i not in back]
+    asked = docs.unionByName(docs).select("doc_id", "text")
+    got = toxicity.evidence(asked, model, pair_head=head).join(docs.select(*row_key("doc_id", "text"), "doc_id"), ["_k1", "_k2"]).collect()
+    assert len(got) == len(rows)
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert r["pairs"] == pytest.approx(slow_pairs(counted, text[r["doc_id"]])), r["doc_id"]
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[202]["mean"] == pytest.approx(by_id[203]["mean"]) and by_id[202]["pairs"] != pytest.approx(by_id[203]["pairs"])
+
+
 def test_toxicity_fit_writes_its_counts_once(spark, monkeypatch):
     written, saved = [], toxicity.saved
     monkeypatch.setattr(toxicity, "saved", lambda df, name: written.append(name) or saved(df, name))
