@@ -246,6 +246,14 @@ def test_toxicity_counts_every_pair_of_words(spark, monkeypatch, head):
     assert by_id[202]["mean"] == pytest.approx(by_id[203]["mean"]) and by_id[202]["pairs"] != pytest.approx(by_id[203]["pairs"])
 
 
+def test_toxicity_calibration_meets_the_share_of_toxic_rows():
+    rng = random.Random(19)
+    rows = [(rng.gauss(-0.2, 0.1) + y, rng.gauss(1, 1) + y, -7 + rng.gauss(0, 0.01) + y / 100, y) for y in [0] * 60 + [1] * 6]
+    weights, share = toxicity.calibrated(rows)
+    found = [1 / (1 + np.exp(-np.dot(weights, (*r[:3], 1.0)))) for r in rows]
+    assert share == pytest.approx(6 / 66) and sum(found) == pytest.approx(6, abs=1e-3)
+
+
 def test_toxicity_fit_writes_its_counts_once(spark, monkeypatch):
     written, saved = [], toxicity.saved
     monkeypatch.setattr(toxicity, "saved", lambda df, name: written.append(name) or saved(df, name))
